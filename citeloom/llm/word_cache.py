@@ -1,0 +1,57 @@
+"""Exact tokenizer results by white-space-delimited pre-token, kept in bounded worker caches.
+
+A tokenizer that drops white space encodes a text as the concatenation of its white-space-delimited
+pieces: neither normalisation nor a special token crosses an ASCII white-space character. Each piece
+is therefore encoded by the library once for as long as a worker remembers it.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Callable, Iterable
+
+#: Longest pre-token (bytes) that a cache holds on to; longer ones are encoded each time.
+LONGEST_KEPT = 96
+#: Entries at which a worker's cache starts anew.
+CACHE_ENTRIES = 400_000
+
+_loaded: dict[str, object] = {}
+
+
+def library_tokenizer(path: str):
+    """The tokenizers library's tokenizer of a file, loaded once in a Python worker."""
+    if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        _loaded[path] = tok
+    return _loaded[path]
+
+
+class PretokenCache:
+    """Maps pre-tokens to what `keep` makes of their ids; a first tier may be given, misses are encoded in batches."""
+
+    def __init__(self, tokenizer_path: str, keep: Callable[[list[int]], object], first: dict | None = None, entries: int = CACHE_ENTRIES):
+        self.path, self.keep, self.first, self.entries = tokenizer_path, keep, first or {}, entries
+        self.second: dict[bytes, object] = dict(self.first)
+
+    def learn(self, texts: Iterable[list[bytes]]) -> dict[bytes, object]:
+        """A mapping with all pre-tokens of these texts."""
+        wanted: set[bytes] = set()
+        for words in texts:
+            wanted.update(words)
+        if len(self.second) > self.entries:
+            self.second = dict(self.first)
+        missing = [w for w in wanted if w not in self.second]
+        if not missing:
+            return self.second
+        known, once = self.second, {}
+        tok = library_tokenizer(self.path)
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            for word, enc in zip(part, tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+                (known if len(word) <= LONGEST_KEPT else once)[word] = self.keep(enc.ids)
+        return {**known, **once} if once else known
