@@ -8,6 +8,7 @@ mapped back to word positions and from those to character offsets of the origina
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -20,7 +21,7 @@ from .common import id_and_text, raw_bytes
 
 #: Bytes of words: ASCII letters and digits and everything beyond ASCII; letters in lower case, the rest a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORDS = re.compile(rb"[^ ]+")
 #: Bytes of item text that one automaton takes; more text is shared out over further passes.
 ONE_AUTOMATON = 16 << 20
 STATE = "doc_id long, text string, spans array<struct<first:int,last:int>>, items array<string>"
@@ -77,7 +78,7 @@ def _scan(found, text: bytes) -> tuple[list[tuple[int, int]], set[str]]:
 
 def _offsets(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     """Character offsets [start, end) of word spans."""
-    at = [m.span() for m in WORDS.finditer(text)]
+    at = [m.span() for m in WORDS.finditer(text.translate(NORMAL))]
     out, seen, chars = [], 0, 0
     for first, last in spans:
         begin, end = at[first][0], at[last][1]
@@ -110,8 +111,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col
     state = id_and_text(docs, id_col, text_col).select("*", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
 
     def one_pass(shared):
+        key = uuid.uuid4().hex
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key = (shared.id if hasattr(shared, "id") else id(shared), width)
             if key not in _automata:
                 _automata.clear()
                 _automata[key] = automaton(shared.value, width)
