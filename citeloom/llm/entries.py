@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, token_count, token_files
+from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, token_count, token_files
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op4_language_id": op4_language_id,
         "op6_token_files": op6_token_files,
+        "op8_ngram_join": op8_ngram_join,
         "op9_decontaminate": op9_decontaminate,
         "op10_license_scan": op10_license_scan,
     }
@@ -49,5 +54,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.SQL,
+        "op8_ngram_join": ngram_join.SQL,
         "op9_decontaminate": decontaminate.SQL,
     }
