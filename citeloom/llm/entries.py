@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, token_count, token_files
+from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, quality_rules, token_count, token_files
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_line_dedup": op2_line_dedup,
+        "op3_quality_rules": op3_quality_rules,
         "op4_language_id": op4_language_id,
         "op6_token_files": op6_token_files,
         "op8_ngram_join": op8_ngram_join,
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.SQL,
+        "op3_quality_rules": quality_rules.SQL,
         "op8_ngram_join": ngram_join.SQL,
         "op9_decontaminate": decontaminate.SQL,
     }
