@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, quality_rules, token_count, token_files
+from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, ngram_join, quality_rules, token_count, token_files
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_language_id": op4_language_id,
         "op6_token_files": op6_token_files,
+        "op7_byte_bpe": op7_byte_bpe,
         "op8_ngram_join": op8_ngram_join,
         "op9_decontaminate": op9_decontaminate,
         "op10_license_scan": op10_license_scan,
