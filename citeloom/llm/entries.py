@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, ngram_join, quality_rules, token_count, token_files
+from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, ngram_join, quality_rules, token_count, token_files
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_language_id": op4_language_id,
+        "op5_lm_scores": op5_lm_scores,
         "op6_token_files": op6_token_files,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_ngram_join": op8_ngram_join,
