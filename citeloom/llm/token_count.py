@@ -7,6 +7,7 @@ in each Python worker, filled by encoding misses with the library. No pre-token
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +39,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     first = docs.sparkSession.sparkContext.broadcast(frequent_lengths(tokenizer_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PretokenCache(tokenizer_path, len, first.value)
+        cache = PretokenCache(tokenizer_path, "lengths", len, operator.add, first.value)
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)

@@ -9,6 +9,7 @@ length. Shards follow each other in ascending doc_id order, documents lie back t
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -91,7 +92,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, uri: st
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, out = TaskContext.get(), None
-        cache = PretokenCache(tokenizer_path, lambda ids: np.array(ids, dtype).tobytes())
+        cache = PretokenCache(tokenizer_path, f"ids {dtype}", lambda ids: np.array(ids, dtype).tobytes(), operator.add)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

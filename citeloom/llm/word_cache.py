@@ -8,14 +8,22 @@ is therefore encoded by the library once for as long as a worker remembers it.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 #: Longest pre-token (bytes) that a cache holds on to; longer ones are encoded each time.
 LONGEST_KEPT = 96
 #: Entries at which a worker's cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
+#: Pre-tokens that one call of the library encodes, joined by spaces.
+TOGETHER = 256
+#: ASCII letters with marks behind them: the marks are a piece of their own in any tokenizer that parts letters from marks.
+MARKED = re.compile(rb"([A-Za-z]+)([.,;:!?]+)")
 
 _loaded: dict[str, object] = {}
+_caches: dict[tuple, dict[bytes, object]] = {}
 
 
 def library_tokenizer(path: str):
@@ -31,27 +39,48 @@ def library_tokenizer(path: str):
     return _loaded[path]
 
 
+def encode_words(tok, words: list[bytes]) -> list[list[int]]:
+    """The ids of each word, from calls over many words at once; offsets tell whose an id is."""
+    out = []
+    for at in range(0, len(words), TOGETHER):
+        part = [w.decode("utf-8", "replace") for w in words[at : at + TOGETHER]]
+        enc = tok.encode(" ".join(part), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+        own = np.searchsorted(starts, np.fromiter((a for a, _ in enc.offsets), np.int64, len(enc.ids)), "right") - 1
+        cuts = np.searchsorted(own, np.arange(len(part) + 1)).tolist()
+        ids = enc.ids
+        out += [ids[cuts[k] : cuts[k + 1]] for k in range(len(part))]
+    return out
+
+
 class PretokenCache:
-    """Maps pre-tokens to what `keep` makes of their ids; a first tier may be given, misses are encoded in batches."""
+    """Maps pre-tokens to what `keep` makes of their ids; `join` makes one value of two neighbours' values.
+
+    A first tier may be given. Misses are encoded in batches and remembered by the worker, for later tasks as well."""
 
-    def __init__(self, tokenizer_path: str, keep: Callable[[list[int]], object], first: dict | None = None, entries: int = CACHE_ENTRIES):
-        self.path, self.keep, self.first, self.entries = tokenizer_path, keep, first or {}, entries
-        self.second: dict[bytes, object] = dict(self.first)
+    def __init__(self, tokenizer_path: str, kind: str, keep: Callable[[list[int]], object], join: Callable[[object, object], object], first: dict | None = None, entries: int = CACHE_ENTRIES):
+        self.key, self.keep, self.join, self.first, self.entries = (tokenizer_path, kind), keep, join, first or {}, entries
+        if self.key not in _caches:
+            _caches[self.key] = dict(self.first)
 
     def learn(self, texts: Iterable[list[bytes]]) -> dict[bytes, object]:
         """A mapping with all pre-tokens of these texts."""
+        known = _caches[self.key]
+        if len(known) > self.entries:
+            known = _caches[self.key] = dict(self.first)
         wanted: set[bytes] = set()
         for words in texts:
             wanted.update(words)
-        if len(self.second) > self.entries:
-            self.second = dict(self.first)
-        missing = [w for w in wanted if w not in self.second]
+        missing = [w for w in wanted if w not in known]
         if not missing:
-            return self.second
-        known, once = self.second, {}
-        tok = library_tokenizer(self.path)
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for word, enc in zip(part, tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                (known if len(word) <= LONGEST_KEPT else once)[word] = self.keep(enc.ids)
-        return {**known, **once} if once else known
+            return known
+        split = {w: m.groups() for w in missing if (m := MARKED.fullmatch(w))}
+        whole = [w for w in missing if w not in split]
+        whole += list({p for pair in split.values() for p in pair if p not in known})
+        once = {}
+        for word, ids in zip(whole, encode_words(library_tokenizer(self.key[0]), whole), strict=True):
+            (known if len(word) <= LONGEST_KEPT else once)[word] = self.keep(ids)
+        both = {**known, **once} if once else known
+        for word, (letters, marks) in split.items():
+            both[word] = self.join(both[letters], both[marks])
+        return both
