@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import id_and_text, raw_bytes
+from .common import raw_bytes
 
 #: Words that a worker remembers before it starts anew, and the longest (characters) that it does.
 REMEMBERED, LONGEST_REMEMBERED = 600_000, 64
@@ -121,8 +122,8 @@ def _engine(path: str) -> _Engine:
     return _engines[path]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, ids array<int>. Every match of the pattern is encoded by itself.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, the columns in `keep`, ids array<int>. Every match of the pattern is encoded by itself.
 
     Null and empty texts have no ids; null ids stay; repeated rows are encoded each; other columns are not read."""
 
@@ -141,15 +142,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                         rows += known[w]
                     ends.append(len(rows))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(rows, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], ids], names=["doc_id", *keep, "ids"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
+    kept = [f for f in rows.schema.fields if f.name in keep]
+    return rows.mapInArrow(run, StructType([StructField("doc_id", LongType()), *kept, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded with the ids' bytes in out_col (in place of a column of that name); null ids decode to no bytes."""
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
     kept = [f for f in encoded.schema.fields if f.name != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

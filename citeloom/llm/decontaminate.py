@@ -16,8 +16,9 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import id_and_text, raw_bytes
+from .common import raw_bytes
 
 #: Bytes of words: ASCII letters and digits and everything beyond ASCII; letters in lower case, the rest a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -101,14 +102,16 @@ def _passes(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
     return lists
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, spans (character offsets, merged), items (sorted ids).
+    With whole_rows also `row`, a struct of all columns of docs.
 
     Null or empty texts have no words and no hits; null or wordless items have no windows; a null item id
     reads as an empty string; repeated items and rows count as they come; other columns are not read."""
     items = benchmark.select(F.col(f"`{item_id_col}`").cast("string").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     sc = docs.sparkSession.sparkContext
-    state = id_and_text(docs, id_col, text_col).select("*", F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    state = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole_rows)
+    rest = [StructField("row", docs.schema)] * whole_rows
 
     def one_pass(shared):
         key = uuid.uuid4().hex
@@ -126,12 +129,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col
                         spans[i] = [{"first": a, "last": b} for a, b in merged(got + [(x["first"], x["last"]) for x in spans[i] or []])]
                         names[i] = sorted(who | set(names[i] or []))
                 kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(names, pa.list_(pa.string())), *batch.columns[4:]], names=["doc_id", "text", "spans", "items", *["row"] * whole_rows])
 
         return scan
 
     for part in _passes(items):
-        state = state.mapInArrow(one_pass(sc.broadcast(part)), STATE)
+        state = state.mapInArrow(one_pass(sc.broadcast(part)), StructType([*StructType.fromDDL(STATE).fields, *rest]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +147,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col
                     pa.array([sum(b - a + 1 for a, b in s) for s in spans], pa.int64()),
                     pa.array([_offsets(t, s) if s else [] for t, s in zip(texts, spans, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array([x or [] for x in batch.column(3).to_pylist()], pa.list_(pa.string())),
+                    *batch.columns[4:],
                 ],
-                names=["doc_id", "n_words", "n_hit", "spans", "items"],
+                names=["doc_id", "n_words", "n_hit", "spans", "items", *["row"] * whole_rows],
             )
 
-    return state.mapInArrow(finish, RESULT)
+    return state.mapInArrow(finish, StructType([*StructType.fromDDL(RESULT).fields, *rest]))
 
 
 def contaminated(n_hit, n_words):
@@ -156,6 +160,11 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the contaminated rows; all columns."""
+    return contamination(docs, benchmark, whole_rows=True).where(~contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
+
+
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(docs, benchmark)
     return found.select(

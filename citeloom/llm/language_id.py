@@ -13,7 +13,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, raw_bytes
@@ -86,8 +86,6 @@ def training_rows(docs: DataFrame, label_col: str) -> DataFrame:
     if share is None:
         return docs.select("lang", "text")
     near = docs.where((F.col("h").cast("double") / float(2**64) + 0.5) <= share[F.col("lang")])
-    from pyspark.sql import Window
-
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("lang", "text")
 
@@ -148,6 +146,24 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return id_and_text(docs, id_col, text_col).mapInArrow(guess, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_identified(docs: DataFrame, model: dict, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose language is `und` or whose score is under `least`; all columns, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = raw_bytes(batch.column(batch.schema.get_field_index(text_col)))
+                keep = np.array([bool(m["languages"]) and has_letter(t) for t in texts], bool)
+                if keep.any():
+                    keep[keep] = decode(m, np.stack([profile(t) for t, ok in zip(texts, keep, strict=True) if ok]))[1] >= least
+                    yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2):
     """Whether crc32 of the id as text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % parts == part, F.lit(False))

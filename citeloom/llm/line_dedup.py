@@ -90,6 +90,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     }).drop("_cl_key", "_cl_own", "_cl_id", "_cl_tie", "_cl_lines")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs after line_dedup, without the rows that it left no word; the columns of docs, with n_chars (if it's one) counted anew."""
+    done = line_dedup(docs, id_col, text_col).where(~((F.col("n_removed") > 0) & ~F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]")))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(F.col(f"`{text_col}`"))).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 SQL = rf"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM raw),
