@@ -1,3 +1,7 @@
-"""Every query of the reference's operator inventory: name -> (Spark query, DuckDB SQL or None)."""
+"""Every query of the operator inventory: name -> (Spark query, DuckDB SQL or None)."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from citeloom.plans import q_graph
+
+QUERIES: dict = {**q_graph.QUERIES}
