@@ -29,7 +29,7 @@ COUNTED = int(0.3 * 2**64)
 #: Classes from which a counted shingle goes to the end of the order.
 COMMON = 64
 #: Hashes that a map task gathers before it hands them on, and those that a counting task gets.
-GATHER, COUNT_TASK = 1 << 21, 1 << 21
+GATHER, COUNT_TASK = 1 << 21, 1 << 22
 #: Rows of a block; groups with fewer rows share a task, as many as make up a block.
 BLOCK = 1000
 #: Columns with more rows than this are multiplied as dense blocks of so many columns, the others pair by pair.
@@ -58,7 +58,7 @@ def _members(width: int):
 
 
 def _counted_postings(width: int, parts: int):
-    """(part, hashes, owner, signatures): blocks of counted shingles, each with the number of its class in the block's list."""
+    """(part, hashes, counts, signatures): blocks of counted shingles, class after class, with each class's number of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, sigs, held, done = [], [], 0, set()
@@ -73,10 +73,10 @@ def _counted_postings(width: int, parts: int):
             for p in range(parts):
                 mine = order[cuts[p] : cuts[p + 1]]
                 if len(mine):
-                    owners, local = np.unique(owner[mine], return_inverse=True)
-                    for col, x in zip(rows, (p, hashes[mine].tobytes(), local.astype(np.uint32).tobytes(), b"".join(sigs[o] for o in owners)), strict=True):
+                    owners, counts = np.unique(owner[mine], return_counts=True)
+                    for col, x in zip(rows, (p, hashes[mine].tobytes(), counts.astype(np.uint32).tobytes(), b"".join(sigs[o] for o in owners)), strict=True):
                         col.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["part", "hashes", "owner", "sigs"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["part", "hashes", "counts", "sigs"])
 
         for batch in batches:
             for text in raw_bytes(batch.column(0)):
@@ -100,8 +100,7 @@ def _counted_postings(width: int, parts: int):
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one part: (sig, hash, df) of the shingles that two classes or more have."""
     sigs = np.frombuffer(b"".join(frame["sigs"]), "<u8").reshape(-1, 2)
-    firsts = np.cumsum([0, *(len(x) // 16 for x in frame["sigs"])])[:-1]
-    owner = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + first for x, first in zip(frame["owner"], firsts, strict=True)])
+    owner = np.repeat(np.arange(len(sigs)), np.frombuffer(b"".join(frame["counts"]), np.uint32))
     hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["hashes"]])
     by_sig = np.lexsort((sigs[:, 1], sigs[:, 0]))
     ordered = sigs[by_sig]
@@ -228,8 +227,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     rows = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     members = materialize(rows.mapInArrow(_members(width), "doc_id long, tie long, n long, low long, sig binary"), "members")
     total = members.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n")).agg(F.sum("n")).first()[0] or 0
-    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * 0.3) // COUNT_TASK + 1)
-    counted = rows.select("text").mapInArrow(_counted_postings(width, parts), "part int, hashes binary, owner binary, sigs binary")
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(total * 0.3) // COUNT_TASK + 1)
+    counted = rows.select("text").mapInArrow(_counted_postings(width, parts), "part int, hashes binary, counts binary, sigs binary")
     shared = counted.groupBy("part").applyInPandas(_shared, "sig binary, hash long, df int")
     # A class stays while the shingles that it alone has don't fill its prefix.
     by_class = shared.groupBy("sig").agg(F.collect_list("hash").alias("hashes"), F.collect_list("df").alias("dfs"))
