@@ -88,7 +88,7 @@ def markdown_sections(text: str | None) -> dict[str, str]:
     text = text or ""
     heads = list(HEADER.finditer(text))
     out = {}
-    for head, after in zip(heads, [*heads[1:], None], strict=True):
+    for head, after in zip(heads, [*heads[1:], None][: len(heads)], strict=True):
         content = text[head.end() : after.start() if after else len(text)].strip()
         if content:
             out[re.sub(r"^\d+\.\s*", "", head[1].strip()).title()] = content

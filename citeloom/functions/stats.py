@@ -19,6 +19,11 @@ def rank_share(value: Column, *by: str) -> Column:
     return F.when(n < 2, 1.0).otherwise(F.round(average_rank(value, *by) / n, 4))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation as an aggregate; null where one side doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pairs_of(n: Column) -> Column:
     return n * (n - 1) / 2
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.stats import average_rank, rank_share
+from citeloom.functions.stats import average_rank, correlation, rank_share
 
 
 def parent(cluster: Column) -> Column:
@@ -114,7 +114,7 @@ def sensitivity(pool: DataFrame) -> DataFrame:
         ("full", product_score(m, g, f)), ("momentum", product_score(F.col("med_momentum"), g, f)), ("gap", product_score(m, F.col("med_gap"), f)), ("failure", product_score(m, g, F.col("med_failure")))
     )])
     ranks = rows.select(*[average_rank(F.col(n)).alias(n) for n in rows.columns])
-    return ranks.agg(*[F.round(F.coalesce(F.corr("full", n), F.lit(0.0)), 4).alias(f"rho_{n}") for n in ("momentum", "gap", "failure")])
+    return ranks.agg(*[F.round(F.coalesce(correlation(F.col("full"), F.col(n)), F.lit(0.0)), 4).alias(f"rho_{n}") for n in ("momentum", "gap", "failure")])
 
 
 def top_changes(old: DataFrame, new: DataFrame, k: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.stats import pairs_of
+from citeloom.functions.stats import average_rank, correlation, pairs_of
 
 
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def abstract_bias(papers: DataFrame, titles: DataFrame, both: DataFrame) -> Data
     rows = papers.join(n(titles, "n_t"), "doc_id", "left").join(n(both, "n_b"), "doc_id", "left")
     new = F.coalesce("n_b", F.lit(0)) - F.coalesce("n_t", F.lit(0))
     size = F.length(F.coalesce("abstract", F.lit("")))
-    return rows.agg(F.avg(F.when(size > 0, new)).alias("mean_with"), F.avg(F.when(size == 0, new)).alias("mean_without"), F.corr(F.when(size > 0, size.cast("double")), F.when(size > 0, new.cast("double"))).alias("length_corr"))
+    return rows.agg(F.avg(F.when(size > 0, new)).alias("mean_with"), F.avg(F.when(size == 0, new)).alias("mean_without"), correlation(F.when(size > 0, size.cast("double")), F.when(size > 0, new.cast("double"))).alias("length_corr"))
 
 
 def fill_rates(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -148,8 +148,6 @@ def coverage(rows: DataFrame, sources: list[str], gate: float = 60.0) -> DataFra
 
 def rho_gate(doc_entity: DataFrame, pairs: DataFrame, least: int = 10) -> DataFrame:
     """One row: papers, pairs, Spearman's rho of entity Jaccard and cosine over the pairs (a, b), and GO if it lies in 0.3 to 0.7."""
-    from citeloom.functions.stats import average_rank
-
     n = doc_entity.groupBy("doc_id").agg(F.count("*").alias("n"))
     a, b = doc_entity.select(F.col("doc_id").alias("a"), "entity"), doc_entity.select(F.col("doc_id").alias("b"), "entity")
     shared = pairs.join(a, "a").join(b, ["b", "entity"]).groupBy("a", "b").agg(F.count("*").alias("s"))
@@ -157,7 +155,7 @@ def rho_gate(doc_entity: DataFrame, pairs: DataFrame, least: int = 10) -> DataFr
     s = F.coalesce("s", F.lit(0))
     rows = rows.select(F.round(s / (F.col("na") + F.col("nb") - s), 12).alias("jac"), F.round(s / F.sqrt(F.col("na") * F.col("nb")), 12).alias("cos"))
     ranked = rows.select(average_rank(F.col("jac")).alias("x"), average_rank(F.col("cos")).alias("y"))
-    one = ranked.agg(F.count("*").alias("n_pairs"), F.coalesce(F.corr("x", "y"), F.lit(0.0)).alias("rho")).join(F.broadcast(n.agg(F.count("*").alias("n_papers"))))
+    one = ranked.agg(F.count("*").alias("n_pairs"), F.coalesce(correlation(F.col("x"), F.col("y")), F.lit(0.0)).alias("rho")).join(F.broadcast(n.agg(F.count("*").alias("n_papers"))))
     verdict = F.when(F.col("n_papers") < least, "SKIP").when(F.col("rho").between(0.3, 0.7), "GO").otherwise("SKIP")
     return one.select("n_papers", "n_pairs", "rho", verdict.alias("verdict"))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.stats import bh_rank, choose_threshold, student_p
+from citeloom.functions.stats import bh_rank, choose_threshold, correlation, student_p
 
 
 def _overlap(items: DataFrame, item: str, membership: DataFrame, name: str) -> DataFrame:
@@ -38,7 +38,7 @@ def redundancy(doc_entity: DataFrame, refs: DataFrame, membership: DataFrame, th
 def redundancy_summary(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     """One row: pairs that clusters hold, notable pairs, correlation of the two axes over them."""
     checked = membership.groupBy("cluster_id").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs_checked"))
-    one = pairs.agg(F.count("*").alias("notable_pairs"), F.coalesce(F.when((F.stddev_pop("entity_jaccard") > 0) & (F.stddev_pop("biblio_coupling") > 0), F.corr("entity_jaccard", "biblio_coupling")), F.lit(0.0)).alias("axis_correlation"))
+    one = pairs.agg(F.count("*").alias("notable_pairs"), F.coalesce(correlation(F.col("entity_jaccard"), F.col("biblio_coupling")), F.lit(0.0)).alias("axis_correlation"))
     return checked.join(F.broadcast(one))
 
 
@@ -57,9 +57,9 @@ def trends(doc_entity: DataFrame, papers: DataFrame, membership: DataFrame, leas
     grid = tested.join(years, "cluster_id").join(counts, ["cluster_id", "entity", "year"], "left")
     share = F.coalesce("n", F.lit(0)) / F.col("year_n")
     fits = grid.withColumn("share", share).groupBy("cluster_id", "entity").agg(
-        F.first("freq").alias("freq"), F.count("*").alias("points"), F.regr_slope("share", F.col("year").cast("double")).alias("slope_raw"), F.corr("share", F.col("year").cast("double")).alias("r")
+        F.first("freq").alias("freq"), F.count("*").alias("points"), F.regr_slope("share", F.col("year").cast("double")).alias("slope_raw"), correlation(F.col("share"), F.col("year").cast("double")).alias("r")
     )
-    fits = fits.withColumn("r", F.when(F.isnan("r"), None).otherwise(F.col("r"))).withColumn("p_value", student_p(F.col("r"), F.col("points")))
+    fits = fits.withColumn("p_value", student_p(F.col("r"), F.col("points")))
     fits = fits.withColumn("rank", bh_rank(F.round("p_value", 12), F.col("entity"), "cluster_id")).withColumn("m", F.count("*").over(Window.partitionBy("cluster_id")))
     passes = F.col("p_value") <= alpha * F.col("rank") / F.col("m")
     if method == "stepup":

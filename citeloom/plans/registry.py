@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
-from citeloom.plans import q_graph
+from citeloom.plans import q_frontier, q_graph, q_sources, q_text
 
-QUERIES: dict = {**q_graph.QUERIES}
+
+def whole_counts(sql: str | None) -> str | None:
+    """count_if as a count of 64 bits: DuckDB's own has 128."""
+    while sql and (at := sql.find("count_if(")) >= 0:
+        depth, end = 1, at + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + len('count_if(') : end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
+QUERIES: dict = {name: (query, whole_counts(sql)) for module in (q_graph, q_text, q_frontier, q_sources) for name, (query, sql) in module.QUERIES.items()}
