@@ -128,3 +128,17 @@ def parse_tei(xml):
 
 def parse_markdown(text):
     return _udf(markdown_sections, "map<string,string>")(text)
+
+
+def pdf_text(content):
+    """The text of PDF bytes where a PDF library is installed, else null."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        try:
+            import fitz
+        except ImportError:
+            return pd.Series([None] * len(x), dtype=object)
+        return x.map(lambda b: "\n".join(page.get_text() for page in fitz.open(stream=b, filetype="pdf")) if b else None)
+
+    return run(content)

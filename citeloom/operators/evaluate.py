@@ -164,3 +164,9 @@ def vocabulary_arm(papers: DataFrame, doc_entity: DataFrame, membership: DataFra
     """One row: coverage of papers by entities, mean entities, clusters, share of singletons."""
     e = papers.select("doc_id").join(doc_entity.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").agg(F.avg(F.col("n").isNotNull().cast("int")).alias("coverage"), F.avg(F.coalesce("n", F.lit(0))).alias("mean_entities"))
     return e.join(F.broadcast(cluster_metrics(membership).select("clusters", (F.col("singletons") / F.col("clusters")).alias("single_share"))))
+
+
+def go_or_not(measures: DataFrame, criteria: dict[str, float], enough: int) -> DataFrame:
+    """measures with the number of criteria met (each a least value of a column) and GO, CONDITIONAL (all but one short) or KILL."""
+    met = sum(((F.col(c) >= v).cast("int") for c, v in criteria.items()), F.lit(0))
+    return measures.withColumn("met", met).withColumn("verdict", F.when(F.col("met") >= enough, "GO").when(F.col("met") == enough - 1, "CONDITIONAL").otherwise("KILL"))

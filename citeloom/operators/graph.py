@@ -123,3 +123,16 @@ def cluster_labels(papers: DataFrame, membership: DataFrame, stop: list[str], k:
     top = words.groupBy("cluster_id", "w").agg(F.count("*").alias("n")).withColumn("rn", rank).where(F.col("rn") <= k)
     label = top.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rn", "w"))).alias("t")).select("cluster_id", F.array_join(F.transform("t", lambda x: F.initcap(x["w"])), " + ").alias("label"))
     return membership.select("cluster_id").distinct().join(label, "cluster_id", "left").select("cluster_id", F.coalesce("label", F.concat(F.lit("Cluster "), "cluster_id")).alias("label"))
+
+
+def stream(doc_entity: DataFrame, start: int, mode: str = "strongest", hops: int = 2) -> DataFrame:
+    """step, doc_id: `expand` gives everything within some hops, the other modes a walk."""
+    if mode == "expand":
+        return within_hops(doc_entity, start, hops).select(F.col("hop").alias("step"), "doc_id")
+    return doc_entity.sparkSession.createDataFrame(list(enumerate(walk(doc_entity, start, mode, hops))), "step int, doc_id long")
+
+
+def restricted(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """Edges between papers that have a cluster."""
+    keys = membership.select("doc_id")
+    return edges.join(keys.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(keys.withColumnRenamed("doc_id", "dst"), "dst", "left_semi").select("src", "dst", "weight")

@@ -68,3 +68,30 @@ def shared_methods(extractions: DataFrame, membership: DataFrame, field: str, le
 def report_lines(summary: DataFrame, labels: DataFrame) -> DataFrame:
     """One sentence for each cluster."""
     return summary.join(labels, "cluster_id").select("cluster_id", F.format_string("%s: %d papers; %s", "label", F.col("size"), F.coalesce("top_entities", F.lit("no entities"))).alias("line"))
+
+
+def landscape(xy: DataFrame, membership: DataFrame) -> DataFrame:
+    """doc_id, cluster_id, x, y of every paper, and whether it is the nearest of its cluster to the centre."""
+    rows = xy.join(membership, "doc_id").select("doc_id", "cluster_id", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+    centre = rows.groupBy("cluster_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    near = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), "doc_id"))
+    return rows.join(centre, "cluster_id").withColumn("central", near == 1).drop("cx", "cy")
+
+
+def decision(summary: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Each cluster with its size, its number of bridges and its best one."""
+    sides = bridges.select(F.col("cluster_a").alias("cluster_id"), "entity_jaccard").unionAll(bridges.select("cluster_b", "entity_jaccard"))
+    links = sides.groupBy("cluster_id").agg(F.count("*").alias("bridges"), F.max("entity_jaccard").alias("best"))
+    return summary.select("cluster_id", "size").join(links, "cluster_id", "left").na.fill(0, ["bridges"])
+
+
+def all_views(tables: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
+    """The views whose tables are there; a missing table leaves its view out."""
+    makers = {"overview": (overview, "summary"), "bridges": (bridge_links, "bridges"), "colours": (colours, "membership")}
+    return {name: make(tables[need]) for name, (make, need) in makers.items() if tables.get(need) is not None}
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes and links of a network page, one JSON object a row."""
+    n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("cluster_id").alias("group"))).alias("json"))
+    return n.unionByName(edges.select(F.lit("link").alias("kind"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "weight")).alias("json")))

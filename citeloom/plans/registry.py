@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citeloom.plans import q_frontier, q_graph, q_sources, q_text
+from citeloom.plans import q_frontier, q_graph, q_more, q_sources, q_text
 
 
 def whole_counts(sql: str | None) -> str | None:
@@ -16,4 +16,4 @@ def whole_counts(sql: str | None) -> str | None:
     return sql
 
 
-QUERIES: dict = {name: (query, whole_counts(sql)) for module in (q_graph, q_text, q_frontier, q_sources) for name, (query, sql) in module.QUERIES.items()}
+QUERIES: dict = {name: (query, whole_counts(sql)) for module in (q_graph, q_text, q_frontier, q_sources, q_more) for name, (query, sql) in module.QUERIES.items()}

@@ -1,8 +1,8 @@
 """Scholarly web services as a Python data source: requests are batched, spaced and retried in the reading tasks.
 
 Options: service (a name of SERVICES), ids (comma-separated), batch (identifiers a request), spacing (seconds
-between requests of a task), attempts, fixture (a folder of saved answers `<batch number>.json`, for work
-without a network)."""
+between requests of a task), attempts, and for work without a network fixture (a folder of saved answers
+`<batch number>.json`) or answers (a JSON list of answers)."""
 
 from __future__ import annotations
 
@@ -43,11 +43,14 @@ class _Reader(DataSourceReader):
         self.size = int(options.get("batch", size))
         self.ids = [i for i in options.get("ids", "").split(",") if i]
         self.spacing, self.attempts, self.fixture = float(options.get("spacing", 0.1)), int(options.get("attempts", 3)), options.get("fixture")
+        self.answers = json.loads(options["answers"]) if options.get("answers") else None
 
     def partitions(self) -> list[_Batch]:
         return [_Batch(k, self.ids[i : i + self.size]) for k, i in enumerate(range(0, len(self.ids), self.size))]
 
     def _get(self, part: _Batch) -> str | None:
+        if self.answers is not None:
+            return self.answers[part.number] if part.number < len(self.answers) else None
         if self.fixture:
             with open(f"{self.fixture}/{part.number}.json") as f:
                 return f.read()
@@ -126,9 +129,37 @@ def resolve_ids(refs: DataFrame, lookup: DataFrame) -> DataFrame:
     return refs.join(lookup, "openalex_id").select("doc_id", F.col("doi").alias("ref"))
 
 
+def top_works(found: DataFrame, most: int) -> DataFrame:
+    """The best-cited works of a search."""
+    return found.orderBy(F.desc("cited_by_count"), "openalex_id").limit(most)
+
+
+def semantic_scholar_abstracts(answers: DataFrame) -> DataFrame:
+    """doi, abstract of answers whose body is a list beside the list of identifiers asked for: an answer without an identifier takes its place's."""
+    item = "array<struct<abstract:string,externalIds:struct<DOI:string>>>"
+    rows = answers.select(F.split("ids", ",").alias("ids"), F.posexplode(F.from_json("body", item)).alias("pos", "x"))
+    return rows.select(F.lower(F.coalesce(F.col("x.externalIds.DOI"), F.get("ids", F.col("pos")))).alias("doi"), F.col("x.abstract").alias("abstract")).where("abstract is not null")
+
+
+def europe_pmc_results(answers: DataFrame) -> DataFrame:
+    """doi, pmcid, abstract without tags."""
+    kind = "resultList struct<result:array<struct<doi:string,pmcid:string,abstractText:string>>>"
+    rows = answers.select(F.explode(F.from_json("body", kind)["resultList"]["result"]).alias("r"))
+    return rows.select(F.lower("r.doi").alias("doi"), "r.pmcid", F.regexp_replace("r.abstractText", "<[^>]+>", "").alias("abstract"))
+
+
+def one_url(answers: DataFrame, path: str) -> DataFrame:
+    """ids, url: the address at a JSON path of each answer, as a resolver of one service gives it."""
+    return answers.select("ids", F.get_json_object("body", path).alias("url")).where("url is not null")
+
+
+def is_pdf(content):
+    return F.coalesce(F.substring(content, 1, 4) == F.lit(b"%PDF"), F.lit(False))
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """Downloaded files that begin as PDFs do."""
-    return spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 4) == F.lit(b"%PDF")).select("path", "length", "content")
+    return spark.read.format("binaryFile").load(path).where(is_pdf(F.col("content"))).select("path", "length", "content")
 
 
 def sample_answer(works_: list[dict]) -> str:
