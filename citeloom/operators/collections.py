@@ -114,16 +114,19 @@ def stratified_sample(papers: DataFrame, membership: DataFrame, seed: int, targe
     return second.unionByName(fill.select("doc_id", F.lit(4).alias("stratum")))
 
 
-def batches(rows: DataFrame, order: str, size: int, part: str | None = None) -> DataFrame:
-    """rows with batch_id, the row's place in the order divided by size; counted within each value of `part` if given.
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place in the order, from 0. Places come from sorted ranges and the ranges' counts, so no task holds all rows."""
+    ranged = rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id())
+    before = ranged.groupBy("range_no").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range_no")) - F.col("n")).select("range_no", "before")
+    place = F.row_number().over(Window.partitionBy("range_no").orderBy(*order)) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(before), "range_no").withColumn(name, F.col("place") + F.col("before")).drop("range_no", "place", "before")
+
 
-    Without `part` the places come from sorted ranges and their counts, so no task holds all rows."""
+def batches(rows: DataFrame, order: str, size: int, part: str | None = None) -> DataFrame:
+    """rows with batch_id, the row's place in the order divided by size; counted within each value of `part` if given."""
     if part:
         return rows.withColumn("batch_id", F.floor((F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1) / size))
-    ranged = rows.repartitionByRange(order).withColumn("range_no", F.spark_partition_id())
-    before = ranged.groupBy("range_no").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range_no")) - F.col("n")).select("range_no", "before")
-    place = F.row_number().over(Window.partitionBy("range_no").orderBy(order)) - 1
-    return ranged.withColumn("place", place).join(F.broadcast(before), "range_no").withColumn("batch_id", F.floor((F.col("place") + F.col("before")) / size)).drop("range_no", "place", "before")
+    return numbered(rows, [F.col(order)], "batch_id").withColumn("batch_id", F.floor(F.col("batch_id") / size))
 
 
 def prompts(rows: DataFrame, size: int, header: str = "") -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.operators.collections import numbered
 from citeloom.operators.evaluate import agreement, cluster_metrics
 
 
@@ -108,11 +109,9 @@ def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0,
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Labels as numbers from 0, by size (largest first) and least member. The list of communities is what gets sorted."""
-    from pyspark.sql import Window
-
+    """Labels as numbers from 0, by size (largest first) and least member."""
     sizes = rows.groupBy("least").agg(F.count("*").alias("n"))
-    ids = sizes.withColumn("cluster_id", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("string")).select("least", "cluster_id")
+    ids = numbered(sizes, [F.desc("n"), F.col("least")], "cluster_id").select("least", F.col("cluster_id").cast("string").alias("cluster_id"))
     return rows.join(ids, "least").select("doc_id", "cluster_id")
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.operators.collections import numbered
+
 # Words that, capitalised in a title or found in an abstract, name no entity.
 STOP_WORDS = (
     "the a an of in for to and with on using towards building based new novel large comprehensive survey review challenges future applications current scale from "
@@ -146,6 +148,6 @@ def mine_vocabulary(papers: DataFrame, known: list[str], least: int = 2) -> Data
 
 def entity_matrix(papers: DataFrame, doc_entity: DataFrame) -> DataFrame:
     """The 0/1 matrix as rows: doc_id and the sorted numbers of its entities; papers without entities keep an empty row."""
-    number = document_frequency(doc_entity).withColumn("col", F.row_number().over(Window.orderBy("entity")) - 1).select("entity", "col")
+    number = numbered(document_frequency(doc_entity).select("entity"), [F.col("entity")], "col")
     rows = doc_entity.join(number, "entity").groupBy("doc_id").agg(F.sort_array(F.collect_list("col")).alias("cols"))
-    return papers.select("doc_id").join(rows, "doc_id", "left").withColumn("cols", F.coalesce("cols", F.array().cast("array<int>")))
+    return papers.select("doc_id").join(rows, "doc_id", "left").withColumn("cols", F.coalesce("cols", F.array().cast("array<long>")))

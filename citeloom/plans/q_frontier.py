@@ -133,11 +133,12 @@ CROSS_COLS = ["cluster_a", "cluster_b", "entity_jaccard", "r_gap", "bridge_score
 
 
 def _pool(s, d):
-    p = K.table(s, d, "part").where("p_partkey < 400")
-    return p.select(F.col("p_partkey").cast("string").alias("item"), (F.col("p_size") / 50).alias("momentum"), (F.col("p_retailprice") / 2000).alias("gap"), ((F.col("p_partkey") % 9) / 10).alias("failure"))
+    """Suppliers as recommendations with three parts."""
+    p = K.table(s, d, "supplier")
+    return p.select(F.col("s_suppkey").cast("string").alias("item"), (F.col("s_nationkey") / 25).alias("momentum"), (F.abs("s_acctbal") / 10000).alias("gap"), ((F.col("s_suppkey") % 9) / 10).alias("failure"))
 
 
-POOL = "pool AS (SELECT CAST(p_partkey AS VARCHAR) AS item, p_size / 50 AS momentum, p_retailprice / 2000 AS gap, (p_partkey % 9) / 10 AS failure FROM part WHERE p_partkey < 400)"
+POOL = "pool AS (SELECT CAST(s_suppkey AS VARCHAR) AS item, s_nationkey / 25 AS momentum, abs(s_acctbal) / 10000 AS gap, (s_suppkey % 9) / 10 AS failure FROM supplier)"
 VEC = "c AS (SELECT label, list(m ORDER BY i) AS centroid, max(k) AS n FROM (SELECT label, i, avg(v) AS m, count(*) AS k FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
 COS = "list_cosine_similarity(embedding::DOUBLE[], centroid)"
 
@@ -159,7 +160,7 @@ def _communities(s, d):
 
 
 def _talk_edges(s, d):
-    cells = K.table(s, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("doc_id"), F.explode(F.array("p_brand", "p_name")).alias("entity"))
+    cells = K.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.array("p_brand", "p_name")).alias("entity"))
     return cells.select("doc_id").distinct(), G.shared_edges(cells).withColumn("weight", F.col("weight").cast("double"))
 
 
@@ -238,8 +239,8 @@ SELECT round(avg(new) FILTER (WHERE len > 0), 6) AS mean_with, round(avg(new) FI
         "SELECT count(*) AS n_papers, round(avg(CASE WHEN quality = 1 THEN 1 ELSE 0 END) * 100, 4) AS xml_pct, round(avg(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) * 100, 4) AS pdf_pct, round(avg(CASE WHEN quality = 1 OR toxic = 1 THEN 1 ELSE 0 END) * 100, 4) AS any_pct, avg(CASE WHEN quality = 1 OR toxic = 1 THEN 1 ELSE 0 END) * 100 >= 60 AS enough FROM documents LEFT JOIN labels USING (doc_id)",
     ),
     "ev_rho_gate": (
-        lambda s, d: _round(V.rho_gate(K.part_entities(s, d), K.part_papers(s, d).select(F.col("doc_id").alias("a"), (F.col("doc_id") * 7 % 2000).alias("b")).where("a < b and b < 200")), rho=6),
-        f"""WITH {PE}, n AS (SELECT doc_id, count(*) AS n FROM pe GROUP BY 1), q AS (SELECT p_partkey AS a, p_partkey * 7 % 2000 AS b FROM part WHERE p_partkey < p_partkey * 7 % 2000 AND p_partkey * 7 % 2000 < 200), sh AS (SELECT a, b, count(*) AS s FROM q JOIN pe x ON x.doc_id = a JOIN pe y ON y.doc_id = b AND x.entity = y.entity GROUP BY 1, 2),
+        lambda s, d: _round(V.rho_gate(K.part_entities(s, d), K.part_papers(s, d).select(F.col("doc_id").alias("a"), (F.col("doc_id") * 7 % 2000).alias("b")).where("a < b")), rho=6),
+        f"""WITH {PE}, n AS (SELECT doc_id, count(*) AS n FROM pe GROUP BY 1), q AS (SELECT p_partkey AS a, p_partkey * 7 % 2000 AS b FROM part WHERE p_partkey < p_partkey * 7 % 2000), sh AS (SELECT a, b, count(*) AS s FROM q JOIN pe x ON x.doc_id = a JOIN pe y ON y.doc_id = b AND x.entity = y.entity GROUP BY 1, 2),
  v AS (SELECT round(coalesce(s, 0) / (na.n + nb.n - coalesce(s, 0)), 12) AS j, round(coalesce(s, 0) / sqrt(na.n * nb.n), 12) AS c FROM q LEFT JOIN sh USING (a, b) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b), r AS (SELECT {AVG_RANK.format(v="j")} AS x, {AVG_RANK.format(v="c")} AS y FROM v)
 SELECT (SELECT count(*) FROM n) AS n_papers, count(*) AS n_pairs, round(corr(x, y), 6) AS rho, CASE WHEN corr(x, y) BETWEEN 0.3 AND 0.7 THEN 'GO' ELSE 'SKIP' END AS verdict FROM r""",
     ),
@@ -386,7 +387,7 @@ SELECT cluster_id, entity_a, entity_b, round({AVG_RANK.format(v="g")} / count(*)
         BRIDGES + ", o AS (SELECT round(len(list_filter(top[:5], lambda e: NOT (contains(e, '-') OR contains(e, '/') OR contains(e, ' ')))) / len(top[:5]), 3) AS a, round(len(list_filter(top[:5], lambda e: e IN ('red', 'ring'))) / len(top[:5]), 3) AS b FROM bridge) SELECT count(*) AS pairs, round(avg(CASE WHEN a <= 0.4 THEN 1 ELSE 0 END), 6) AS old_pass, round(avg(CASE WHEN b <= 0.4 THEN 1 ELSE 0 END), 6) AS new_pass FROM o",
     ),
     "cl_leiden": (lambda s, d: _communities(s, d), None),
-    "cl_citation": (lambda s, d: U.citation_clusters(K.part_papers(s, d).select("doc_id"), K.part_citations(s, d).where("src % 20 = dst % 20")), None),
+    "cl_citation": (lambda s, d: U.citation_clusters(K.part_papers(s, d).select("doc_id"), K.part_citations(s, d)), None),
     "cl_components": (
         lambda s, d: U.connected(K.part_papers(s, d).select("doc_id"), _graph(s, d)),
         "WITH RECURSIVE e AS (SELECT a.p_partkey AS src, b.p_partkey AS dst FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name), r AS (SELECT p_partkey AS doc_id, p_partkey AS c FROM part UNION SELECT dst, c FROM r JOIN e ON src = doc_id) SELECT doc_id, min(c) AS component FROM r GROUP BY 1",

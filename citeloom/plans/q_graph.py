@@ -127,8 +127,8 @@ SELECT count(*) AS n_papers, round(avg(n), 6) AS mean_entities, round(median(n),
         f"WITH {PP}, {PT} SELECT cluster_id, doc_id, title FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id) AS rn FROM pp JOIN pt USING (doc_id)) WHERE rn <= 10",
     ),
     "op_export_labelled": (
-        lambda s, d: C.with_cluster(K.part_papers(s, d), K.part_sizes(s, d).where("doc_id % 5 <> 0")).select("doc_id", "cluster_id"),
-        f"WITH {PS} SELECT p_partkey AS doc_id, coalesce(ps.cluster_id, '-1') AS cluster_id FROM part LEFT JOIN ps ON p_partkey = ps.doc_id AND ps.doc_id % 5 <> 0",
+        lambda s, d: C.with_cluster(K.part_papers(s, d), K.part_sizes(s, d).where("cluster_id <> '2'")).select("doc_id", "cluster_id"),
+        f"WITH {PS} SELECT p_partkey AS doc_id, coalesce(ps.cluster_id, '-1') AS cluster_id FROM part LEFT JOIN ps ON p_partkey = ps.doc_id AND ps.cluster_id <> '2'",
     ),
     "op_seed_top5": (
         lambda s, d: K.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("cites"), F.min(F.year("o_orderdate")).alias("year")).where("year <= 2022 and cites between 2 and 9999").orderBy(F.desc("cites"), "o_custkey").limit(5),

@@ -152,7 +152,7 @@ QUERIES = {
         lambda s, d: K.part_papers(s, d).join(K.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), T.strip_tags(F.col("html")).alias("text")), "doc_id", "left").agg(F.count("*").alias("n_papers"), F.count_if(F.length("text") > 500).alias("n_long")),
         "SELECT count(*) AS n_papers, count_if(length(regexp_replace(html, '<[^>]+>', '', 'g')) > 500) AS n_long FROM part LEFT JOIN pages ON p_partkey = page_id",
     ),
-    "cl_subcluster_cmd": (lambda s, d: _subs(s, d).groupBy(F.split_part("cluster_id", F.lit("."), F.lit(1)).alias("parent")).agg(F.count("*").alias("n")), "SELECT CAST(p_partkey % 4 AS VARCHAR) AS parent, count(*) AS n FROM part WHERE p_size <= 10 GROUP BY 1"),
+    "cl_subcluster_cmd": (lambda s, d: _subs(s, d).groupBy(F.split_part("cluster_id", F.lit("."), F.lit(1)).alias("parent")).agg(F.count("*").alias("n")), "SELECT CAST(p_partkey % 4 AS VARCHAR) AS parent, count(*) AS n FROM part GROUP BY 1"),
     "cl_cluster_topics": (
         lambda s, d: G.cluster_summary(K.part_entities(s, d), K.part_types(s, d), 3).select("cluster_id", "size", T.truncate(F.col("top_entities"), 12).alias("topics")),
         f"WITH {PE}, {PT}, c AS (SELECT cluster_id, entity, count(*) AS n FROM pe JOIN pt USING (doc_id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, entity) AS rn FROM c), t AS (SELECT cluster_id, string_agg(entity, ',' ORDER BY rn) AS t FROM r WHERE rn <= 3 GROUP BY 1) SELECT cluster_id, (SELECT count(*) FROM pt WHERE pt.cluster_id = t.cluster_id) AS size, CASE WHEN length(t) > 12 THEN t[:12] || '...' ELSE t END AS topics FROM t",

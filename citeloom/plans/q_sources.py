@@ -89,8 +89,8 @@ QUERIES = {
         "SELECT * FROM (VALUES ('10.1/a', 1, 'T', 'a b'), ('10.1/z', 2, 'keep', NULL)) v(doi, year, title, abstract)",
     ),
     "src_resolve_ids": (
-        lambda s, d: H.resolve_ids(K.part_refs(s, d).select("doc_id", F.col("ref").alias("openalex_id")), K.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("openalex_id"), F.col("s_name").alias("doi"))),
-        "SELECT DISTINCT l_partkey AS doc_id, s_name AS ref FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 2 = 0",
+        lambda s, d: H.resolve_ids(K.part_refs(s, d).select("doc_id", F.col("ref").alias("openalex_id")), K.table(s, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").alias("openalex_id"), F.col("s_name").alias("doi"))),
+        "SELECT DISTINCT l_partkey AS doc_id, s_name AS ref FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 12",
     ),
     "src_topics": (
         lambda s, d: E.topic_entities(P.papers_from_json(_raw(s, PAPERS)).where("doi is not null").withColumnRenamed("doi", "doc_id")),
