@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +58,26 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+#: What a Python worker keeps between tasks: the state of one operator at a time.
+_held: dict = {"family": None}
+
+
+def hold(family: str, key=None, make=None):
+    """State that later tasks of this worker use again. Another family's state goes first, so that operators' caches don't add up."""
+    if _held["family"] != family:
+        _held.clear()
+        _held["family"] = family
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+    if make is None:
+        return None
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns an operator reads, whatever else the table holds."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

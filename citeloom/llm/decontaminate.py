@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import raw_bytes
+from .common import hold, raw_bytes
 
 #: Bytes of words: ASCII letters and digits and everything beyond ASCII; letters in lower case, the rest a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -28,9 +28,6 @@ ONE_AUTOMATON = 16 << 20
 STATE = "doc_id long, text string, spans array<struct<first:int,last:int>>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
 
-_automata: dict = {}
-
-
 def windows(text: bytes, width: int) -> set[bytes]:
     """The windows of an item: every run of `width` words, or all its words if it has fewer."""
     words = text.translate(NORMAL).split()
@@ -113,46 +110,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col
     state = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole_rows)
     rest = [StructField("row", docs.schema)] * whole_rows
 
-    def one_pass(shared):
+    def one_pass(shared, last: bool):
         key = uuid.uuid4().hex
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if key not in _automata:
-                _automata.clear()
-                _automata[key] = automaton(shared.value, width)
-            found = _automata[key]
-            for batch in batches:
-                spans, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                for i, text in enumerate(raw_bytes(batch.column(1))):
-                    got, who = _scan(found, text)
-                    if got:
-                        spans[i] = [{"first": a, "last": b} for a, b in merged(got + [(x["first"], x["last"]) for x in spans[i] or []])]
-                        names[i] = sorted(who | set(names[i] or []))
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind), pa.array(names, pa.list_(pa.string())), *batch.columns[4:]], names=["doc_id", "text", "spans", "items", *["row"] * whole_rows])
+            found = hold(f"automaton {key}", "automaton", lambda: automaton(shared.value, width))
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    texts = raw_bytes(batch.column(1))
+                    spans = [[(x["first"], x["last"]) for x in s or []] for s in batch.column(2).to_pylist()]
+                    names = [x or [] for x in batch.column(3).to_pylist()]
+                    for i, text in enumerate(texts):
+                        got, who = _scan(found, text)
+                        if got:
+                            spans[i], names[i] = merged(got + spans[i]), sorted(who | set(names[i]))
+                    yield (_result if last else _state)(batch, texts, spans, pa.array(names, pa.list_(pa.string())))
 
         return scan
 
-    for part in _passes(items):
-        state = state.mapInArrow(one_pass(sc.broadcast(part)), StructType([*StructType.fromDDL(STATE).fields, *rest]))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = raw_bytes(batch.column(1))
-            spans = [[(x["first"], x["last"]) for x in s or []] for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(t.translate(NORMAL).split()) for t in texts], pa.int64()),
-                    pa.array([sum(b - a + 1 for a, b in s) for s in spans], pa.int64()),
-                    pa.array([_offsets(t, s) if s else [] for t, s in zip(texts, spans, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array([x or [] for x in batch.column(3).to_pylist()], pa.list_(pa.string())),
-                    *batch.columns[4:],
-                ],
-                names=["doc_id", "n_words", "n_hit", "spans", "items", *["row"] * whole_rows],
-            )
-
-    return state.mapInArrow(finish, StructType([*StructType.fromDDL(RESULT).fields, *rest]))
+    parts = _passes(items)
+    for k, part in enumerate(parts):
+        last = k == len(parts) - 1
+        state = state.mapInArrow(one_pass(sc.broadcast(part), last), StructType([*StructType.fromDDL(RESULT if last else STATE).fields, *rest]))
+    return state
+
+
+def _state(batch: pa.RecordBatch, texts: list[bytes], spans: list, items: pa.Array) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    found = pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], kind)
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, items, *batch.columns[4:]], names=batch.schema.names)
+
+
+def _result(batch: pa.RecordBatch, texts: list[bytes], spans: list, items: pa.Array) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    words = pa.array([len(t.translate(NORMAL).split()) for t in texts], pa.int64())
+    hits = pa.array([sum(b - a + 1 for a, b in s) for s in spans], pa.int64())
+    offsets = pa.array([_offsets(t, s) if s else [] for t, s in zip(texts, spans, strict=True)], kind)
+    return pa.RecordBatch.from_arrays([batch.column(0), words, hits, offsets, items, *batch.columns[4:]], names=["doc_id", "n_words", "n_hit", "spans", "items", *batch.schema.names[4:]])
 
 
 def contaminated(n_hit, n_words):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, raw_bytes
+from .common import hold, id_and_text, raw_bytes
 
 #: Hashed features, and the longest n-gram in bytes.
 FEATURES, LONGEST = 4096, 4
@@ -94,6 +94,7 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     """A model from labelled rows: languages, codewords and the bits' classifiers. The sample is bounded; see training_rows."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("languages")
         for batch in batches:
             rows = [profile(t).astype(np.float16).tobytes() for t in raw_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
@@ -129,6 +130,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("languages")
         m = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -151,6 +153,7 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.3, id_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("languages")
         m = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, raw_bytes
+from .common import hold, id_and_text, raw_bytes
 
 # Sentences of public license texts and notices, by identifier.
 SENTENCES = {
@@ -151,6 +151,7 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules
     sentences, rules = sentences or SENTENCES, rules or RULES
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("licenses")
         known = Recogniser(sentences, rules)
         kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("sentences", pa.list_(pa.string()))]))
         for whole in batches:

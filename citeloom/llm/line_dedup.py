@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, raw_bytes
+from .common import hold, id_and_text, raw_bytes
 
 #: Words that make a window of fewer than three lines.
 LONG_WORDS = 50
@@ -37,6 +37,7 @@ def line_windows(text: bytes, width: int = WIDTH, long_words: int = LONG_WORDS)
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("lines")
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_and_text, materialize, raw_bytes
+from .common import discard, hold, id_and_text, materialize, raw_bytes
 from .components import components
 from .shingles import shingle_set
 
@@ -29,7 +29,7 @@ COUNTED = int(0.3 * 2**64)
 #: Classes from which a counted shingle goes to the end of the order.
 COMMON = 64
 #: Hashes that a map task gathers before it hands them on, and those that a counting task gets.
-GATHER, COUNT_TASK = 1 << 21, 1 << 22
+GATHER, COUNT_TASK = 1 << 20, 1 << 21
 #: Rows of a block; groups with fewer rows share a task, as many as make up a block.
 BLOCK = 1000
 #: Columns with more rows than this are multiplied as dense blocks of so many columns, the others pair by pair.
@@ -47,6 +47,7 @@ def _signature(s: np.ndarray) -> bytes:
 
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("shingles")
         for batch in batches:
             sets = [shingle_set(t, width) for t in raw_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -61,6 +62,7 @@ def _counted_postings(width: int, parts: int):
     """(part, hashes, counts, signatures): blocks of counted shingles, class after class, with each class's number of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("shingles")
         sets, sigs, held, done = [], [], 0, set()
 
         def flush() -> pa.RecordBatch:
@@ -97,15 +99,16 @@ def _counted_postings(width: int, parts: int):
     return run
 
 
-def _shared(frame: pd.DataFrame) -> pd.DataFrame:
+def _shared(table: pa.Table) -> pa.Table:
     """Of one part: (sig, hash, df) of the shingles that two classes or more have."""
-    sigs = np.frombuffer(b"".join(frame["sigs"]), "<u8").reshape(-1, 2)
-    owner = np.repeat(np.arange(len(sigs)), np.frombuffer(b"".join(frame["counts"]), np.uint32))
-    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["hashes"]])
+    hold("shingles")
+    sigs = np.frombuffer(b"".join(table["sigs"].to_pylist()), "<u8").reshape(-1, 2)
+    owner = np.repeat(np.arange(len(sigs), dtype=np.int32), np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32))
+    hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
     by_sig = np.lexsort((sigs[:, 1], sigs[:, 0]))
     ordered = sigs[by_sig]
     new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(1)])
-    number = np.empty(len(sigs), np.int64)
+    number = np.empty(len(sigs), np.int32)
     number[by_sig] = np.cumsum(new) - 1
     names = ordered[new]
     cls = number[owner]
@@ -116,7 +119,9 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     runs = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
     df = np.repeat(np.diff(runs), np.diff(runs))
     many = df > 1
-    return pd.DataFrame({"sig": [x.tobytes() for x in names[c[many]]], "hash": h[many].view(np.int64), "df": df[many].astype(np.int32)})
+    n = int(many.sum())
+    found = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(names[c[many]]))])
+    return pa.table({"sig": found, "hash": h[many].view(np.int64), "df": df[many].astype(np.int32)})
 
 
 def _order(width: int, percent: int):
@@ -150,12 +155,13 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
     cuts = np.flatnonzero(np.concatenate([[True], columns[1:] != columns[:-1], [True]]))
     starts, df = cuts[:-1], np.diff(cuts)
     out = np.zeros(m * m, np.float32)
+    one = np.float32(1)
     for d in range(2, DENSE_FROM + 1):
         at = starts[df == d]
         i, j = np.triu_indices(d, 1)
-        for k in range(0, len(at), max(1, 2_000_000 // len(i))):
-            own = owner[at[k : k + max(1, 2_000_000 // len(i)), None] + np.arange(d)]
-            out += np.bincount((own[:, i] * m + own[:, j]).ravel(), minlength=m * m)
+        for k in range(0, len(at), max(1, 500_000 // len(i))):
+            own = owner[at[k : k + max(1, 500_000 // len(i)), None] + np.arange(d)]
+            np.add.at(out, (own[:, i] * m + own[:, j]).ravel(), one)
     out = out.reshape(m, m)
     out += out.T
     at = np.flatnonzero(df > DENSE_FROM)
@@ -171,8 +177,11 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
 def linked(rows: list[np.ndarray], percent: int) -> np.ndarray:
     """Which pairs reach the similarity; those whose sizes alone forbid it are out whatever the product says."""
     n = np.array([len(r) for r in rows], np.float64)
-    o = overlaps(rows).astype(np.float64)
-    links = (100 * o >= percent * (n[:, None] + n[None, :] - o)) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    product = overlaps(rows)
+    links = np.empty(product.shape, bool)
+    for k in range(0, len(rows), 256):  # a few rows at a time, to keep double precision's copies small
+        o, own = product[k : k + 256].astype(np.float64), n[k : k + 256, None]
+        links[k : k + 256] = (100 * o >= percent * (own + n - o)) & (100 * np.minimum(own, n) >= percent * np.maximum(own, n))
     np.fill_diagonal(links, False)
     return links
 
@@ -194,6 +203,7 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
 
 def _multiply(percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        hold("shingles")
         out: list[tuple] = []
         for _, group in frame.groupby(["grp", "bi", "bj"], sort=False):
             rows = [np.frombuffer(x, np.uint64) for x in group["members"]]
@@ -202,7 +212,7 @@ def _multiply(percent: int):
             if group["bi"].iat[0] != group["bj"].iat[0]:  # pairs within a block are another task's
                 links &= block[:, None] != block[None, :]
             roots = dict(_forest(links))
-            weight = links.astype(np.float64) @ docs
+            weight = np.concatenate([links[k : k + 256] @ docs for k in range(0, len(links), 256)])
             out += [(sigs[i], sigs[roots.get(i, i)], int(weight[i])) for i in np.flatnonzero(links.any(1))]
         return pd.DataFrame(out, columns=["sig", "root", "links"])
 
@@ -229,7 +239,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     total = members.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n")).agg(F.sum("n")).first()[0] or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(total * 0.3) // COUNT_TASK + 1)
     counted = rows.select("text").mapInArrow(_counted_postings(width, parts), "part int, hashes binary, counts binary, sigs binary")
-    shared = counted.groupBy("part").applyInPandas(_shared, "sig binary, hash long, df int")
+    shared = counted.groupBy("part").applyInArrow(_shared, "sig binary, hash long, df int")
     # A class stays while the shingles that it alone has don't fill its prefix.
     by_class = shared.groupBy("sig").agg(F.collect_list("hash").alias("hashes"), F.collect_list("df").alias("dfs"))
     classes = members.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.first("n").alias("n"), F.first("low").alias("low"), F.count("*").alias("docs"))

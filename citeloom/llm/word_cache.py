@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from .common import hold
+
 #: Longest pre-token (bytes) that a cache holds on to; longer ones are encoded each time.
 LONGEST_KEPT = 96
 #: Entries at which a worker's cache starts anew.
@@ -22,21 +24,15 @@ TOGETHER = 256
 #: ASCII letters with marks behind them: the marks are a piece of their own in any tokenizer that parts letters from marks.
 MARKED = re.compile(rb"([A-Za-z]+)([.,;:!?]+)")
 
-_loaded: dict[str, object] = {}
-_caches: dict[tuple, dict[bytes, object]] = {}
-
-
 def library_tokenizer(path: str):
-    """The tokenizers library's tokenizer of a file, loaded once in a Python worker."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    """The tokenizers library's tokenizer of a file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        _loaded[path] = tok
-    return _loaded[path]
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
 
 def encode_words(tok, words: list[bytes]) -> list[list[int]]:
@@ -59,15 +55,16 @@ class PretokenCache:
     A first tier may be given. Misses are encoded in batches and remembered by the worker, for later tasks as well."""
 
     def __init__(self, tokenizer_path: str, kind: str, keep: Callable[[list[int]], object], join: Callable[[object, object], object], first: dict | None = None, entries: int = CACHE_ENTRIES):
-        self.key, self.keep, self.join, self.first, self.entries = (tokenizer_path, kind), keep, join, first or {}, entries
-        if self.key not in _caches:
-            _caches[self.key] = dict(self.first)
+        self.kind, self.keep, self.join, self.first, self.entries = kind, keep, join, first or {}, entries
+        self.tokenizer = hold(f"pre-tokens {tokenizer_path} {kind}", "tokenizer", lambda: library_tokenizer(tokenizer_path))
+        self.known = hold(f"pre-tokens {tokenizer_path} {kind}", "known", lambda: dict(self.first))
 
     def learn(self, texts: Iterable[list[bytes]]) -> dict[bytes, object]:
         """A mapping with all pre-tokens of these texts."""
-        known = _caches[self.key]
+        known = self.known
         if len(known) > self.entries:
-            known = _caches[self.key] = dict(self.first)
+            known.clear()
+            known.update(self.first)
         wanted: set[bytes] = set()
         for words in texts:
             wanted.update(words)
@@ -78,7 +75,7 @@ class PretokenCache:
         whole = [w for w in missing if w not in split]
         whole += list({p for pair in split.values() for p in pair if p not in known})
         once = {}
-        for word, ids in zip(whole, encode_words(library_tokenizer(self.key[0]), whole), strict=True):
+        for word, ids in zip(whole, encode_words(self.tokenizer, whole), strict=True):
             (known if len(word) <= LONGEST_KEPT else once)[word] = self.keep(ids)
         both = {**known, **once} if once else known
         for word, (letters, marks) in split.items():
