@@ -117,9 +117,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     limits = materialize(fences(measured), "fences")
     bounds = [c for c in limits.columns if c not in ("f_lang", "f_source", "level", "n")]
     language = limits.where("level = 1").select(F.col("f_lang").alias("l_lang"), F.col("n").alias("l_n"), *[F.col(c).alias(f"l_{c}") for c in bounds])
-    everything = limits.where("level = 3").select(*[F.col(c).alias(f"a_{c}") for c in bounds]).limit(1)
-    own = limits.where("level = 0").join(language, F.col("f_lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(everything))
-    pick = [F.when(F.col("n") >= OWN_FENCES, F.col(c)).when(F.col("l_n") >= OWN_FENCES, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c) for c in bounds]
+    whole = limits.where("level = 3").first()  # one row of numbers
+    own = limits.where("level = 0").join(language, F.col("f_lang").eqNullSafe(F.col("l_lang")))
+    pick = [F.when(F.col("n") >= OWN_FENCES, F.col(c)).when(F.col("l_n") >= OWN_FENCES, F.col(f"l_{c}")).otherwise(F.lit(whole[c] if whole else None).cast("double")).alias(c) for c in bounds]
     chosen = materialize(own.select("f_lang", "f_source", *pick), "fences")
     both = measured.join(chosen, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     failed = base_failed()
