@@ -8,47 +8,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, ngram_join, quality_rules, token_count, token_files
-from .common import table
+from .common import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return token_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality(table(spark, sf_dir, "documents"))
+    return quality_rules.quality(documents(spark, sf_dir))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.language_id(table(spark, sf_dir, "documents"))
+    return language_id.language_id(documents(spark, sf_dir))
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+    return lm_score.lm_scores(documents(spark, sf_dir))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.token_file_digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.digest(table(spark, sf_dir, "documents"))
+    return ngram_join.digest(documents(spark, sf_dir))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.digest(table(spark, sf_dir, "documents"))
+    return license_scan.digest(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
