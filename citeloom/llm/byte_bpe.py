@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by DuckDB queries in each partition.
 
-A recursive query holds a row for each token position of each word, joins neighbours to the merge table and
+A recursive query lays out a row for each token position of each word, joins neighbours to the merge table and
 contracts every word's leftmost pair of minimum rank, until no word has a pair that merges. Workers remember
 the words that they have met, so a word goes through the query once as long as it is remembered. Decoding
 joins ids to the vocabulary's bytes and puts them together by an ordered aggregation.
@@ -18,26 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import raw_bytes
+from .common import hold, raw_bytes
 
 #: Words that a worker remembers before it starts anew, and the longest (characters) that it does.
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 700_000, 64
 #: Words that one query takes, and about how many rows it may pile up before it hands over what it has.
-TOGETHER, PILED_UP = 20_000, 4_000_000
+TOGETHER, PILED_UP = 20_000, 2_000_000
 #: Texts encoded or decoded together.
-GROUP = 256
+GROUP = 1024
 
 _SPLIT = """
 WITH RECURSIVE s AS (
-  SELECT 0 AS step, w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM start
+  SELECT 0 AS step, w, toks FROM start
   UNION ALL
-  (WITH pair AS (SELECT s.w, (m.rank::BIGINT << 32) | s.pos AS key FROM s JOIN merges m ON s.tok = m.l AND s.nxt = m.r WHERE s.step < $steps),
-        best AS (SELECT w, min(key) AS key FROM pair GROUP BY w),
-        moved AS (SELECT s.step + 1 AS step, s.w, s.pos, CASE WHEN s.pos = (key & 4294967295) THEN (key >> 32)::INT ELSE s.tok END AS tok,
-                         lag(s.pos) OVER (PARTITION BY s.w ORDER BY s.pos) AS prev, key FROM s JOIN best USING (w))
-   SELECT step, w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) FROM moved WHERE prev IS DISTINCT FROM (key & 4294967295))
+  (WITH place AS (SELECT w, unnest(range(1, len(toks))) AS pos, (unnest(toks[:-2])::BIGINT << 20) | unnest(toks[2:]) AS pair FROM s WHERE len(toks) > 1 AND step < $steps),
+        best AS (SELECT w, min((rank::BIGINT << 32) | pos) AS key FROM place JOIN merges USING (pair) GROUP BY w)
+   SELECT step + 1, w, toks[:(key & 4294967295) - 1] || [(key >> 32)::INT] || toks[(key & 4294967295) + 2:] FROM s JOIN best USING (w))
 )
-SELECT w, list(tok ORDER BY pos) AS ids, min(last) AS last FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM s) WHERE step = last GROUP BY w
+SELECT w, arg_max(toks, step) AS ids, max(step) AS last FROM s GROUP BY w
 """
 _JOIN = "SELECT d, string_agg(hex, '' ORDER BY p) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY d"
 
@@ -55,39 +53,39 @@ class _Engine:
 
         ranks = read_ranks(path)
         self.folder = tempfile.TemporaryDirectory(prefix="bpe-")
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "500MB", "temp_directory": self.folder.name})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": self.folder.name})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        merges = pa.table({k: pa.array(x, pa.int32()) for k, x in zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True)})
+        merges = pa.table({"pair": pa.array([left << 20 | right for left, right, _ in pairs], pa.int64()), "rank": pa.array([r for _, _, r in pairs], pa.int32())})
         vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]})
         self.db.register("m", merges)
         self.db.register("v", vocabulary)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word. Runs of the recursion are cut so that the rows piled up stay bounded, and go on where they stopped."""
-        done: list[list[int]] = [[]] * len(words)
-        todo = {i: self.byte[np.frombuffer(w, np.uint8)] for i, w in enumerate(words) if w}
-        while todo:
-            lengths = np.fromiter(map(len, todo.values()), np.int64, len(todo))
-            keys = np.fromiter(todo, np.int32, len(todo))
-            first = np.cumsum(lengths) - lengths
-            total = int(lengths.sum())
-            steps = max(32, PILED_UP // total)
-            start = pa.table({"w": np.repeat(keys, lengths), "pos": (np.arange(total) - np.repeat(first, lengths)).astype(np.int32), "tok": np.concatenate(list(todo.values()))})
-            self.db.register("start", start)
-            rest = {}
-            for w, ids, last in self.db.execute(_SPLIT, {"steps": steps}).fetchall():
-                if last == steps:
-                    rest[w] = np.array(ids, np.int32)
-                else:
-                    done[w] = ids
-            todo = rest
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as 32-bit little-endian numbers. Runs of the recursion are cut so that the rows piled up stay bounded, and go on where they stopped."""
+        done = [b""] * len(words)
+        keys = np.arange(len(words), dtype=np.int32)
+        ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+        tokens = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        while len(keys):
+            steps = max(32, PILED_UP // max(1, len(tokens)))
+            self.db.register("start", pa.table({"w": keys, "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))}))
+            found = self.db.sql(_SPLIT, params={"steps": steps}).to_arrow_table().combine_chunks()
+            lists, w, last = found.column("ids").combine_chunks(), found.column("w").to_numpy(), found.column("last").to_numpy()
+            flat, cuts = lists.values.to_numpy().astype("<i4"), lists.offsets.to_numpy()
+            raw, bounds = flat.tobytes(), (cuts * 4).tolist()
+            for k, word in enumerate(w.tolist()):
+                done[word] = raw[bounds[k] : bounds[k + 1]]
+            more = np.flatnonzero(last == steps)
+            keys = w[more].astype(np.int32)
+            ends = np.cumsum([0, *(cuts[more + 1] - cuts[more])]).astype(np.int32)
+            tokens = np.concatenate([flat[cuts[k] : cuts[k + 1]] for k in more]) if len(more) else flat[:0]
         return done
 
-    def learn(self, wanted: set[str]) -> dict[str, list[int]]:
+    def learn(self, wanted: set[str]) -> dict[str, bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
         missing = sorted((w for w in wanted if w not in self.known), key=len)
@@ -113,19 +111,25 @@ class _Engine:
         return out
 
 
-_engines: dict[str, _Engine] = {}
+def _engine(path: str) -> _Engine:
+    return hold(f"byte BPE {path}", "engine", lambda: _Engine(path))
 
 
-def _engine(path: str) -> _Engine:
-    if path not in _engines:
-        _engines[path] = _Engine(path)
-    return _engines[path]
+def _encoded(engine: _Engine, pattern, texts: list[bytes]) -> list[np.ndarray]:
+    split = [pattern.findall(t.decode("utf-8", "replace")) for t in texts]
+    known = engine.learn(set().union(*split))
+    return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded_col: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, the columns in `keep`, ids array<int>. Every match of the pattern is encoded by itself.
 
-    Null and empty texts have no ids; null ids stay; repeated rows are encoded each; other columns are not read."""
+    With decoded_col also the bytes that the ids decode to, by the same worker. Null and empty texts have no ids;
+    null ids stay; repeated rows are encoded each; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -134,19 +138,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for whole in batches:
             for at in range(0, whole.num_rows, GROUP):
                 batch = whole.slice(at, GROUP)
-                split = [pat.findall(t.decode("utf-8", "replace")) for t in raw_bytes(batch.column(1))]
-                known = engine.learn(set().union(*split))
-                rows, ends = [], [0]
-                for words in split:
-                    for w in words:
-                        rows += known[w]
-                    ends.append(len(rows))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(rows, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], ids], names=["doc_id", *keep, "ids"])
+                rows = _encoded(engine, pat, raw_bytes(batch.column(1)))
+                back = [pa.array(engine.decode(rows), pa.binary())] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], _lists(rows), *back], names=["doc_id", *keep, "ids", *[decoded_col] * len(back)])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
     kept = [f for f in rows.schema.fields if f.name in keep]
-    return rows.mapInArrow(run, StructType([StructField("doc_id", LongType()), *kept, StructField("ids", ArrayType(IntegerType()))]))
+    back = [StructField(decoded_col, BinaryType())] if decoded_col else []
+    return rows.mapInArrow(run, StructType([StructField("doc_id", LongType()), *kept, StructField("ids", ArrayType(IntegerType())), *back]))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -160,13 +159,11 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
                 batch = whole.slice(at, GROUP)
                 ids = batch.column(batch.schema.get_field_index(ids_col))
                 rows = [np.array([] if not x.is_valid else x.values.to_numpy(zero_copy_only=False), np.int32) for x in ids]
-                names = [n for n in batch.schema.names if n != out_col]
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(engine.decode(rows), pa.binary())], names=[*names, out_col])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(engine.decode(rows), pa.binary())], names=[*batch.schema.names, out_col])
 
     return encoded.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, StructType([*kept, StructField(out_col, BinaryType())]))
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    encoded = encode(docs, ranks_path, pattern)
-    listed = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    return decode(listed, ranks_path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode(docs, ranks_path, pattern, decoded_col="decoded")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

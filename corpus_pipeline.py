@@ -37,8 +37,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and text, the text being what the ids decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source"))
-    return byte_bpe.decode(encoded, path).select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").cast("string").alias("text"))
+    both = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, keep=("lang", "source"), decoded_col="decoded")
+    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [
