@@ -15,12 +15,11 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hold, id_and_text, materialize, raw_bytes
+from .common import discard, hold, id_and_text, materialize, pieces, raw_bytes
 from .components import components
 from .shingles import shingle_set
 
@@ -48,7 +47,7 @@ def _signature(s: np.ndarray) -> bytes:
 def _members(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("shingles")
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingle_set(t, width) for t in raw_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(np.searchsorted(s, np.uint64(COUNTED))) for s in sets], pa.int64()), pa.array([_signature(s) if len(s) else None for s in sets], pa.binary())],
@@ -80,7 +79,7 @@ def _counted_postings(width: int, parts: int):
                         col.append(x)
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["part", "hashes", "counts", "sigs"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text in raw_bytes(batch.column(0)):
                 s = shingle_set(text, width)
                 if len(s) and (sig := _signature(s)) not in done:
@@ -128,7 +127,7 @@ def _order(width: int, percent: int):
     """Survivors' whole sets and the part of their prefix that other classes may share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets, prefixes = [], []
             texts = raw_bytes(batch.column("text"))
             for text, hashes, dfs in zip(texts, batch.column("hashes").to_pylist(), batch.column("dfs").to_pylist(), strict=True):
@@ -202,19 +201,25 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _multiply(percent: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         hold("shingles")
-        out: list[tuple] = []
-        for _, group in frame.groupby(["grp", "bi", "bj"], sort=False):
-            rows = [np.frombuffer(x, np.uint64) for x in group["members"]]
-            sigs, docs, block = group["sig"].tolist(), group["docs"].to_numpy(np.float64), group["block"].to_numpy()
-            links = linked(rows, percent)
-            if group["bi"].iat[0] != group["bj"].iat[0]:  # pairs within a block are another task's
-                links &= block[:, None] != block[None, :]
+        place = table.select(["grp", "bi", "bj"]).to_pylist()
+        members, sig = table["members"].to_pylist(), table["sig"].to_pylist()
+        docs, block = table["docs"].to_numpy().astype(np.float64), table["block"].to_numpy()
+        groups: dict[tuple, list[int]] = {}
+        for i, x in enumerate(place):
+            groups.setdefault((x["grp"], x["bi"], x["bj"]), []).append(i)
+        out: tuple[list, list, list] = ([], [], [])
+        for (_, bi, bj), at in groups.items():
+            links = linked([np.frombuffer(members[i], np.uint64) for i in at], percent)
+            if bi != bj:  # pairs within a block are another task's
+                links &= block[at][:, None] != block[at][None, :]
             roots = dict(_forest(links))
-            weight = np.concatenate([links[k : k + 256] @ docs for k in range(0, len(links), 256)])
-            out += [(sigs[i], sigs[roots.get(i, i)], int(weight[i])) for i in np.flatnonzero(links.any(1))]
-        return pd.DataFrame(out, columns=["sig", "root", "links"])
+            weight = np.concatenate([links[k : k + 256] @ docs[at] for k in range(0, len(links), 256)])
+            for i in np.flatnonzero(links.any(1)).tolist():
+                for col, x in zip(out, (sig[at[i]], sig[at[roots.get(i, i)]], int(weight[i])), strict=True):
+                    col.append(x)
+        return pa.table({"sig": pa.array(out[0], pa.binary()), "root": pa.array(out[1], pa.binary()), "links": pa.array(out[2], pa.int64())})
 
     return run
 
@@ -274,7 +279,7 @@ def _products(survivors: DataFrame, groups: DataFrame, percent: int) -> DataFram
     rows = rows.select("sig", "grp", "docs", "members", F.col("block"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("sig", "grp", "docs", "members", "block", "blocks", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.xxhash64("grp", "bi", "bj"))
-    return rows.withColumn("task", task).select("task", "sig", "grp", "docs", "members", "block", "bi", "bj").groupBy("task").applyInPandas(_multiply(percent), "sig binary, root binary, links long")
+    return rows.withColumn("task", task).select("task", "sig", "grp", "docs", "members", "block", "bi", "bj").groupBy("task").applyInArrow(_multiply(percent), "sig binary, root binary, links long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
