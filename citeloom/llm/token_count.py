@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, raw_bytes
-from .word_cache import PretokenCache, library_tokenizer
+from .word_cache import PretokenCache, lengths_of, library_tokenizer
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Texts whose pre-tokens are looked up together.
@@ -39,7 +39,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     first = docs.sparkSession.sparkContext.broadcast(frequent_lengths(tokenizer_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PretokenCache(tokenizer_path, "lengths", len, operator.add, first.value)
+        cache = PretokenCache(tokenizer_path, "lengths", lengths_of, operator.add, first.value)
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, id_and_text, raw_bytes
-from .word_cache import PretokenCache, library_tokenizer
+from .word_cache import PretokenCache, bytes_of, library_tokenizer
 
 #: Tokens in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 1024, 256
@@ -90,7 +90,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, uri: st
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, out = TaskContext.get(), None
-        cache = PretokenCache(tokenizer_path, f"ids {dtype}", lambda ids: np.array(ids, dtype).tobytes(), operator.add)
+        cache = PretokenCache(tokenizer_path, f"ids {dtype}", bytes_of(dtype), operator.add)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

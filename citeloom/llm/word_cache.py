@@ -7,9 +7,10 @@ is therefore encoded by the library once for as long as a worker remembers it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -18,11 +19,11 @@ from .common import hold
 #: Longest pre-token (bytes) that a cache holds on to; longer ones are encoded each time.
 LONGEST_KEPT = 96
 #: Entries at which a worker's cache starts anew.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_500_000
 #: Pre-tokens that one call of the library encodes, joined by spaces.
-TOGETHER = 256
-#: ASCII letters with marks behind them: the marks are a piece of their own in any tokenizer that parts letters from marks.
-MARKED = re.compile(rb"([A-Za-z]+)([.,;:!?]+)")
+TOGETHER = 1024
+#: ASCII letters and the marks behind them: the marks are a piece of their own in any tokenizer that parts letters from marks.
+MARKED = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
 
 def library_tokenizer(path: str):
     """The tokenizers library's tokenizer of a file."""
@@ -35,28 +36,46 @@ def library_tokenizer(path: str):
     return tok
 
 
-def encode_words(tok, words: list[bytes]) -> list[list[int]]:
-    """The ids of each word, from calls over many words at once; offsets tell whose an id is."""
-    out = []
+def encode_words(tok, words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(words, ids of all of them, cuts) for runs of words, each run one call of the library: word k has ids[cuts[k]:cuts[k + 1]]."""
     for at in range(0, len(words), TOGETHER):
-        part = [w.decode("utf-8", "replace") for w in words[at : at + TOGETHER]]
-        enc = tok.encode(" ".join(part), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-        own = np.searchsorted(starts, np.fromiter((a for a, _ in enc.offsets), np.int64, len(enc.ids)), "right") - 1
-        cuts = np.searchsorted(own, np.arange(len(part) + 1)).tolist()
-        ids = enc.ids
-        out += [ids[cuts[k] : cuts[k + 1]] for k in range(len(part))]
-    return out
+        part = words[at : at + TOGETHER]
+        texts = [w.decode("utf-8", "replace") for w in part]
+        enc = tok.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in texts)])
+        offsets = np.array(enc.offsets, np.int64).reshape(-1, 2)[:, 0]
+        own = np.searchsorted(starts, offsets, "right") - 1
+        yield part, np.array(enc.ids, np.int64), np.searchsorted(own, np.arange(len(part) + 1))
+
+
+def lowers(tok) -> bool:
+    """Whether the tokenizer's normaliser makes letters lower case, so that words of either case have the same ids."""
+    return '"Lowercase"' in json.dumps(json.loads(tok.to_str()).get("normalizer"))
+
+
+def lengths_of(ids: np.ndarray, cuts: np.ndarray) -> list[int]:
+    return np.diff(cuts).tolist()
+
+
+def bytes_of(dtype: str) -> Callable[[np.ndarray, np.ndarray], list[bytes]]:
+    """Each word's ids as little-endian numbers of that type."""
+
+    def keep(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        raw, at = ids.astype(dtype).tobytes(), (cuts * np.dtype(dtype).itemsize).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+    return keep
 
 
 class PretokenCache:
-    """Maps pre-tokens to what `keep` makes of their ids; `join` makes one value of two neighbours' values.
+    """Maps pre-tokens to what `keep` makes of a run's ids and cuts; `join` makes one value of two neighbours' values.
 
     A first tier may be given. Misses are encoded in batches and remembered by the worker, for later tasks as well."""
 
-    def __init__(self, tokenizer_path: str, kind: str, keep: Callable[[list[int]], object], join: Callable[[object, object], object], first: dict | None = None, entries: int = CACHE_ENTRIES):
+    def __init__(self, tokenizer_path: str, kind: str, keep: Callable[[np.ndarray, np.ndarray], list], join: Callable[[object, object], object], first: dict | None = None, entries: int = CACHE_ENTRIES):
         self.kind, self.keep, self.join, self.first, self.entries = kind, keep, join, first or {}, entries
         self.tokenizer = hold(f"pre-tokens {tokenizer_path} {kind}", "tokenizer", lambda: library_tokenizer(tokenizer_path))
+        self.lowers = hold(f"pre-tokens {tokenizer_path} {kind}", "lowers", lambda: lowers(self.tokenizer))
         self.known = hold(f"pre-tokens {tokenizer_path} {kind}", "known", lambda: dict(self.first))
 
     def learn(self, texts: Iterable[list[bytes]]) -> dict[bytes, object]:
@@ -71,13 +90,20 @@ class PretokenCache:
         missing = [w for w in wanted if w not in known]
         if not missing:
             return known
-        split = {w: m.groups() for w in missing if (m := MARKED.fullmatch(w))}
-        whole = [w for w in missing if w not in split]
-        whole += list({p for pair in split.values() for p in pair if p not in known})
+        split, plain = {}, set()
+        for w in missing:
+            m = MARKED.fullmatch(w)
+            letters, marks = m.groups() if m else (w, b"")
+            letters = letters.lower() if m and self.lowers else letters
+            if letters is not w and (marks or letters != w):
+                split[w] = (letters, marks)
+            plain.update(p for p in (letters, marks) if p and p not in known)
+        whole = list(plain)
         once = {}
-        for word, ids in zip(whole, encode_words(self.tokenizer, whole), strict=True):
-            (known if len(word) <= LONGEST_KEPT else once)[word] = self.keep(ids)
+        for part, ids, cuts in encode_words(self.tokenizer, whole):
+            for word, value in zip(part, self.keep(ids, cuts), strict=True):
+                (known if len(word) <= LONGEST_KEPT else once)[word] = value
         both = {**known, **once} if once else known
         for word, (letters, marks) in split.items():
-            both[word] = self.join(both[letters], both[marks])
+            both[word] = self.join(both[letters], both[marks]) if marks else both[letters]
         return both
