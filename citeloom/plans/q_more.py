@@ -162,7 +162,7 @@ QUERIES = {
     ),
     "ev_go_nogo": (
         lambda s, d: V.go_or_not(V.cluster_metrics(K.part_cells(s, d)).select("clusters", "majors", "largest"), {"clusters": 10, "majors": 5, "largest": 10_000}, 3),
-        f"WITH {PC}, z AS (SELECT count(*) AS n FROM pc GROUP BY cluster_id) SELECT count(*) AS clusters, count_if(n >= 5) AS majors, max(n) AS largest, CAST(2 AS INT) AS met, 'CONDITIONAL' AS verdict FROM z",
+        f"WITH {PC}, z AS (SELECT count(*) AS n FROM pc GROUP BY cluster_id), c AS (SELECT count(*) AS clusters, count_if(n >= 5) AS majors, max(n) AS largest FROM z), m AS (SELECT *, CAST(clusters >= 10 AS INT) + CAST(majors >= 5 AS INT) + CAST(largest >= 10000 AS INT) AS met FROM c) SELECT clusters, majors, largest, met, CASE WHEN met >= 3 THEN 'GO' WHEN met = 2 THEN 'CONDITIONAL' ELSE 'KILL' END AS verdict FROM m",
     ),
     "em_reduce": (lambda s, d: L.embed(K.part_papers(s, d), K.part_entities(s, d), k=3).select("doc_id", F.size("xy").alias("dims"), F.exists("xy", lambda v: F.isnan(v)).alias("broken")), "SELECT p_partkey AS doc_id, CAST(3 AS INT) AS dims, false AS broken FROM part"),
     "em_cached": (lambda s, d: _layout(s, d).groupBy().agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM part"),
