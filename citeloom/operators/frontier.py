@@ -158,7 +158,7 @@ def structural_gaps(doc_entity: DataFrame, membership: DataFrame, allow_high_dro
     return {"gaps": gaps(doc_entity, membership, **options), "bridges": bridges(doc_entity, membership, background), "background": background}
 
 
-def permutation_gaps(doc_entity: DataFrame, membership: DataFrame, rounds: int = 200, least_papers: int = 20, most_entities: int = 100, seed: int = 7) -> DataFrame:
+def permutation_gaps(doc_entity: DataFrame, membership: DataFrame, rounds: int = 1000, least_papers: int = 20, most_entities: int = 100, seed: int = 7) -> DataFrame:
     """cluster_id, entity_a, entity_b, observed, mean, z: co-occurrence against shuffles of the cluster's entity mentions over its papers.
 
     A cluster's commonest entities (a fixed number) make its table; the seed of a cluster comes from its id."""

@@ -286,7 +286,7 @@ SELECT round(avg(CASE WHEN n > 0 THEN 1 ELSE 0 END), 6) AS coverage, round(avg(n
     "fr_acceptance": (
         lambda s, d: R.acceptance(_redundant(s, d, 0.5).withColumn("cluster_id", F.split_part("cluster_id", F.lit("/"), F.lit(1))), R.trends(K.part_entities(s, d), K.part_papers(s, d), K.part_types(s, d), alpha=2.0), R.gaps(K.part_entities(s, d), K.part_types(s, d))), None,
     ),
-    "fr_zscore": (lambda s, d: R.permutation_gaps(K.part_entities(s, d), K.part_types(s, d), 50), None),
+    "fr_zscore": (lambda s, d: R.permutation_gaps(K.part_entities(s, d), K.part_types(s, d)), None),
     "fr_cooccur": (
         lambda s, d: G._pairs(K.part_entities(s, d).select(F.col("entity").alias("doc_id"), F.col("doc_id").alias("entity"))).groupBy(F.col("src").alias("entity_a"), F.col("dst").alias("entity_b")).agg(F.count("*").alias("n")),
         f"WITH {PE} SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n FROM pe a JOIN pe b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2",
