@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions.stats import pairs_of
 from citeloom.operators.collections import numbered
-from citeloom.operators.evaluate import agreement, cluster_metrics
 
 
 def optimise(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, total: float, resolution: float, seed: int) -> dict:
@@ -154,12 +154,59 @@ def with_sub_clusters(membership: DataFrame, subs: DataFrame) -> DataFrame:
 RESOLUTIONS = [1.5, 1.6, 1.7, 1.8, 1.9, 2.0, 2.1, 2.2, 2.3, 2.4, 2.5, 2.6, 2.7, 2.8, 2.9, 3.0, 3.5, 4.0]
 
 
+def sweeps(membership: DataFrame, edges: DataFrame, resolutions: list[float] | None = None, most: float = 60.0, stable: float = 0.8, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """cluster_id, resolution of every cluster of two papers or more: the first at which it splits into sub-clusters small enough
+    on average and alike for all seeds (mean pairwise adjusted Rand index); else the last.
+
+    The clusters' components are found once; at each resolution all clusters that haven't settled run together, a component in a task."""
+    grid, k = resolutions or RESOLUTIONS, len(seeds)
+    large = membership.groupBy("cluster_id").agg(F.count("*").alias("size")).where("size >= 2").persist()
+    own = membership.join(large.select("cluster_id"), "cluster_id", "left_semi").select("doc_id", "cluster_id").persist()
+    ends = own.select(F.col("doc_id").alias("dst"), F.col("cluster_id").alias("other"))
+    inside = edges.join(own.withColumnRenamed("doc_id", "src"), "src").join(ends, "dst").where(F.col("cluster_id") == F.col("other")).select("cluster_id", "src", "dst", "weight").persist()
+    totals = inside.groupBy("cluster_id").agg(F.sum("weight").alias("total"))
+    links = inside.join(connected(own, inside).withColumnRenamed("doc_id", "src"), "src").join(totals, "cluster_id").persist()
+
+    def settled(r: float, names: list[str]) -> list[str]:
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            found = [optimise(frame["src"].to_numpy(), frame["dst"].to_numpy(), frame["weight"].to_numpy(), float(frame["total"].iloc[0]), r, seed) for seed in seeds]
+            return pd.DataFrame({"doc_id": list(found[0]), "labels": [[f[n] for f in found] for n in found[0]]})
+
+        still = F.col("cluster_id").isin(names)
+        labels = links.where(still).groupBy("cluster_id", "component").applyInPandas(run, "doc_id long, labels array<long>")
+        rows = own.where(still).join(labels, "doc_id", "left").select("cluster_id", F.coalesce("labels", F.array_repeat("doc_id", k)).alias("labels")).persist()
+        two = [F.struct(F.lit(f"{i} {j}").alias("two"), F.col("labels")[i].alias("a"), F.col("labels")[j].alias("b")) for i in range(k) for j in range(i + 1, k)]
+        subs = rows.groupBy("cluster_id").agg(F.count("*").alias("n"), F.countDistinct(F.col("labels")[0]).alias("subs"))
+        alike = subs.select("cluster_id", F.lit(1.0).alias("ari"))
+        if two:
+            cells = rows.select("cluster_id", F.explode(F.array(*two)).alias("x")).groupBy("cluster_id", "x.two", "x.a", "x.b").agg(F.count("*").alias("n"))
+            side = lambda c, name: cells.groupBy("cluster_id", "two", c).agg(F.sum("n").alias("m")).groupBy("cluster_id", "two").agg(F.sum(pairs_of(F.col("m"))).alias(name))
+            one = cells.groupBy("cluster_id", "two").agg(F.sum("n").alias("t"), F.sum(pairs_of(F.col("n"))).alias("s"))
+            expected, mean = F.col("sa") * F.col("sb") / pairs_of(F.col("t")), (F.col("sa") + F.col("sb")) / 2
+            ari = F.when(mean == expected, 1.0).otherwise((F.col("s") - expected) / (mean - expected))
+            alike = one.join(side("a", "sa"), ["cluster_id", "two"]).join(side("b", "sb"), ["cluster_id", "two"]).groupBy("cluster_id").agg(F.avg(ari).alias("ari"))
+        # A cluster that stays in one piece has no sub-clusters to judge.
+        good = subs.join(alike, "cluster_id").where((F.col("subs") > 1) & (F.col("n") / F.col("subs") <= most) & (F.col("ari") >= stable))
+        names = [x.cluster_id for x in good.select("cluster_id").collect()]
+        rows.unpersist()
+        return names
+
+    waiting = sorted(x.cluster_id for x in large.collect())
+    found = dict.fromkeys(waiting, float(grid[-1]))
+    for r in grid[:-1]:
+        if not waiting:
+            break
+        done = set(settled(r, waiting))
+        found |= dict.fromkeys(done, float(r))
+        waiting = [c for c in waiting if c not in done]
+    for x in (links, inside, own, large):
+        x.unpersist()
+    return membership.sparkSession.createDataFrame(list(found.items()), "cluster_id string, resolution double")
+
+
 def sweep(membership: DataFrame, edges: DataFrame, cluster: str, resolutions: list[float] | None = None, most: float = 60.0, stable: float = 0.8, seeds: tuple[int, ...] = (0, 1, 2)) -> float:
-    """The first resolution whose sub-clusters are small enough on average and alike for all seeds; else the last."""
-    for r in resolutions or RESOLUTIONS:
-        runs = [sub_clusters(membership, edges, cluster, r, s).persist() for s in seeds]
-        mean = runs[0].count() / max(1, cluster_metrics(runs[0]).first().clusters)
-        pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i + 1 :]]
-        if mean <= most and sum(agreement(a, b).first().ari for a, b in pairs) / max(1, len(pairs)) >= stable:
-            return r
-    return (resolutions or RESOLUTIONS)[-1]
+    """sweeps of one cluster."""
+    one = sweeps(membership.where(F.col("cluster_id") == cluster), edges, resolutions, most, stable, seeds).first()
+    if one is None:
+        raise ValueError(f"cluster {cluster} has fewer than two papers")
+    return one.resolution

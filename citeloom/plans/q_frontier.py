@@ -173,7 +173,7 @@ def _subs(s, d):
 def _sweep(s, d):
     v, e = _talk_edges(s, d)
     m = v.withColumn("cluster_id", (F.col("doc_id") % 4).cast("string")).persist()
-    return s.createDataFrame([(U.sweep(m, e, "1", [1.5, 2.0], most=30.0, stable=0.3),)], "resolution double")
+    return U.sweeps(m, e)
 
 
 LP = "u AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"

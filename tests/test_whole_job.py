@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from citeloom.operators import communities as U
+from citeloom.operators import evaluate as V
 from citeloom.plans import registry
 
 
@@ -10,3 +12,23 @@ def test_zscore_runs_a_thousand_shuffles(spark):
     sums = np.array([r["mean"] for r in rows]) * 1000
     assert len(sums) and np.allclose(sums, sums.round(), atol=1e-6)
     assert (sums.round() % 20 > 0).any()  # means of 50 shuffles would all be multiples of 1/50
+
+
+def test_sweep_is_its_definition_for_every_cluster(spark):
+    # Cluster a: five cliques in a ring; b: two papers and one edge, which never part at 1.5; c: papers without edges; d: one paper.
+    edges = [(10 * c + i, 10 * c + j) for c in range(5) for i in range(6) for j in range(i + 1, 6)] + [(10 * c, (10 * c + 10) % 50) for c in range(5)] + [(100, 101)]
+    e = spark.createDataFrame([(min(p), max(p), 1.0) for p in edges], "src long, dst long, weight double")
+    m = spark.createDataFrame([(10 * c + i, "a") for c in range(5) for i in range(6)] + [(100, "b"), (101, "b"), (200, "c"), (201, "c"), (300, "d")], "doc_id long, cluster_id string")
+    want = {}
+    for cluster in "abc":
+        for want[cluster] in (1.5, 4.0):
+            runs = [U.sub_clusters(m, e, cluster, want[cluster], s) for s in (0, 1)]
+            subs = runs[0].select("cluster_id").distinct().count()
+            if subs > 1 and runs[0].count() / subs <= 7 and V.agreement(*runs).first().ari >= 0.8:
+                break
+    assert set(want.values()) == {1.5, 4.0}
+    assert {x.cluster_id: x.resolution for x in U.sweeps(m, e, [1.5, 4.0], 7.0, seeds=(0, 1)).collect()} == want
+
+
+def test_sweep_covers_every_cluster(spark, sf):
+    assert sorted(r["cluster_id"] for r in registry.QUERIES["cl_sweep"][0](spark, sf).collect()) == ["0", "1", "2", "3"]
