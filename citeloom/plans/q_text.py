@@ -91,6 +91,37 @@ def _first_titles(s, d):
     return cls
 
 
+def title_pairs(cls, threshold=0.85):
+    """a, b, n_a, n_b: pairs of title classes (w, a, n) that same_title takes for one work, by least ids and class sizes.
+
+    A match shares enough words of the smaller title, so one of that title's rarest words, as many as a match may miss and one more,
+    is in the other: only those meet the index of all words, and no pair is lost."""
+    # 256 bits of a title's words: every bit of the smaller title that the larger one hasn't is a word missing, so too many rule a pair out.
+    bits = [F.expr(f"aggregate(w, 0L, (o, x) -> o | if(pmod(xxhash64(x), 256) div 64 = {k}, shiftleft(1L, CAST(pmod(xxhash64(x), 64) AS INT)), 0L))").alias(f"b{k}") for k in range(4)]
+    words = cls.select("a", F.size("w").alias("size"), *bits, "w").select("a", "size", "b0", "b1", "b2", "b3", F.explode("w").alias("t"))
+    df = words.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")  # a word of one title only meets nothing
+    index = words.join(df, "t")
+    need = F.greatest(F.lit(2), F.ceil(F.col("size") * threshold - 1e-9)).cast("int")
+    head = F.col("size") - need + 1
+    # Words of one title only would be the first of the prefix: they take its places without meeting anything.
+    ranked = index.groupBy("a", "size", "b0", "b1", "b2", "b3").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("x"))
+    left = F.greatest(F.lit(0), head - (F.col("size") - F.size("x")))
+    rare = ranked.select(F.col("a").alias("s"), F.col("size").alias("size_s"), (F.col("size") - need).alias("spare"), *[F.col(f"b{k}").alias(f"s{k}") for k in range(4)], F.explode(F.slice("x", F.lit(1), left)).alias("x")).withColumn("t", F.col("x.t")).drop("x")
+    missing = sum((F.bit_count(F.expr(f"s{k} & ~b{k}")) for k in range(4)), F.lit(0))
+    larger = (F.col("size_s") < F.col("size")) | ((F.col("size_s") == F.col("size")) & (F.col("s") < F.col("a")))
+    pairs = rare.join(index, "t").where(larger & (missing <= F.col("spare"))).select(F.least("s", "a").alias("a"), F.greatest("s", "a").alias("b")).distinct()
+    both = pairs.join(cls.select("a", F.col("w").alias("w_a"), F.col("n").alias("n_a")), "a").join(cls.select(F.col("a").alias("b"), F.col("w").alias("w_b"), F.col("n").alias("n_b")), "b")
+    return both.where(I.same_title(F.col("w_a"), F.col("w_b"), threshold)).select("a", "b", "n_a", "n_b")
+
+
+def _title_members(s, d):
+    w = _docs(s, d).where("lang = 'en'").select("doc_id", F.sort_array(F.array_distinct(I.title_words(F.split_part("text", F.lit("\n"), F.lit(1))))).alias("w")).where(F.size("w") >= 2)
+    return w.join(w.groupBy("w").agg(F.min("doc_id").alias("a")), "w").select("doc_id", "a")
+
+
+TITLE_CLASSES = f"WITH {K.DP}, w AS (SELECT doc_id, list_sort(list_distinct({WORDS_SQL})) AS w FROM dp WHERE lang = 'en'), c AS (SELECT w, min(doc_id) AS a, count(*) AS n FROM w WHERE len(w) >= 2 GROUP BY w)"
+
+
 JATS = """<article><front><abstract><p>Short abstract.</p></abstract></front><body><sec sec-type="methods"><title>Methods</title><p>We used <b>cells</b>.</p></sec>
 <sec><title>Results and findings</title><p>It works.</p><fig><caption><p>Figure one.</p></caption></fig></sec><sec sec-type="discussion"><title>Discussion</title><p>Good.</p></sec></body></article>"""
 TEI = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>1. Introduction</head><p>One.</p><p>Two.</p></div><div><p>Bare.</p></div></body></text></TEI>'
@@ -122,6 +153,11 @@ QUERIES = {
         lambda s, d: _first_titles(s, d).select("a", "n"),
         f"WITH {K.DP}, w AS (SELECT doc_id, list_sort(list_distinct({WORDS_SQL})) AS w FROM dp WHERE lang = 'en') SELECT min(doc_id) AS a, count(*) AS n FROM w WHERE len(w) >= 2 GROUP BY w",
     ),
+    "title_pairs": (
+        lambda s, d: title_pairs(_first_titles(s, d)),
+        f"{TITLE_CLASSES} SELECT a.a, b.a AS b, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.a < b.a AND {MATCH_SQL}",
+    ),
+    "title_members": (_title_members, f"{TITLE_CLASSES} SELECT doc_id, a FROM w JOIN c USING (w)"),
     "fn_is_generic": (lambda s, d: K.table(s, d, "conversations").select("conv_id", "turn", T.is_generic(F.col("text")).alias("generic")), f"SELECT conv_id, turn, {GENERIC_SQL} AS generic FROM conversations"),
     "fn_is_generic_x": (lambda s, d: K.table(s, d, "conversations").select("conv_id", "turn", T.is_generic(F.col("text"), True).alias("generic")), f"SELECT conv_id, turn, {GENERIC_X_SQL} AS generic FROM conversations"),
     "fn_keywords4": (

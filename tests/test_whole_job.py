@@ -5,6 +5,7 @@ import numpy as np
 from citeloom.operators import communities as U
 from citeloom.operators import evaluate as V
 from citeloom.plans import registry
+from citeloom.plans.q_text import title_pairs
 
 
 def test_zscore_runs_a_thousand_shuffles(spark):
@@ -32,3 +33,21 @@ def test_sweep_is_its_definition_for_every_cluster(spark):
 
 def test_sweep_covers_every_cluster(spark, sf):
     assert sorted(r["cluster_id"] for r in registry.QUERIES["cl_sweep"][0](spark, sf).collect()) == ["0", "1", "2", "3"]
+
+
+def test_titles_that_differ_are_paired(spark):
+    titles = [["a", "b", "c", "d", "e", "f", "g"], ["a", "b", "c", "d", "e", "f", "h"], ["a", "b"], ["a", "x"], [f"w{i}" for i in range(20)], [f"w{i}" for i in range(3, 20)]]
+    cls = spark.createDataFrame([(sorted(w), i, 1) for i, w in enumerate(titles)], "w array<string>, a long, n long")
+    want = set()
+    for i, x in enumerate(titles):
+        for j in range(i + 1, len(titles)):
+            k = len(set(x) & set(titles[j]))
+            if k >= 2 and k / min(len(x), len(titles[j])) >= 0.85:
+                want.add((i, j))
+    assert {(0, 1), (0, 2), (4, 5)} <= want and {(r.a, r.b) for r in title_pairs(cls).collect()} == want
+
+
+def test_title_pairs_and_members_of_a_table(spark):
+    pairs, members = (registry.QUERIES[q][0](spark, "/root/testdata/sf0.01").collect() for q in ("title_pairs", "title_members"))
+    classes = {r["a"] for r in members}
+    assert pairs and {x for r in pairs for x in (r["a"], r["b"])} <= classes
