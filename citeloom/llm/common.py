@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,11 @@ def spread(scan: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (single-process tests) is one made and set."""
+    Only in local mode, where all is one machine, is one made and set if the session names none; elsewhere that raises."""
     known = spark.conf.get("spark.checkpoint.dir", "")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = f"file://{tempfile.mkdtemp(prefix='citeloom-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -85,11 +89,19 @@ def hold(family: str, key=None, make=None):
     return _held[key]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that what a task makes of one stays small whatever the batches' size."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and about so many bytes of text (a longer text alone), so that what a task makes of one stays small."""
     for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            yield whole.slice(at, rows)
+        lengths = np.zeros(whole.num_rows, np.int64)
+        for column in whole.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(lengths), 0
+        while at < whole.num_rows:
+            before = upto[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + size, "right"))))
+            yield whole.slice(at, end - at)
+            at = end
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -9,7 +9,6 @@ length. Shards follow each other in ascending doc_id order, documents lie back t
 
 from __future__ import annotations
 
-import operator
 import zlib
 from collections.abc import Iterator
 
@@ -20,16 +19,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, id_and_text, raw_bytes
-from .word_cache import PretokenCache, bytes_of, library_tokenizer
+from .common import fresh_path, hold, id_and_text, pieces, raw_bytes
+from .pretokens import Memory, library_tokenizer
 
 #: Tokens in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 1024, 256
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
+# Hadoop's names of stores that Arrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _store(uri: str):
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    """Arrow's file system and path of a URI; Hadoop's schemes for S3 and Azure are mapped, others that Arrow lacks raise."""
+    scheme, _, rest = uri.partition(":")
+    if not rest or "/" in scheme:
+        return pafs.LocalFileSystem(), uri
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"token files can't be kept under {uri}: Arrow has no file system {scheme}") from e
 
 
 class _ShardWriter:
@@ -46,15 +56,16 @@ class _ShardWriter:
         self.index = pa.ipc.new_file(self.files[1], INDEX)
         self.rest, self.start = bytearray(), 0
 
-    def add(self, doc_ids: pa.Array, encoded: list[bytes]) -> None:
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of some documents, one after the other, and each one's number of them."""
         width = self.kind.bit_width // 8
-        lengths = np.fromiter((len(x) // width for x in encoded), np.int64, len(encoded))
-        starts = self.start + np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(encoded) else lengths
+        starts = self.start + np.cumsum(lengths) - lengths
         self.start += int(lengths.sum())
         self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], schema=INDEX))
-        for x in encoded:
-            self.rest += x
-            if len(self.rest) >= BATCH * self.sequence * width:
+        step = BATCH * self.sequence
+        for at in range(0, len(ids), step):
+            self.rest += ids[at : at + step].tobytes()
+            if len(self.rest) >= step * width:
                 self._flush(len(self.rest) // width // self.sequence)
 
     def _flush(self, rows: int, filled: int | None = None) -> None:
@@ -85,19 +96,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, uri: st
     texts and kept each; extra columns are not read; an empty table writes no shard. A task that runs
     again writes the same shard under a name of its own and puts it in place at the end."""
     kind = pa.uint16() if max(end_id, library_tokenizer(tokenizer_path).get_vocab_size() - 1) < 1 << 16 else pa.uint32()
-    dtype = "<u2" if kind == pa.uint16() else "<u4"
-    end = np.array([end_id], dtype).tobytes()
+    dtype = np.dtype("<u2" if kind == pa.uint16() else "<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, out = TaskContext.get(), None
-        cache = PretokenCache(tokenizer_path, f"ids {dtype}", bytes_of(dtype), operator.add)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                split = [t.split() for t in raw_bytes(part.column(1))]
-                known = cache.learn(split)
-                out = out or _ShardWriter(uri, context.partitionId(), context.taskAttemptId(), kind, sequence)
-                out.add(part.column(0), [b"".join(map(known.__getitem__, words)) + end for words in split])
+        memory = hold(f"ids {tokenizer_path}", "memory", lambda: Memory(tokenizer_path, True, dtype))
+        for part in pieces(batches, 512):
+            ids, lengths = memory.encode(raw_bytes(part.column(1)), end_id)
+            out = out or _ShardWriter(uri, context.partitionId(), context.taskAttemptId(), kind, sequence)
+            out.add(part.column(0), ids, lengths)
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()], pa.int32()), pa.array([out.start], pa.int64())], names=["shard", "n_tokens"])

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.llm import byte_bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, ngram_join, quality_rules, token_count, token_files
+from citeloom.llm import byte_bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, ngram_join, pretokens, quality_rules, token_count, token_files
 from citeloom.llm.components import components
 from citeloom.llm.shingles import shingle_set
 
@@ -105,6 +105,69 @@ def test_bpe_is_tiktokens_and_decodes(spark, odd, none):
     assert sorted(bytes(r.decoded) for r in apart.collect()) == sorted((r.text or "").encode() for r in odd.collect())
 
 
+PARTS = ["a", "b", "Z", "é", "É", "ÿ", "×", "÷", "İ", "Ʌ", "ɐ", "1", "2", "٣", ".", "!", "'", "'s", "'ll", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "\x1c", "\x85", "日", "한", "e\u0301", "\x00", "<|", "|>", "<|endoftext|>", "$", "…", "²", "ª"]
+
+
+def mixed(rng, n):
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def test_words_are_the_patterns():
+    import regex
+
+    rng, pattern = random.Random(1), regex.compile(public_tokenizers.PATTERN)
+    for _ in range(400):
+        texts = mixed(rng, 4)
+        owner, buffer, starts, ends = byte_bpe.cut_words([t.encode() for t in texts], pattern)
+        got = [[] for _ in texts]
+        for k, i, j in zip(owner, starts, ends, strict=True):
+            got[k].append(buffer[i:j].decode())
+        assert got == [pattern.findall(t) for t in texts]
+
+
+def test_pretokens_are_the_librarys(monkeypatch):
+    rng, tok = random.Random(2), library()
+    monkeypatch.setattr(pretokens, "IDS", 500)  # the memory starts anew many times
+    memory, small = pretokens.Memory(WORD_BPE, True, np.uint16), pretokens.Memory(WORD_BPE, False, entries=50)
+    for _ in range(60):
+        texts = mixed(rng, 20)
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, n = memory.encode([t.encode() for t in texts], 2)
+        assert n.tolist() == [len(w) + 1 for w in want] and ids.tolist() == [i for w in want for i in [*w, 2]]
+        assert small.count([t.encode() for t in texts])[0].tolist() == [len(w) for w in want]
+
+
+def test_long_texts_are_cut_at_white_space():
+    texts = [b"ab cd  ef" * 50, b"", b"x" * 300, b"tail"]
+    back = [b""] * 4
+    for numbers, buffer, begins in pretokens.spans(texts, 64):
+        for k, i, j in zip(numbers, begins, [*begins[1:] - 1, len(buffer) - 1], strict=True):
+            back[k] += buffer[i:j]
+    assert back == texts
+
+
+def test_first_tier_holds_the_frequent(spark):
+    docs = spark.createDataFrame([(i, "common words again and again " * 3 + f"rare{'xyz'[i % 3] * i}") for i in range(40)], "doc_id long, text string")
+    r = token_count.token_counts(docs, WORD_BPE).agg(F.sum("n_frequent").alias("a"), F.sum("n_pretokens").alias("b")).first()
+    assert r.a == r.b  # everything fits in tier one
+    summary = token_count._Summary()
+    a, starts, ends = pretokens.words(b"aa bb aa cc aa bb ")
+    summary.add(b"aa bb aa cc aa bb ", starts, ends, np.full(6, pretokens.WHOLE), pretokens.hashes(a, starts, ends))
+    names, _, counts = summary.top(2)
+    assert names == [(b"aa", True), (b"bb", True)] and counts.tolist() == [3, 2]
+
+
+def test_clashing_columns_raise(odd):
+    with pytest.raises(ValueError, match="twice"):
+        byte_bpe.encode(odd.withColumnRenamed("row", "ids"), RANKS, public_tokenizers.PATTERN, keep=("ids",))
+
+
+def test_stores_by_scheme():
+    with pytest.raises(ValueError, match="hdfsx"):
+        token_files._store("hdfsx://a/b")
+    assert token_files._store("/tmp/x")[1] == "/tmp/x"
+
+
 def test_line_dedup_cases(spark, odd, none):
     block = "one line here\nand a second\nthe third of it"
     long = " ".join(f"w{i}" for i in range(55))
