@@ -281,7 +281,8 @@ class Memory:
             hit = at >= 0
             lengths[hit] = self.first_lengths[at[hit]]
             miss = np.flatnonzero(~hit)
-            lengths[miss] = self.lengths[self.learn(buffer, starts[miss], ends[miss], kinds[miss], keys[miss])]
+            at = self.learn(buffer, starts[miss], ends[miss], kinds[miss], keys[miss])
+            lengths[miss] = self.lengths[at]
             for total, x in ((n, lengths), (all_pieces, None), (known, hit)):
                 total += np.bincount(owner, x, len(texts)).astype(np.int64)
         return n, all_pieces, known
