@@ -28,8 +28,8 @@ def pairs_of(n: Column) -> Column:
     return n * (n - 1) / 2
 
 
-def student_p(r: Column, n: Column, most: int = 200) -> Column:
-    """Two-sided p of a correlation r of n points, by the finite series for whole degrees of freedom (A&S 26.7.3-4)."""
+def student_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation r of n points, by the finite series for whole degrees of freedom (A&S 26.7.3-4), all n / 2 terms of it."""
     df = n - 2
     t = F.abs(r) * F.sqrt(df / F.greatest((1 - F.abs(r)) * (1 + F.abs(r)), F.lit(1e-300)))
     theta = F.atan(t / F.sqrt(df))
@@ -38,7 +38,7 @@ def student_p(r: Column, n: Column, most: int = 200) -> Column:
     # Terms k = 1.. of the series: each is the one before times c2 and a ratio that differs for odd and even df.
     start = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
     count = F.greatest(F.when(odd, (df - 3) / 2).otherwise((df - 2) / 2), F.lit(0)).cast("int")
-    steps = F.when(count >= 1, F.sequence(F.lit(1), F.least(count, F.lit(most)))).otherwise(F.array().cast("array<int>"))
+    steps = F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
     ratio = lambda k: F.when(odd, 2.0 * k / (2 * k + 1)).otherwise((2.0 * k - 1) / (2 * k))
     total = F.aggregate(
         steps, F.struct(start.alias("s"), start.alias("x")),

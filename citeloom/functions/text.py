@@ -23,11 +23,12 @@ GENERIC_MORE = [
     r"(need|require)s? validation", r"(applied|tested) (only |primarily )?(in|to|on) (a |the )?(limited|small|single)",
 ]
 # Words that aren't keywords of a limitation.
-KEYWORD_STOP = (
-    "this that with from have been which their these those also into only such does would could should more most some other than very will each both well "
-    "still however while when where about between through during after before being over under same different specific particular model models approach method "
-    "methods study work based using used results limited limitations"
-).split()
+KEYWORD_STOP = [
+    "this", "that", "with", "from", "have", "been", "which", "their", "these", "those", "also", "into", "only", "such", "does", "would", "could", "should", "more",
+    "most", "some", "other", "than", "very", "will", "each", "both", "well", "still", "however", "while", "when", "where", "about", "between", "through", "during",
+    "after", "before", "being", "over", "under", "same", "different", "specific", "particular", "model", "models", "approach", "method", "methods", "study", "work",
+    "based", "using", "used", "results", "limited", "limitations",
+]
 # Words of comparisons, and phrases of failed work.
 COMPARISON = ["outperform", "state-of-the-art", "sota", "better than", "improve", "improvement", "compared to", "superior", "exceeds", "surpass", "best", "competitive"]
 FAILED = [
@@ -37,6 +38,11 @@ FAILED = [
 # Fields of an extraction, in order.
 EXTRACTION_FIELDS = ["problem", "method", "finding", "dataset", "metric", "baseline", "result", "enables", "limits", "open_questions"]
 
+# What parts key phrases, and articles before them.
+PHRASE_BREAK, PHRASE_START = r"[;]|,\s+(?:and|or)\s+|,\s+(?=[a-z])", r"^(the|a|an|this|that|whether|if|how|what)\s+"
+# Fences around a model's answer, and the answer's array.
+FENCE_OPEN, FENCE_CLOSE, OUTER_ARRAY = r"(?m)^```json\s*", r"(?m)^```\s*$", r"(?s)\[.*\]"
+
 
 def _any(text: Column, patterns: list[str]) -> Column:
     return F.lower(text).rlike("|".join(patterns))
@@ -56,7 +62,7 @@ def keywords(text: Column) -> Column:
 def key_phrases(text: Column) -> Column:
     """Parts between semicolons and list commas, without a leading article and a final dot, of 6 to 199 characters; else the whole text."""
     low = F.lower(text)
-    parts = F.transform(F.split(low, r"[;]|,\s+(?:and|or)\s+|,\s+(?=[a-z])"), lambda p: F.regexp_replace(F.regexp_replace(F.trim(p), r"\.+$", ""), r"^(the|a|an|this|that|whether|if|how|what)\s+", ""))
+    parts = F.transform(F.split(low, PHRASE_BREAK), lambda p: F.regexp_replace(F.regexp_replace(F.trim(p), r"\.+$", ""), PHRASE_START, ""))
     kept = F.filter(parts, lambda p: (F.length(p) > 5) & (F.length(p) < 200))
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(kept) > 0, kept).otherwise(F.array(F.regexp_replace(F.trim(low), r"\.+$", "")))
 
@@ -95,8 +101,8 @@ def open_pdf_url(primary: Column, oa_url: Column, pdf_urls: Column) -> Column:
 
 def parse_answer(text: Column) -> Column:
     """A model's answer as an array of extractions: fences off, the outermost array, objects with an identifier; missing fields are empty."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?m)^```json\s*", ""), r"(?m)^```\s*$", "")
-    found = F.regexp_extract(plain, r"(?s)\[.*\]", 0)
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), FENCE_OPEN, ""), FENCE_CLOSE, "")
+    found = F.regexp_extract(plain, OUTER_ARRAY, 0)
     kind = "array<struct<doi:string," + ",".join(f"{f}:string" for f in EXTRACTION_FIELDS) + ">>"
     rows = F.filter(F.from_json(found, kind), lambda x: x["doi"].isNotNull())
     full = F.transform(rows, lambda x: F.struct(x["doi"].alias("doi"), *[F.coalesce(x[f], F.lit("")).alias(f) for f in EXTRACTION_FIELDS]))
@@ -108,6 +114,12 @@ def shorten_field(text: Column, n: int = 200) -> Column:
     return F.when(F.length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n), r" [^ ]*$", ""), F.lit("..."))).otherwise(text)
 
 
+def checked_fields(extractions, fields: list[str], n: int = 200):
+    """The extractions with fields over n characters shortened, and quality_flags: `{field}_truncated` of each of them, in order."""
+    flags = F.array_compact(F.array(*[F.when(F.length(f) > n, F.lit(f"{f}_truncated")) for f in fields]))
+    return extractions.withColumns({"quality_flags": flags} | {f: shorten_field(F.col(f), n) for f in fields})
+
+
 def parse_actions(text: Column) -> Column:
     """struct(text, actions): what stands before the marker, and the JSON list `actions` behind it."""
     parts = F.split(text, "---ACTIONS---", 2)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.functions.text import EXTRACTION_FIELDS
+from citeloom.operators.scratch import written
+
 
 def having_all(papers: DataFrame, doc_entity: DataFrame, names: list[str]) -> DataFrame:
     """Papers with every one of the entities."""
@@ -89,16 +94,27 @@ def top_per_group(rows: DataFrame, group: str, order: list[Column], k: int = 1)
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rn") <= k)
 
 
+def _drawn(key: str, seed: int) -> Column:
+    """A hash of key and seed, which orders rows by chance, but the same each time."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+
+
+def neighbours_by_chance(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """a, b: each row's key and the next one's in an order by chance; a pair a row but the last."""
+    order = numbered(rows.select(F.col(key).alias("a"), _drawn(key, seed).alias("h")), [F.col("h"), F.col("a")], "i").select("a", "i")
+    return order.join(order.select(F.col("a").alias("b"), (F.col("i") - 1).alias("i")), "i").select("a", "b")
+
+
 def random_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows by a hash of key and seed: the same rows each time, whatever the partitions."""
-    return rows.withColumn("h", F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))).orderBy("h", key).limit(n).drop("h")
+    return rows.withColumn("h", _drawn(key, seed)).orderBy("h", key).limit(n).drop("h")
 
 
 def stratified_sample(papers: DataFrame, membership: DataFrame, seed: int, target: int = 50, major: tuple[int, int] = (5, 6), minor: tuple[int, int] = (2, 2), singletons: int = 3, bare: int = 5) -> DataFrame:
     """Some papers of each large cluster and each small one, a few of clusters of one, then papers without an abstract and others up to the target.
 
     The choice within a stratum is by a hash of key and seed. Columns: doc_id, stratum (0 major, 1 minor, 2 single, 3 no abstract, 4 fill)."""
-    h = F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+    h = _drawn("doc_id", seed)
     sizes = membership.groupBy("cluster_id").agg(F.count("*").alias("size"))
     rows = papers.join(membership, "doc_id").join(sizes, "cluster_id").withColumn("h", h)
     rows = rows.withColumn("stratum", F.when(F.col("size") >= major[0], 0).when(F.col("size") >= minor[0], 1).otherwise(2))
@@ -115,8 +131,11 @@ def stratified_sample(papers: DataFrame, membership: DataFrame, seed: int, targe
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows with their place in the order, from 0. Places come from sorted ranges and the ranges' counts, so no task holds all rows."""
-    ranged = rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id())
+    """rows with their place in the order, from 0. Places come from sorted ranges and the ranges' counts, so no task holds all rows.
+
+    The ranges are written once: rows and counts must be of one and the same division, and planning it twice would draw
+    its borders twice."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()), "ranges")
     before = ranged.groupBy("range_no").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range_no")) - F.col("n")).select("range_no", "before")
     place = F.row_number().over(Window.partitionBy("range_no").orderBy(*order)) - 1
     return ranged.withColumn("place", place).join(F.broadcast(before), "range_no").withColumn(name, F.col("place") + F.col("before")).drop("range_no", "place", "before")
@@ -129,12 +148,106 @@ def batches(rows: DataFrame, order: str, size: int, part: str | None = None) ->
     return numbered(rows, [F.col(order)], "batch_id").withColumn("batch_id", F.floor(F.col("batch_id") / size))
 
 
-def prompts(rows: DataFrame, size: int, header: str = "") -> DataFrame:
+#: What a prompt says before its papers: what to read, and the form of the answer.
+HEADER = (
+    "Read the papers below. For each, state in at most a sentence: "
+    + ", ".join(EXTRACTION_FIELDS)
+    + ". Leave a field empty where a paper says nothing of it. Answer with one JSON array; each element is an object with the paper's doi and these fields.\n\n"
+)
+FULL_HEADER = HEADER.replace("Read the papers below.", "Read the papers below; where methods, results or discussion are given, prefer them to the abstract.")
+#: Characters of each section that a prompt takes.
+SECTIONS = {"Methods": ("methods_text", 3000), "Results": ("results_text", 3000), "Discussion": ("discussion_text", 2000)}
+
+
+def _entry(*more: Column) -> Column:
+    """A paper's lines in a prompt; null lines are left out."""
+    abstract = F.when(F.trim(F.coalesce("abstract", F.lit(""))) == "", "(no abstract available)").otherwise(F.trim("abstract"))
+    lines = [
+        F.lit("---"), F.concat(F.lit("DOI: "), F.col("doc_id").cast("string")), F.concat(F.lit("Title: "), F.coalesce("title", F.lit("(no title)"))),
+        F.concat(F.lit("Year: "), F.coalesce(F.col("year").cast("string"), F.lit("unknown"))), F.concat(F.lit("Abstract: "), abstract), *more, F.lit("---"),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def _batched(rows: DataFrame, size: int) -> DataFrame:
+    """batch_id, n_papers, full, block of rows(doc_id, full, block): the papers' entries, in order, parted by blank lines."""
+    grouped = batches(rows, "doc_id", size).groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "block"))).alias("b"), F.count("*").alias("n_papers"), F.max("full").alias("full"))
+    return grouped.select("batch_id", "n_papers", "full", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("block"))
+
+
+def prompts(rows: DataFrame, size: int, header: str = HEADER) -> DataFrame:
     """One prompt text for each batch of papers (doc_id, title, year, abstract), and its number of papers."""
-    block = F.format_string(
-        "---\nDOI: %s\nTitle: %s\nYear: %s\nAbstract: %s\n---", F.col("doc_id").cast("string"), F.coalesce("title", F.lit("(no title)")), F.coalesce(F.col("year").cast("string"), F.lit("unknown")),
-        F.when(F.trim(F.coalesce("abstract", F.lit(""))) == "", "(no abstract available)").otherwise(F.trim("abstract")),
-    )
-    parts = batches(rows.where(F.col("doc_id").isNotNull()).select("doc_id", block.alias("block")), "doc_id", size)
-    grouped = parts.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "block"))).alias("b"), F.count("*").alias("n_papers"))
-    return grouped.select("batch_id", "n_papers", F.concat(F.lit(header), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")).alias("prompt"))
+    found = _batched(rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.lit(False).alias("full"), _entry().alias("block")), size)
+    return found.select("batch_id", "n_papers", F.concat(F.lit(header), "block").alias("prompt"))
+
+
+def fulltext_prompts(rows: DataFrame, size: int = 5, header: str = HEADER, full_header: str = FULL_HEADER) -> DataFrame:
+    """Prompts of papers with methods_text, results_text and discussion_text: batches in which some paper has one take the header for full texts."""
+    given = {label: F.substring(F.when(F.col(c) != "", F.col(c)), 1, n) for label, (c, n) in SECTIONS.items()}
+    lines = [F.concat(F.lit(f"{label}: "), c) for label, c in given.items()]
+    full = F.coalesce(*given.values()).isNotNull()
+    found = _batched(rows.where(F.col("doc_id").isNotNull()).select("doc_id", full.alias("full"), _entry(*lines).alias("block")), size)
+    return found.select("batch_id", "n_papers", F.col("full").alias("has_fulltext"), F.concat(F.when(F.col("full"), full_header).otherwise(header), "block").alias("prompt"))
+
+
+def answered(prompted: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+    """batch_id, answer: the caller's model asked with every prompt, a task's prompts one after the other; a failed call answers null.
+
+    Prompts out, answers in: which model answers, and how, is the caller's."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(prompt: str) -> str | None:
+            try:
+                return ask(prompt)
+            except Exception:  # whatever a caller's model raises: the batch stays unanswered and can be asked again
+                return None
+
+        for frame in frames:
+            yield pd.DataFrame({"batch_id": frame["batch_id"], "answer": frame["prompt"].map(one)})
+
+    return prompted.select("batch_id", "prompt").mapInPandas(run, "batch_id long, answer string")
+
+
+def research_rows(papers: DataFrame, membership: DataFrame, labels: DataFrame, extractions: DataFrame | None = None) -> DataFrame:
+    """Papers with cluster_id and its label, and the extracted fields where there are some: the table that a finished job hands over."""
+    rows = papers.join(membership, "doc_id", "left").join(labels, "cluster_id", "left")
+    if extractions is not None:
+        rows = rows.join(extractions, "doc_id", "left")
+    return rows.select("doc_id", *[c for c in papers.columns if c != "doc_id"], "cluster_id", "label", *[c for c in (extractions.columns if extractions is not None else []) if c != "doc_id"])
+
+
+def extraction_report(papers: DataFrame, extractions: DataFrame, by: str, filled: str) -> DataFrame:
+    """Per value of `by`: papers, those with the field filled, and their share to six places."""
+    rows = papers.join(extractions, "doc_id", "left").groupBy(by)
+    return rows.agg(F.count("*").alias("n_papers"), F.count(filled).alias("n_extracted"), F.round(F.avg(F.col(filled).isNotNull().cast("int")), 6).alias("share"))
+
+
+def works_of(keys: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Keys with their work id and citations (0 where unknown) from a lookup table; every key stays."""
+    return keys.join(lookup, "doc_id", "left").withColumn("cites", F.coalesce("cites", F.lit(0)))
+
+
+def citing_papers(citing: DataFrame, papers: DataFrame, patterns: list[str], year_floor: int) -> DataFrame:
+    """low, ref, doc_id: citing papers (doc_id, ref) whose title matches a pattern, from a year on; of one title, whatever its case, the first."""
+    rows = citing.join(papers, "doc_id").where((F.col("year") >= year_floor) & F.lower("title").rlike("|".join(patterns))).withColumn("low", F.lower("title"))
+    return top_per_group(rows, "low", [F.col("ref"), F.col("doc_id")]).select("low", "ref", "doc_id")
+
+
+def hypothesis_papers(hypotheses: DataFrame, chosen: list[int]) -> DataFrame:
+    """doc_id of the papers that the chosen hypotheses name, distinct."""
+    return hypotheses.where(F.col("hyp").isin(chosen)).select(F.explode("docs").alias("doc_id")).distinct()
+
+
+def fulltext_rate(rows: DataFrame, size: int = 50) -> DataFrame:
+    """batch_id, checked, available of rows(doc_id, ok), in batches by id."""
+    return batches(rows, "doc_id", size).groupBy("batch_id").agg(F.count("*").alias("checked"), F.count_if("ok").alias("available"))
+
+
+def export_clusters(papers: DataFrame, membership: DataFrame, ids: list) -> DataFrame:
+    """The papers of the chosen clusters, each once, in their own columns; unknown clusters add nothing."""
+    return in_clusters(papers, membership, ids)
+
+
+def reset(papers: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """What a view shows after a reset: all papers again, whatever was kept or excluded before."""
+    return papers

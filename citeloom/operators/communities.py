@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.stats import pairs_of
 from citeloom.operators.collections import numbered
+from citeloom.operators.scratch import dropped, written
 
 
 def optimise(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, total: float, resolution: float, seed: int) -> dict:
     """node -> community (a member's id) that local moves and merges can't improve, by modularity with the whole graph's weight.
 
+    A node's edge to itself is weight inside of it, as a coarsened graph has it.
+
     Every level visits its nodes in a seeded order and moves each to the neighbouring community of most gain; communities
     that fell apart on the way are split into their connected parts before they become the next level's nodes."""
     links: dict = defaultdict(lambda: defaultdict(float))
+    inner = defaultdict(float)
     for a, b, w in zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True):
+        if a == b:
+            inner[a] += w
+            _ = links[a]
+            continue
         links[a][b] += w
         links[b][a] += w
-    inner = defaultdict(float)
     members = {n: [n] for n in links}
     rng = np.random.default_rng(seed)
     while True:
@@ -72,40 +79,100 @@ def optimise(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, total: float,
         links, inner, members = next_links, next_inner, next_members
 
 
+#: Edges of a component that one task optimises; a larger component is coarsened by all tasks first.
+TASK_EDGES = 1_000_000
+
+
 def connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, component: the least id that edges reach, by min-label rounds until nothing changes."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    folder = vertices.sparkSession.conf.get("spark.checkpoint.dir", "")
-    now = vertices.select("doc_id", F.col("doc_id").alias("component"))
+    """doc_id, component: the least id that edges reach, by min-label rounds until nothing changes. Each round is written to the shared folder."""
+    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
+    now = written(vertices.select("doc_id", F.col("doc_id").alias("component")), "labels")
     while True:
         near = both.join(now.withColumnRenamed("doc_id", "dst"), "dst").groupBy("src").agg(F.min("component").alias("m")).withColumnRenamed("src", "doc_id")
-        step = now.join(near, "doc_id", "left").select("doc_id", F.least("component", F.coalesce("m", "component")).alias("component"))
+        step = now.join(near, "doc_id", "left").select("doc_id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
         # Jump to the label's own label, so that chains shrink by halves.
-        step = step.alias("s").join(step.alias("t"), F.col("s.component") == F.col("t.doc_id")).select(F.col("s.doc_id").alias("doc_id"), F.least("s.component", "t.component").alias("component"))
-        step = step.checkpoint() if folder else step.persist()
-        changed = step.join(now.withColumnRenamed("component", "old"), "doc_id").where("component <> old").limit(1).count()
+        step = step.alias("s").join(step.select("doc_id", "component").alias("t"), F.col("s.component") == F.col("t.doc_id"), "left").select(
+            F.col("s.doc_id").alias("doc_id"), "s.old", F.least("s.component", F.coalesce("t.component", "s.component")).alias("component")
+        )
+        step = written(step, "labels")
+        changed = not step.where("component <> old").isEmpty()
+        dropped(now)
         now = step
         if not changed:
-            return now
+            dropped(both)
+            return now.select("doc_id", "component")
+
+
+def local_moves(edges: DataFrame, total: float, resolution: float, seed: int, rounds: int = 12) -> DataFrame:
+    """node, least: communities after rounds in which nodes of all tasks move at once to the neighbouring community of most gain.
+
+    In a round only half of the nodes may move, drawn by a hash, and only to a community of a lower label or from being alone, so that
+    two don't swap for ever. Every round is a few joins and written to the shared folder; a node's edge to itself is weight inside."""
+    both = written(edges.where("src <> dst").select("src", "dst", "weight").unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "links")
+    degree = written(edges.select(F.col("src").alias("node"), "weight").unionAll(edges.select(F.col("dst").alias("node"), "weight")).groupBy("node").agg(F.sum("weight").alias("degree")), "degrees")
+    now = written(degree.select("node", F.col("node").alias("least")), "labels")
+    for k in range(rounds):
+        mass = now.join(degree, "node").groupBy("least").agg(F.sum("degree").alias("mass"), F.count("*").alias("size"))
+        to = both.join(now.select(F.col("node").alias("dst"), F.col("least").alias("to")), "dst").groupBy("src", "to").agg(F.sum("weight").alias("w"))
+        own = now.join(degree, "node")
+        gain = F.coalesce("w", F.lit(0.0)) - resolution * F.col("degree") * (F.col("mass") - F.when(F.col("to") == F.col("least"), F.col("degree")).otherwise(0.0)) / (2 * total)
+        # Staying is a choice like any other, also for a node without an edge into its own community.
+        choices = own.join(to.withColumnRenamed("src", "node"), "node").unionByName(own.withColumn("to", F.col("least")).withColumn("w", F.lit(0.0)))
+        scored = choices.groupBy("node", "least", "degree", "to").agg(F.max("w").alias("w")).join(mass.withColumnRenamed("least", "to"), "to").withColumn("gain", gain)
+        best = scored.groupBy("node", "least").agg(F.max(F.struct(F.round("gain", 9).alias("g"), (F.col("to") == F.col("least")).cast("int").alias("here"), (-F.col("to")).alias("t"))).alias("b"))
+        may = F.pmod(F.xxhash64("node", F.lit(seed + k)), F.lit(2)) == 0
+        new = F.when(may, -F.col("b.t")).otherwise(F.col("least"))
+        step = written(best.select("node", new.alias("least"), (new != F.col("least")).alias("moved")), "labels")
+        moved = not step.where("moved").isEmpty()
+        dropped(now)
+        now = step
+        if k % 2 and not moved:
+            break
+    for x in (both, degree):
+        dropped(x)
+    return now.select("node", "least")
 
 
-def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42) -> DataFrame:
+def _coarser(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The graph of the communities: weights between them, and inside as edges to themselves."""
+    a, b = labels.select(F.col("node").alias("src"), F.col("least").alias("a")), labels.select(F.col("node").alias("dst"), F.col("least").alias("b"))
+    return edges.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+
+
+def communities(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42, task_edges: int = TASK_EDGES) -> DataFrame:
     """doc_id, cluster_id: communities of a weighted graph, numbered by size and least member; papers without edges are alone.
 
-    A component is one task: this is for graphs whose components fit one; label_propagation is for larger ones."""
+    A component of up to task_edges edges is one task's. While some component has more, all tasks move nodes and the graph
+    is coarsened, its communities becoming nodes; what is left then goes to the tasks."""
     total = edges.agg(F.sum("weight")).first()[0] or 0.0
-    if total:
-        parts = connected(vertices, edges).withColumnRenamed("doc_id", "src")
+    if not total:
+        return _numbered(vertices.select("doc_id", F.col("doc_id").alias("least")))
+    graph, named = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), None
+    while True:
+        nodes = graph.select(F.col("src").alias("doc_id")).union(graph.select("dst")).distinct()
+        parts = connected(nodes, graph).withColumnRenamed("doc_id", "src")
+        placed = graph.join(parts, "src")
+        largest = placed.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if largest <= task_edges:
+            break
+        labels = local_moves(graph, float(total), resolution, seed)
+        smaller = written(_coarser(graph, labels), "graph")
+        # The first level's nodes are papers; later levels rename their communities.
+        named = written(labels.select(F.col("node").alias("doc_id"), "least") if named is None else named.join(labels.select(F.col("node").alias("least"), F.col("least").alias("next")), "least").select("doc_id", F.col("next").alias("least")), "named")
+        if smaller.count() >= 0.95 * placed.count():  # all tasks' moves have come to their end: what is left is as coarse as it gets
+            graph, placed = smaller, smaller.join(connected(smaller.select(F.col("src").alias("doc_id")).union(smaller.select("dst")).distinct(), smaller).withColumnRenamed("doc_id", "src"), "src")
+            break
+        graph = smaller
 
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            found = optimise(frame["src"].to_numpy(), frame["dst"].to_numpy(), frame["weight"].to_numpy(), float(total), resolution, seed)
-            return pd.DataFrame({"doc_id": list(found), "least": list(found.values())})
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = optimise(frame["src"].to_numpy(), frame["dst"].to_numpy(), frame["weight"].to_numpy(), float(total), resolution, seed)
+        return pd.DataFrame({"node": list(found), "least": list(found.values())})
 
-        labels = edges.join(parts, "src").groupBy("component").applyInPandas(run, "doc_id long, least long")
-        rows = vertices.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("least", "doc_id").alias("least"))
-    else:
-        rows = vertices.select("doc_id", F.col("doc_id").alias("least"))
-    return _numbered(rows)
+    labels = placed.groupBy("component").applyInPandas(run, "node long, least long")
+    if named is not None:
+        labels = named.join(labels.withColumnRenamed("least", "top").withColumnRenamed("node", "least"), "least").select(F.col("doc_id").alias("node"), F.col("top").alias("least"))
+    rows = vertices.select("doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("least", "doc_id").alias("least"))
+    return _numbered(written(rows, "communities"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -119,10 +186,14 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 5) ->
     """doc_id, label: every paper takes the label of most weight among its neighbours, the least of equals; a fixed number of rounds."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     now = vertices.select("doc_id", F.col("doc_id").alias("label"))
-    for _ in range(rounds):
+    for k in range(rounds):
         votes = both.join(now.withColumnRenamed("doc_id", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("src").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b")).select(F.col("src").alias("doc_id"), (-F.col("b.l")).alias("new"))
-        now = now.join(best, "doc_id", "left").select("doc_id", F.coalesce("new", "label").alias("label"))
+        before, now = now, now.join(best, "doc_id", "left").select("doc_id", F.coalesce("new", "label").alias("label"))
+        if k < rounds - 1:  # each round is written, so that the plan doesn't grow with their number
+            now = written(now, "labels")
+            if k:
+                dropped(before)
     return now
 
 
@@ -160,12 +231,12 @@ def sweeps(membership: DataFrame, edges: DataFrame, resolutions: list[float] | N
 
     The clusters' components are found once; at each resolution all clusters that haven't settled run together, a component in a task."""
     grid, k = resolutions or RESOLUTIONS, len(seeds)
-    large = membership.groupBy("cluster_id").agg(F.count("*").alias("size")).where("size >= 2").persist()
-    own = membership.join(large.select("cluster_id"), "cluster_id", "left_semi").select("doc_id", "cluster_id").persist()
+    large = membership.groupBy("cluster_id").agg(F.count("*").alias("size")).where("size >= 2")
+    own = written(membership.join(large.select("cluster_id"), "cluster_id", "left_semi").select("doc_id", "cluster_id"), "own")
     ends = own.select(F.col("doc_id").alias("dst"), F.col("cluster_id").alias("other"))
-    inside = edges.join(own.withColumnRenamed("doc_id", "src"), "src").join(ends, "dst").where(F.col("cluster_id") == F.col("other")).select("cluster_id", "src", "dst", "weight").persist()
+    inside = written(edges.join(own.withColumnRenamed("doc_id", "src"), "src").join(ends, "dst").where(F.col("cluster_id") == F.col("other")).select("cluster_id", "src", "dst", "weight"), "inside")
     totals = inside.groupBy("cluster_id").agg(F.sum("weight").alias("total"))
-    links = inside.join(connected(own, inside).withColumnRenamed("doc_id", "src"), "src").join(totals, "cluster_id").persist()
+    links = written(inside.join(connected(own, inside).withColumnRenamed("doc_id", "src"), "src").join(totals, "cluster_id"), "links")
 
     def settled(r: float, names: list[str]) -> list[str]:
         def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +245,8 @@ def sweeps(membership: DataFrame, edges: DataFrame, resolutions: list[float] | N
 
         still = F.col("cluster_id").isin(names)
         labels = links.where(still).groupBy("cluster_id", "component").applyInPandas(run, "doc_id long, labels array<long>")
-        rows = own.where(still).join(labels, "doc_id", "left").select("cluster_id", F.coalesce("labels", F.array_repeat("doc_id", k)).alias("labels")).persist()
+        rows = own.where(still).join(labels, "doc_id", "left").select("cluster_id", F.coalesce("labels", F.array_repeat("doc_id", k)).alias("labels"))
+        rows = written(rows, "sweep")
         two = [F.struct(F.lit(f"{i} {j}").alias("two"), F.col("labels")[i].alias("a"), F.col("labels")[j].alias("b")) for i in range(k) for j in range(i + 1, k)]
         subs = rows.groupBy("cluster_id").agg(F.count("*").alias("n"), F.countDistinct(F.col("labels")[0]).alias("subs"))
         alike = subs.select("cluster_id", F.lit(1.0).alias("ari"))
@@ -188,10 +260,10 @@ def sweeps(membership: DataFrame, edges: DataFrame, resolutions: list[float] | N
         # A cluster that stays in one piece has no sub-clusters to judge.
         good = subs.join(alike, "cluster_id").where((F.col("subs") > 1) & (F.col("n") / F.col("subs") <= most) & (F.col("ari") >= stable))
         names = [x.cluster_id for x in good.select("cluster_id").collect()]
-        rows.unpersist()
+        dropped(rows)
         return names
 
-    waiting = sorted(x.cluster_id for x in large.collect())
+    waiting = sorted(x.cluster_id for x in own.select("cluster_id").distinct().collect())
     found = dict.fromkeys(waiting, float(grid[-1]))
     for r in grid[:-1]:
         if not waiting:
@@ -199,8 +271,8 @@ def sweeps(membership: DataFrame, edges: DataFrame, resolutions: list[float] | N
         done = set(settled(r, waiting))
         found |= dict.fromkeys(done, float(r))
         waiting = [c for c in waiting if c not in done]
-    for x in (links, inside, own, large):
-        x.unpersist()
+    for x in (links, inside, own):
+        dropped(x)
     return membership.sparkSession.createDataFrame(list(found.items()), "cluster_id string, resolution double")
 
 

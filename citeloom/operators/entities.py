@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from citeloom.operators.collections import numbered
 
 # Words that, capitalised in a title or found in an abstract, name no entity.
-STOP_WORDS = (
-    "the a an of in for to and with on using towards building based new novel large comprehensive survey review challenges future applications current scale from "
-    "single multi via through across beyond into between among how what why when where which who can may could would should will shall are is was were been being "
-    "have has had its their our your his her this that these those all any some each both few more most other such only just also very quite rather too not but yet "
-    "however although though while model models modeling modelling analysis approach method methods study studies data learning cell cells cellular biology "
-    "biological protein proteins gene genes genomic molecular network networks system systems computational development prediction predictions predictive inference "
-    "identification detection classification generation synthesis integration exploration understanding insights perspective perspectives framework platform "
-    "pipeline tool tools software enables enabling enabled reveals revealing revealed improved improving improvement enhanced enhancing scalable efficient effective "
-    "robust accurate high low deep wide long short resolution level levels type types driven guided informed aware within without"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "of", "in", "for", "to", "and", "with", "on", "using", "towards", "building", "based", "new", "novel", "large", "comprehensive", "survey", "review",
+    "challenges", "future", "applications", "current", "scale", "from", "single", "multi", "via", "through", "across", "beyond", "into", "between", "among", "how",
+    "what", "why", "when", "where", "which", "who", "can", "may", "could", "would", "should", "will", "shall", "are", "is", "was", "were", "been", "being", "have", "has",
+    "had", "its", "their", "our", "your", "his", "her", "this", "that", "these", "those", "all", "any", "some", "each", "both", "few", "more", "most", "other", "such",
+    "only", "just", "also", "very", "quite", "rather", "too", "not", "but", "yet", "however", "although", "though", "while", "model", "models", "modeling", "modelling",
+    "analysis", "approach", "method", "methods", "study", "studies", "data", "learning", "cell", "cells", "cellular", "biology", "biological", "protein", "proteins",
+    "gene", "genes", "genomic", "molecular", "network", "networks", "system", "systems", "computational", "development", "prediction", "predictions", "predictive",
+    "inference", "identification", "detection", "classification", "generation", "synthesis", "integration", "exploration", "understanding", "insights", "perspective",
+    "perspectives", "framework", "platform", "pipeline", "tool", "tools", "software", "enables", "enabling", "enabled", "reveals", "revealing", "revealed", "improved",
+    "improving", "improvement", "enhanced", "enhancing", "scalable", "efficient", "effective", "robust", "accurate", "high", "low", "deep", "wide", "long", "short",
+    "resolution", "level", "levels", "type", "types", "driven", "guided", "informed", "aware", "within", "without",
+]
 # The vocabulary's methods.
 METHODS = [
     "scGPT", "transformer", "transformers", "LSTM", "CNN", "RNN", "GRU", "neural network", "deep learning", "machine learning", "ML", "DL", "AI", "random forest",
@@ -79,10 +82,22 @@ def merged_vocabulary(extra: dict[str, list[str]] | None = None, base: dict[str,
 
 
 def _found(text: Column, vocabulary: list[tuple[int, str, str]]) -> Column:
-    """Structs of the terms in the text, at word borders, in the vocabulary's order. One compiled pattern for each term, no join."""
+    """Structs of the terms in the text, at word borders, in the vocabulary's order.
+
+    A term can only be where its first word is: the text's distinct words meet a map from first words to terms, and only
+    the terms of those that are in it are tried as patterns, however large the vocabulary is."""
+    terms: dict[str, list[tuple[int, str, str, str]]] = {}
+    for n, kind, term in vocabulary:
+        low = term.lower()
+        terms.setdefault(re.search(r"\w+", low)[0], []).append((n, low, kind, r"(?U)\b" + re.escape(low) + r"\b"))
+    if not terms:
+        return F.array().cast("array<struct<rank:int,entity:string,kind:string>>")
+    struct = lambda t: F.struct(F.lit(t[0]).alias("rank"), F.lit(t[1]).alias("entity"), F.lit(t[2]).alias("kind"), F.lit(t[3]).alias("pattern"))
+    by_word = F.create_map(*[c for w, ts in terms.items() for c in (F.lit(w), F.array(*map(struct, ts)))])
     low = F.lower(text)
-    hits = [F.when(low.rlike(r"(?U)\b" + re.escape(t.lower()) + r"\b"), F.struct(F.lit(n).alias("rank"), F.lit(t.lower()).alias("entity"), F.lit(k).alias("kind"))) for n, k, t in vocabulary]
-    return F.array_compact(F.array(*hits))
+    there = F.array_intersect(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)), F.array(*map(F.lit, terms)))
+    tried = F.filter(F.flatten(F.transform(there, lambda w: by_word[w])), lambda t: F.regexp_like(low, t["pattern"]))
+    return F.transform(F.array_sort(tried), lambda t: F.struct(t["rank"].alias("rank"), t["entity"].alias("entity"), t["kind"].alias("kind")))
 
 
 def title_entities(papers: DataFrame, vocabulary: list[tuple[int, str, str]]) -> DataFrame:

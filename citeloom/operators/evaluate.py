@@ -102,6 +102,19 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     return rows.agg(F.first("m").alias("m"), F.sum(part).alias("modularity"))
 
 
+def entity_modularity(doc_entity: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """modularity of the shared-entity graph, without an edge: an entity of df papers, k of them in a cluster, adds df (df - 1) / 2
+    to the total weight, k (k - 1) / 2 to the weight inside the cluster, and k (df - 1) to the cluster's degree.
+
+    Every paper with entities must have a cluster."""
+    cells = doc_entity.join(membership, "doc_id").groupBy("entity", "cluster_id").agg(F.count("*").alias("k"))
+    df = doc_entity.groupBy("entity").agg(F.count("*").alias("df"))
+    rows = cells.join(df, "entity").groupBy("cluster_id").agg(F.sum(pairs_of(F.col("k"))).alias("l"), F.sum(F.col("k") * (F.col("df") - 1)).alias("d"))
+    total = df.agg(F.sum(pairs_of(F.col("df"))).cast("long").alias("m"))
+    part = F.col("l") / F.col("m") - resolution * F.pow(F.col("d") / (2 * F.col("m")), 2)
+    return rows.join(F.broadcast(total)).agg(F.first("m").alias("m"), F.sum(part).alias("modularity"))
+
+
 def cluster_metrics(membership: DataFrame, major: int = 5) -> DataFrame:
     s = membership.groupBy("cluster_id").agg(F.count("*").alias("n"))
     return s.agg(F.count("*").alias("clusters"), F.count_if(F.col("n") >= major).alias("majors"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"))

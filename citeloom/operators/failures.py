@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import is_generic, keywords
 
+#: Centroids in a list that vectors meet together.
+SHELF = 1000
 THEME = "cluster_id string, label string, keywords array<string>, n long, members array<string>, representative string"
 
 
@@ -90,9 +92,15 @@ def semantic_dedup(vectors: DataFrame, group: str, threshold: float = 0.85) -> D
         x = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         kept: list[int] = []
-        for i in range(len(x)):
-            if not kept or (x[kept] @ x[i]).max() < threshold:
-                kept.append(i)
+        for at in range(0, len(x), 512):  # a block meets all that stayed before it in one product, then its own in turn
+            block = x[at : at + 512]
+            alike = (block @ x[kept].T >= threshold).any(1) if kept else np.zeros(len(block), bool)
+            own = block @ block.T >= threshold
+            new: list[int] = []
+            for i in np.flatnonzero(~alike).tolist():
+                if not own[i, new].any():
+                    new.append(i)
+            kept += [at + i for i in new]
         return frame.iloc[kept][[group, "vec_id"]]
 
     return vectors.select(group, "vec_id", "embedding").groupBy(group).applyInPandas(run, vectors.select(group, "vec_id").schema)
@@ -123,15 +131,19 @@ def centroids(vectors: DataFrame, group: str) -> DataFrame:
 def coherence(vectors: DataFrame, group: str, enough: float = 0.5) -> DataFrame:
     """group, n, the mean cosine of its vectors with its centroid, and whether that is enough."""
     c = centroids(vectors, group)
-    rows = vectors.join(F.broadcast(c), group).groupBy(group).agg(F.max("n").alias("n"), F.avg(cosine(F.col("embedding"), F.col("centroid"))).alias("mean_cosine"))
+    rows = vectors.join(c, group).groupBy(group).agg(F.max("n").alias("n"), F.avg(cosine(F.col("embedding"), F.col("centroid"))).alias("mean_cosine"))
     return rows.withColumn("coherent", F.col("mean_cosine") >= enough)
 
 
 def foreign(vectors: DataFrame, group: str, threshold: float = 0.85) -> DataFrame:
-    """Vectors close to the centroid of another group. Centroids are as many as groups, which are few beside vectors."""
-    c = centroids(vectors, group).select(F.col(group).alias("other"), "centroid")
-    rows = vectors.withColumn("k", F.lit(1)).join(F.broadcast(c.withColumn("k", F.lit(1))), "k").where(F.col(group) != F.col("other")).withColumn("cos", cosine(F.col("embedding"), F.col("centroid")))
-    return rows.where(F.col("cos") >= threshold).select("vec_id", group, "other", "cos")
+    """Vectors close to the centroid of another group. Centroids lie together in lists of `SHELF`; a vector meets each list, as it must
+    meet every centroid, and Spark broadcasts the lists only if they are small."""
+    c = centroids(vectors, group)
+    shelves = -(-c.count() // SHELF)
+    lists = c.groupBy(F.pmod(F.xxhash64(group), F.lit(max(1, shelves))).alias("shelf")).agg(F.collect_list(F.struct(F.col(group).alias("other"), "centroid")).alias("cs"))
+    rows = vectors.withColumn("shelf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, shelves - 1)).cast("long")))).join(lists, "shelf")
+    rows = rows.select("vec_id", group, F.explode(F.transform("cs", lambda x: F.struct(x["other"].alias("other"), cosine(F.col("embedding"), x["centroid"]).alias("cos")))).alias("x"))
+    return rows.where((F.col("x.other") != F.col(group)) & (F.col("x.cos") >= threshold)).select("vec_id", group, "x.other", "x.cos")
 
 
 def semantic_themes(vectors: DataFrame, k: int, seed: int = 3) -> DataFrame:

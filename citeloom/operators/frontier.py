@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.stats import bh_rank, choose_threshold, correlation, student_p
+from citeloom.operators.graph import meet
 
 
 def _overlap(items: DataFrame, item: str, membership: DataFrame, name: str) -> DataFrame:
     """cluster_id, doc_a, doc_b and the items both have, within clusters, by an inverted index."""
     rows = items.select("doc_id", item).distinct().join(membership, "doc_id")
-    a, b = rows.alias("a"), rows.alias("b")
-    hit = a.join(b, (F.col("a.cluster_id") == F.col("b.cluster_id")) & (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return hit.groupBy(F.col("a.cluster_id").alias("cluster_id"), F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")).agg(F.count("*").alias(name))
+    hit = meet(rows, ["cluster_id", item], "doc_id")
+    return hit.groupBy("cluster_id", F.col("src").alias("doc_a"), F.col("dst").alias("doc_b")).agg(F.count("*").alias(name))
 
 
 def redundancy(doc_entity: DataFrame, refs: DataFrame, membership: DataFrame, threshold: float = 0.15) -> DataFrame:
@@ -51,9 +51,9 @@ def trends(doc_entity: DataFrame, papers: DataFrame, membership: DataFrame, leas
     sizes = dated.groupBy("cluster_id").agg(F.count("*").alias("n_papers")).where(F.col("n_papers") >= least_papers)
     years = dated.groupBy("cluster_id", "year").agg(F.count("*").alias("year_n")).where(F.col("year_n") >= per_year).join(sizes, "cluster_id")
     years = years.withColumn("n_years", F.count("*").over(Window.partitionBy("cluster_id"))).where(F.col("n_years") >= least_years)
-    rows = dated.join(doc_entity, "doc_id")
-    tested = rows.groupBy("cluster_id", "entity").agg(F.count("*").alias("freq")).where(F.col("freq") >= mentions)
-    counts = rows.groupBy("cluster_id", "entity", "year").agg(F.count("*").alias("n"))
+    counts = dated.join(doc_entity, "doc_id").groupBy("cluster_id", "entity", "year").agg(F.count("*").alias("n"))
+    # The yearly counts' sum is the frequency: the join runs once.
+    tested = counts.groupBy("cluster_id", "entity").agg(F.sum("n").alias("freq")).where(F.col("freq") >= mentions)
     grid = tested.join(years, "cluster_id").join(counts, ["cluster_id", "entity", "year"], "left")
     share = F.coalesce("n", F.lit(0)) / F.col("year_n")
     fits = grid.withColumn("share", share).groupBy("cluster_id", "entity").agg(
@@ -158,42 +158,48 @@ def structural_gaps(doc_entity: DataFrame, membership: DataFrame, allow_high_dro
     return {"gaps": gaps(doc_entity, membership, **options), "bridges": bridges(doc_entity, membership, background), "background": background}
 
 
-def permutation_gaps(doc_entity: DataFrame, membership: DataFrame, rounds: int = 1000, least_papers: int = 20, most_entities: int = 100, seed: int = 7) -> DataFrame:
+def permutation_gaps(doc_entity: DataFrame, membership: DataFrame, rounds: int = 1000, least_papers: int = 20, most_entities: int = 100, seed: int = 7, shares: int = 8) -> DataFrame:
     """cluster_id, entity_a, entity_b, observed, mean, z: co-occurrence against shuffles of the cluster's entity mentions over its papers.
 
-    A cluster's commonest entities (a fixed number) make its table; the seed of a cluster comes from its id."""
+    A cluster's commonest entities (a fixed number) make its table. Its rounds are dealt to `shares` tasks, whose sums are
+    added up; a task holds the cluster's mentions as numbers and a few thousand papers' rows at a time. The seed of a share
+    comes from the cluster's id and the share."""
     top = Window.partitionBy("cluster_id").orderBy(F.desc("f"), "entity")
     _, freq = _frequencies(doc_entity, membership, least_papers)
-    chosen = freq.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= most_entities).select("cluster_id", "entity")
-    rows = doc_entity.join(membership, "doc_id").join(chosen, ["cluster_id", "entity"]).groupBy("cluster_id", "doc_id").agg(F.sort_array(F.collect_list("entity")).alias("entities"))
+    chosen = freq.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= most_entities).select("cluster_id", "entity", "rn")
+    rows = doc_entity.join(membership, "doc_id").join(chosen, ["cluster_id", "entity"]).select("cluster_id", "doc_id", "rn")
+    rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        lists = frame.sort_values("doc_id")["entities"].tolist()
-        names = sorted({e for x in lists for e in x})
-        place = {e: i for i, e in enumerate(names)}
-        sizes = np.array([len(x) for x in lists])
-        pool = np.array([place[e] for x in lists for e in x])
-        owner = np.repeat(np.arange(len(lists)), sizes)
-        rng = np.random.default_rng([seed, *str(key[0]).encode()])
+        frame = frame.sort_values(["doc_id", "rn"])
+        owner = np.unique(frame["doc_id"].to_numpy(), return_inverse=True)[1]
+        pool, n = frame["rn"].to_numpy() - 1, int(frame["rn"].max())
+        cuts = np.searchsorted(owner, np.arange(0, owner[-1] + 4097, 4096))
+        rng = np.random.default_rng([seed, int(key[1]), *str(key[0]).encode()])
 
         def together(columns: np.ndarray) -> np.ndarray:
-            x = np.zeros((len(lists), len(names)), np.float32)
-            x[owner, columns] = 1
-            return x.T @ x
-
-        observed, total, squares = together(pool), 0.0, 0.0
-        for _ in range(rounds):
-            c = together(rng.permutation(pool)).astype(np.float64)
+            out = np.zeros((n, n), np.float64)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    x = np.zeros((4096, n), np.float32)
+                    x[owner[a:b] - owner[a], columns[a:b]] = 1
+                    out += x.T @ x
+            return out
+
+        observed, total, squares = together(pool), np.zeros((n, n)), np.zeros((n, n))
+        for _ in range(rounds // shares + (int(key[1]) < rounds % shares)):
+            c = together(rng.permutation(pool))
             total, squares = total + c, squares + c * c
-        mean = total / rounds
-        std = np.sqrt(np.maximum(squares / rounds - mean**2, 0))
-        i, j = np.triu_indices(len(names), 1)
-        keep = std[i, j] >= 1e-9
-        i, j = i[keep], j[keep]
-        z = (observed[i, j] - mean[i, j]) / std[i, j]
-        return pd.DataFrame({"cluster_id": str(key[0]), "entity_a": [names[k] for k in i], "entity_b": [names[k] for k in j], "observed": observed[i, j].astype(int), "mean": mean[i, j], "z": z})
-
-    return rows.groupBy("cluster_id").applyInPandas(run, "cluster_id string, entity_a string, entity_b string, observed long, mean double, z double")
+        i, j = np.triu_indices(n, 1)
+        return pd.DataFrame({"cluster_id": str(key[0]), "a": i + 1, "b": j + 1, "observed": observed[i, j].astype(int), "total": total[i, j], "squares": squares[i, j]})
+
+    kind = "cluster_id string, a int, b int, observed long, total double, squares double"
+    sums = rows.groupBy("cluster_id", "share").applyInPandas(run, kind).groupBy("cluster_id", "a", "b").agg(F.max("observed").alias("observed"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+    name = lambda n, e: chosen.select(F.col("cluster_id").cast("string").alias("cluster_id"), F.col("rn").alias(n), F.col("entity").alias(e))
+    mean = F.col("total") / rounds
+    both = sums.join(name("a", "x"), ["cluster_id", "a"]).join(name("b", "y"), ["cluster_id", "b"]).withColumn("mean", mean).withColumn("std", F.sqrt(F.greatest(F.col("squares") / rounds - F.col("mean") ** 2, F.lit(0.0))))
+    both = both.where("std >= 1e-9").withColumn("z", (F.col("observed") - F.col("mean")) / F.col("std"))
+    return both.select("cluster_id", F.least("x", "y").alias("entity_a"), F.greatest("x", "y").alias("entity_b"), "observed", "mean", "z")
 
 
 def yearly(doc_entity: DataFrame, papers: DataFrame, mentions: int = 5) -> DataFrame:

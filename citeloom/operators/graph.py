@@ -6,9 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Papers of an entity that meet in one join group; an entity of more is cut into blocks, and pairs of blocks meet.
+BLOCK = 2000
+
+
+def meet(rows: DataFrame, keys: list[str], node: str, block: int = BLOCK) -> DataFrame:
+    """keys, src, dst: each pair of nodes, src < dst, that have the keys in common.
+
+    A key that very many nodes have is cut into blocks by a hash of the node; every pair of blocks is a join group of its
+    own, so that no task gets all pairs of one key, whatever its size."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = rows.select(*keys, F.col(node).alias("node")).join(sizes, keys).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    low = placed.select(*keys, F.col("node").alias("a"), F.col("at").alias("bi"), F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)).alias("bj"))
+    high = placed.select(*keys, F.col("node").alias("b"), F.col("at").alias("bj"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("at"))).alias("bi"))
+    both = low.join(high, [*keys, "bi", "bj"]).where(F.when(F.col("bi") == F.col("bj"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    return both.select(*keys, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+
 def _pairs(doc_entity: DataFrame) -> DataFrame:
-    a, b = doc_entity.alias("a"), doc_entity.alias("b")
-    return a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("src"), F.col("b.doc_id").alias("dst"), F.col("a.entity").alias("entity"))
+    return meet(doc_entity, ["entity"], "doc_id").select("src", "dst", "entity")
 
 
 def shared_edges(doc_entity: DataFrame, max_df: int | None = None) -> DataFrame:
@@ -18,6 +34,31 @@ def shared_edges(doc_entity: DataFrame, max_df: int | None = None) -> DataFrame:
     return _pairs(doc_entity).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def strong_edges(doc_entity: DataFrame, least: int) -> DataFrame:
+    """The edges of shared_edges with a weight of `least` or more, without building the weaker ones.
+
+    In an order of entities from rare to common, two papers that share enough have one of each other's first n - least + 1
+    in common: only these entities make candidates, so the commonest bring few papers together."""
+    df = doc_entity.groupBy("entity").agg(F.count("*").alias("df"))
+    sets = doc_entity.join(df, "entity").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "entity"))).alias("x"))
+    sets = sets.select("doc_id", F.transform("x", lambda e: e["entity"]).alias("own")).where(F.size("own") >= least)
+    heads = sets.select("doc_id", F.explode(F.slice("own", F.lit(1), F.size("own") - (least - 1))).alias("entity"))
+    found = meet(heads, ["entity"], "doc_id").select("src", "dst").distinct()
+    both = found.join(sets.select(F.col("doc_id").alias("src"), F.col("own").alias("x")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("own").alias("y")), "dst")
+    return both.select("src", "dst", F.size(F.array_intersect("x", "y")).cast("long").alias("weight")).where(F.col("weight") >= least)
+
+
+def shared_distribution(doc_entity: DataFrame) -> DataFrame:
+    """weight, edges: how many pairs share so many entities. Papers of equal entity sets are one class first, so pairs are of classes."""
+    sets = doc_entity.groupBy("doc_id").agg(F.array_sort(F.collect_set("entity")).alias("own"))
+    classes = sets.groupBy("own").agg(F.count("*").alias("n"), F.min("doc_id").alias("node"))
+    pairs = meet(classes.select("node", F.explode("own").alias("entity")), ["entity"], "node").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    n = classes.select("node", "n")
+    between = pairs.join(n.select(F.col("node").alias("src"), F.col("n").alias("na")), "src").join(n.select(F.col("node").alias("dst"), F.col("n").alias("nb")), "dst").select("weight", (F.col("na") * F.col("nb")).alias("edges"))
+    within = classes.select(F.size("own").cast("long").alias("weight"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("edges")).where("edges > 0")
+    return between.unionByName(within).groupBy("weight").agg(F.sum("edges").alias("edges"))
+
+
 def _with_sizes(edges: DataFrame, doc_entity: DataFrame) -> DataFrame:
     sizes = doc_entity.groupBy("doc_id").agg(F.count("*").alias("n"))
     return edges.join(sizes.select(F.col("doc_id").alias("src"), F.col("n").alias("n_src")), "src").join(sizes.select(F.col("doc_id").alias("dst"), F.col("n").alias("n_dst")), "dst")
@@ -106,6 +147,15 @@ def graph_stats(edges: DataFrame, papers: DataFrame) -> DataFrame:
     return e.join(F.broadcast(n)).withColumn("density", F.col("n_edges") / (F.col("n_papers") * (F.col("n_papers") - 1) / 2))
 
 
+def entity_graph_stats(doc_entity: DataFrame, papers: DataFrame) -> DataFrame:
+    """graph_stats of the shared-entity graph, from the distribution of its weights."""
+    n = papers.agg(F.count("*").alias("n_papers"))
+    e = shared_distribution(doc_entity).agg(
+        F.sum("edges").alias("n_edges"), (F.sum(F.when(F.col("weight") == 1, F.col("edges")).otherwise(0)) / F.sum("edges")).alias("single_share"), (F.sum(F.col("weight") * F.col("edges")) / F.sum("edges")).alias("mean_weight")
+    )
+    return e.join(F.broadcast(n)).withColumn("density", F.col("n_edges") / (F.col("n_papers") * (F.col("n_papers") - 1) / 2))
+
+
 def cluster_summary(doc_entity: DataFrame, membership: DataFrame, k: int = 10) -> DataFrame:
     """cluster_id, size, top_entities: the commonest entities, by count and name."""
     size = membership.groupBy("cluster_id").agg(F.count("*").alias("size"))

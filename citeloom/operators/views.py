@@ -85,6 +85,48 @@ def decision(summary: DataFrame, bridges: DataFrame) -> DataFrame:
     return summary.select("cluster_id", "size").join(links, "cluster_id", "left").na.fill(0, ["bridges"])
 
 
+def directory(papers: DataFrame, membership: DataFrame, labels: DataFrame, palette: int = 20) -> DataFrame:
+    """The searchable directory: a card for each paper, newest first by `place`, with its cluster's label, colour number, address and key of search.
+
+    A paper without a cluster is `Unassigned`; a cluster without a label is `Cluster id`."""
+    ids = colours(membership, palette)
+    rows = papers.join(membership, "doc_id", "left").join(labels, "cluster_id", "left").join(ids, "cluster_id", "left")
+    label = F.when(F.col("cluster_id").isNull(), "Unassigned").otherwise(F.coalesce("label", F.concat(F.lit("Cluster "), "cluster_id")))
+    title = F.coalesce("title", F.lit("Unknown title"))
+    return rows.select(
+        "doc_id", title.alias("title"), "year", label.alias("cluster_label"), "colour", F.concat(F.lit("https://doi.org/"), F.col("doc_id").cast("string")).alias("url"),
+        F.lower(F.concat_ws(" ", title, F.col("doc_id").cast("string"), label)).alias("search_key"),
+    )
+
+
+def searched(cards: DataFrame, words: str, cluster_label: str | None = None, page: int = 0, size: int = 20) -> DataFrame:
+    """A page of the directory's cards that hold all the words, of one cluster if given, newest first."""
+    hits = cards
+    for w in words.lower().split():
+        hits = hits.where(F.col("search_key").contains(w))
+    if cluster_label:
+        hits = hits.where(F.col("cluster_label") == cluster_label)
+    return hits.orderBy(F.desc_nulls_last("year"), "doc_id").offset(page * size).limit(size)
+
+
+def novelty_points(gaps: DataFrame, k: int = 10) -> DataFrame:
+    """Points of the k least z scores: x is 1 - ratio, y is z, the label names the pair."""
+    rows = gaps.orderBy("z", "entity_a", "entity_b", "cluster_id").limit(k)
+    return rows.select(F.format_string("%s × %s", "entity_a", "entity_b").alias("label"), "cluster_id", (1 - F.col("ratio")).alias("x"), F.col("z").alias("y"))
+
+
+def theme_rows(themes: DataFrame) -> DataFrame:
+    """Rows of the themes' table: id, up to three keywords, size, coherence to three places, whether it is coherent."""
+    words = F.when(F.size("keywords") > 0, F.array_join(F.slice("keywords", 1, 3), ", ")).otherwise("N/A")
+    return themes.select("theme_id", words.alias("label"), "size", F.round("mean_cosine", 3).alias("coherence"), F.when(F.col("coherent"), "Yes").otherwise("No").alias("coherent"))
+
+
+def bridge_rows(bridges: DataFrame, k: int = 20) -> DataFrame:
+    """Rows of the bridges' table: the k of most Jaccard, with their first shared entities."""
+    rows = bridges.orderBy(F.desc("entity_jaccard"), "cluster_a", "cluster_b").limit(k)
+    return rows.select("cluster_a", "cluster_b", "entity_jaccard", "shared_count", F.array_join(F.slice("shared_entities", 1, 5), ", ").alias("entities"))
+
+
 def all_views(tables: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
     """The views whose tables are there; a missing table leaves its view out."""
     makers = {"overview": (overview, "summary"), "bridges": (bridge_links, "bridges"), "colours": (colours, "membership")}

@@ -151,12 +151,13 @@ PROFILE = "pr0(resolution, clusters) AS (VALUES (1.0::DOUBLE, 8::BIGINT), (1.2,
 
 
 def _graph(s, d):
-    """A graph of parts small enough for communities: parts of one brand that share a name."""
+    """A graph of parts small enough for walks of labels in SQL: parts of one brand that share a name."""
     return G.shared_edges(K.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_brand", "p_name").alias("entity"))).withColumn("weight", F.col("weight").cast("double"))
 
 
 def _communities(s, d):
-    return U.communities(K.part_papers(s, d).select("doc_id"), _graph(s, d), 1.0, 42)
+    """Communities of the whole shared-entity graph; components of more edges than one task should hold are coarsened first."""
+    return U.communities(K.part_papers(s, d).select("doc_id"), G.shared_edges(K.part_entities(s, d)), 1.0, 42, task_edges=100_000)
 
 
 def _talk_edges(s, d):
@@ -166,13 +167,13 @@ def _talk_edges(s, d):
 
 def _subs(s, d):
     v, e = _talk_edges(s, d)
-    m = v.withColumn("cluster_id", (F.col("doc_id") % 4).cast("string")).persist()
+    m = v.withColumn("cluster_id", (F.col("doc_id") % 4).cast("string"))
     return U.with_sub_clusters(m, U.sub_clusters(m, e, "1", 1.0, 1))
 
 
 def _sweep(s, d):
     v, e = _talk_edges(s, d)
-    m = v.withColumn("cluster_id", (F.col("doc_id") % 4).cast("string")).persist()
+    m = v.withColumn("cluster_id", (F.col("doc_id") % 4).cast("string"))
     return U.sweeps(m, e)
 
 
@@ -208,7 +209,7 @@ QUERIES = {
         BEST + " SELECT CAST((SELECT sum(n) FROM x) AS BIGINT) AS n_papers, CAST((SELECT sum(n) FROM x) - sum(n) AS BIGINT) AS moved, round(((SELECT sum(n) FROM x) - sum(n)) / (SELECT sum(n) FROM x), 6) AS moved_share FROM best",
     ),
     "cl_modularity": (
-        lambda s, d: _round(V.modularity(G.shared_edges(K.part_entities(s, d)), K.part_types(s, d)), modularity=6),
+        lambda s, d: _round(V.entity_modularity(K.part_entities(s, d), K.part_types(s, d)), modularity=6),
         f"""WITH {PE}, {PT}, e AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS weight FROM pe a JOIN pe b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2), k AS (SELECT weight, a.cluster_id AS c1, b.cluster_id AS c2 FROM e JOIN pt a ON a.doc_id = src JOIN pt b ON b.doc_id = dst),
  t AS (SELECT sum(weight) AS m FROM k), g AS (SELECT c, sum(w) AS d, sum(l) AS l FROM (SELECT c1 AS c, weight AS w, CASE WHEN c1 = c2 THEN weight ELSE 0 END AS l FROM k UNION ALL SELECT c2, weight, 0 FROM k) GROUP BY 1)
 SELECT CAST(any_value(m) AS BIGINT) AS m, round(sum(l / m - pow(d / (2 * m), 2)), 6) AS modularity FROM g, t""",
@@ -239,8 +240,8 @@ SELECT round(avg(new) FILTER (WHERE len > 0), 6) AS mean_with, round(avg(new) FI
         "SELECT count(*) AS n_papers, round(avg(CASE WHEN quality = 1 THEN 1 ELSE 0 END) * 100, 4) AS xml_pct, round(avg(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) * 100, 4) AS pdf_pct, round(avg(CASE WHEN quality = 1 OR toxic = 1 THEN 1 ELSE 0 END) * 100, 4) AS any_pct, avg(CASE WHEN quality = 1 OR toxic = 1 THEN 1 ELSE 0 END) * 100 >= 60 AS enough FROM documents LEFT JOIN labels USING (doc_id)",
     ),
     "ev_rho_gate": (
-        lambda s, d: _round(V.rho_gate(K.part_entities(s, d), K.part_papers(s, d).select(F.col("doc_id").alias("a"), (F.col("doc_id") * 7 % 2000).alias("b")).where("a < b")), rho=6),
-        f"""WITH {PE}, n AS (SELECT doc_id, count(*) AS n FROM pe GROUP BY 1), q AS (SELECT p_partkey AS a, p_partkey * 7 % 2000 AS b FROM part WHERE p_partkey < p_partkey * 7 % 2000), sh AS (SELECT a, b, count(*) AS s FROM q JOIN pe x ON x.doc_id = a JOIN pe y ON y.doc_id = b AND x.entity = y.entity GROUP BY 1, 2),
+        lambda s, d: _round(V.rho_gate(K.part_entities(s, d), C.neighbours_by_chance(K.part_papers(s, d), "doc_id", 7)), rho=6),
+        f"""WITH {PE}, n AS (SELECT doc_id, count(*) AS n FROM pe GROUP BY 1), q AS (SELECT a, b FROM (SELECT p_partkey AS a, lead(p_partkey) OVER (ORDER BY md5('7:' || p_partkey), p_partkey) AS b FROM part) WHERE b IS NOT NULL), sh AS (SELECT a, b, count(*) AS s FROM q JOIN pe x ON x.doc_id = a JOIN pe y ON y.doc_id = b AND x.entity = y.entity GROUP BY 1, 2),
  v AS (SELECT round(coalesce(s, 0) / (na.n + nb.n - coalesce(s, 0)), 12) AS j, round(coalesce(s, 0) / sqrt(na.n * nb.n), 12) AS c FROM q LEFT JOIN sh USING (a, b) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b), r AS (SELECT {AVG_RANK.format(v="j")} AS x, {AVG_RANK.format(v="c")} AS y FROM v)
 SELECT (SELECT count(*) FROM n) AS n_papers, count(*) AS n_pairs, round(corr(x, y), 6) AS rho, CASE WHEN corr(x, y) BETWEEN 0.3 AND 0.7 THEN 'GO' ELSE 'SKIP' END AS verdict FROM r""",
     ),

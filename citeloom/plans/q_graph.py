@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from citeloom.operators import collections as C
@@ -15,11 +17,12 @@ KNOWN = [t for v in VOCABULARY.values() for t in v]
 
 
 def _vocab():
-    return E.merged_vocabulary(VOCABULARY, base={})
+    """The default vocabulary with some terms that the driver's documents hold."""
+    return E.merged_vocabulary(VOCABULARY)
 
 
 def _lines(terms: dict[str, list[str]]) -> str:
-    return ", ".join(f"({n}, '{k}', '{t.lower()}')" for n, k, t in E.merged_vocabulary(terms, base={}))
+    return ", ".join(f"({n}, '{k}', '{t.lower()}', '{re.escape(t.lower())}')" for n, k, t in E.merged_vocabulary(terms))
 
 
 def _join(df, n="top_entities"):
@@ -29,9 +32,9 @@ def _join(df, n="top_entities"):
 STOP_SQL = ", ".join(f"'{w}'" for w in E.STOP_WORDS)
 EDGES = PE + ", e AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS weight FROM pe a JOIN pe b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM pe GROUP BY 1)"
 #: Vocabulary hits in a text, by words parted at anything that isn't a letter, digit or underscore.
-_HIT = "regexp_matches(lower({t}), '(^|[^\\p{{L}}\\p{{N}}_])' || v.term || '($|[^\\p{{L}}\\p{{N}}_])')"
+_HIT = "(contains(lower({t}), v.term) AND regexp_matches(lower({t}), '(^|[^\\p{{L}}\\p{{N}}_])' || v.pattern || '($|[^\\p{{L}}\\p{{N}}_])'))"
 TITLE_SQL = (
-    DP + ", v(rank, kind, term) AS (VALUES " + _lines(VOCABULARY) + "), hit AS (SELECT doc_id, term AS entity, kind, rank FROM dp, v WHERE " + _HIT.format(t="title") + "),"
+    DP + ", v(rank, kind, term, pattern) AS (VALUES " + _lines(VOCABULARY) + "), hit AS (SELECT doc_id, term AS entity, kind, rank FROM dp, v WHERE " + _HIT.format(t="title") + "),"
     " w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(title, '[^\\p{L}\\p{N}_-]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9-]*'))) AS w FROM dp),"
     " cap AS (SELECT doc_id, lower(w) AS entity, CASE WHEN regexp_matches(lower(w), 'seq|omics|data|atlas|bank') THEN 'DATASET' ELSE 'METHOD' END AS kind, 1000000 AS rank FROM w WHERE length(w) >= 3 AND lower(w) NOT IN (" + STOP_SQL + ")),"
     " te AS (SELECT doc_id, entity, arg_min(kind, rank) AS kind FROM (SELECT * FROM hit UNION ALL SELECT * FROM cap) GROUP BY doc_id, entity)"
@@ -53,6 +56,25 @@ def _small(s, d):
     return p.select(F.col("p_partkey").alias("doc_id"), F.explode(F.array("p_brand", "p_name")).alias("entity"))
 
 
+def _walk_sql(hops: int, score: str) -> str:
+    """A greedy walk as a chain of steps, each from the path so far."""
+    ctes = ["p0 AS (SELECT 0::BIGINT AS doc_id, 0 AS step)"]
+    for i in range(1, hops + 1):
+        ctes.append(
+            f"p{i} AS (SELECT * FROM p{i - 1} UNION ALL SELECT * FROM (SELECT doc_id, {i} AS step FROM (SELECT b.doc_id, count(*) AS s, any_value(n.n) AS n FROM pe a JOIN pe b ON a.entity = b.entity JOIN n ON n.doc_id = b.doc_id"
+            f" WHERE a.doc_id = (SELECT doc_id FROM p{i - 1} WHERE step = {i - 1}) AND b.doc_id NOT IN (SELECT doc_id FROM p{i - 1}) GROUP BY 1) ORDER BY {score.replace('any_value(n.n)', 'n')} DESC, doc_id LIMIT 1))"
+        )
+    return f"WITH {PE}, n AS (SELECT doc_id, count(*) AS n FROM pe GROUP BY 1), {', '.join(ctes)} SELECT CAST(step AS INT) AS step, doc_id FROM p{hops}"
+
+
+STRATA = """WITH base AS (SELECT doc_id, source AS cluster_id, length(text) > 400 AS has_abstract, md5('7:' || doc_id) AS h FROM documents), sz AS (SELECT cluster_id, count(*) AS size FROM base GROUP BY 1),
+ r AS (SELECT base.*, CASE WHEN size >= 5 THEN 0 WHEN size >= 2 THEN 1 ELSE 2 END AS stratum FROM base JOIN sz USING (cluster_id)),
+ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum, CASE WHEN stratum < 2 THEN cluster_id ELSE 'single' END ORDER BY h, doc_id) AS rn FROM r) WHERE rn <= CASE stratum WHEN 0 THEN 6 WHEN 1 THEN 2 ELSE 3 END),
+ rest AS (SELECT * FROM r WHERE doc_id NOT IN (SELECT doc_id FROM f)),
+ n AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS rn FROM rest WHERE NOT has_abstract) WHERE rn <= (SELECT greatest(0, 5 - count(*)) FROM f WHERE NOT has_abstract)),
+ s AS (SELECT doc_id, stratum FROM f UNION ALL SELECT doc_id, 3 FROM n),
+ x AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS rn FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM n)) WHERE rn <= (SELECT greatest(0, 200 - count(*)) FROM s))
+SELECT doc_id, CAST(stratum AS INT) AS stratum FROM s UNION ALL SELECT doc_id, 4 FROM x"""
 SMALL = "sm AS (SELECT p_partkey AS doc_id, unnest([p_brand, p_name]) AS entity FROM part)"
 
 QUERIES = {
@@ -82,7 +104,10 @@ SELECT count(*) AS n_papers, round(avg(n), 6) AS mean_entities, round(median(n),
     ),
     "ent_vocab": (
         lambda s, d: s.createDataFrame(E.merged_vocabulary({"METHOD": ["BERT", "Kriging"], "CONCEPT": ["Cancer", "senescence"]}, base={k: v[-6:] for k, v in E.default_vocabulary().items()}), "rank int, kind string, term string"),
-        None,
+        """SELECT CAST(row_number() OVER (ORDER BY o, i) - 1 AS INT) AS rank, kind, term FROM (SELECT o, kind, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM (VALUES
+ (0, 'METHOD', ['PCA', 'UMAP', 't-SNE', 'batch correction', 'data integration', 'imputation', 'BERT', 'Kriging']), (1, 'ORGANISM', ['keratinocyte', 'organoid', 'spheroid', 'tissue', 'organ', 'rat']),
+ (2, 'CONCEPT', ['protein-protein interaction', 'PPI', 'chromatin accessibility', 'epigenetics', 'epigenome', 'methylation', 'Cancer', 'senescence']),
+ (3, 'DATASET', ['DrugBank', 'ChEMBL', 'PubChem', 'scRNA-seq atlas', 'cell atlas', 'expression atlas'])) v(o, kind, terms))""",
     ),
     "ent_matrix": (
         lambda s, d: E.entity_matrix(K.part_papers(s, d), K.part_entities(s, d)).select("doc_id", F.array_join(F.col("cols").cast("array<string>"), ",").alias("cols")),
@@ -143,10 +168,10 @@ SELECT count(*) AS n_papers, round(avg(n), 6) AS mean_entities, round(median(n),
         "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'ring|widget') AND p_size >= 20",
     ),
     "op_random_sample": (
-        lambda s, d: C.random_sample(K.part_papers(s, d).select("doc_id"), "doc_id", 100, 7), None,
+        lambda s, d: C.random_sample(K.part_papers(s, d).select("doc_id"), "doc_id", 100, 7), "SELECT p_partkey AS doc_id FROM part ORDER BY md5('7:' || p_partkey), p_partkey LIMIT 100",
     ),
     "op_stratified_sample": (
-        lambda s, d: C.stratified_sample(K.doc_papers(s, d).select("doc_id", (F.length("abstract") > 400).alias("has_abstract")), K.doc_sources(s, d), 7, target=200), None,
+        lambda s, d: C.stratified_sample(K.doc_papers(s, d).select("doc_id", (F.length("abstract") > 400).alias("has_abstract")), K.doc_sources(s, d), 7, target=200), STRATA,
     ),
     "op_both_texts": (
         lambda s, d: K.table(s, d, "documents").where(F.length("text") > 100).join(K.table(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id"),
@@ -188,7 +213,7 @@ SELECT CASE WHEN w IS NULL THEN 'abstract_new' WHEN w = weight THEN 'title_only'
         f"WITH {PE}, {PC}, ce AS (SELECT DISTINCT cluster_id, entity FROM pe JOIN pc USING (doc_id)) SELECT a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, count(*) AS shared FROM ce a JOIN ce b ON a.entity = b.entity AND a.cluster_id < b.cluster_id GROUP BY 1, 2 HAVING count(*) >= 12",
     ),
     "cl_graph_stats": (
-        lambda s, d: (lambda r: r.select("n_edges", "n_papers", *[F.round(c, 6).alias(c) for c in ("single_share", "mean_weight", "density")]))(G.graph_stats(G.shared_edges(K.part_entities(s, d)), K.part_papers(s, d))),
+        lambda s, d: (lambda r: r.select("n_edges", "n_papers", *[F.round(c, 6).alias(c) for c in ("single_share", "mean_weight", "density")]))(G.entity_graph_stats(K.part_entities(s, d), K.part_papers(s, d))),
         f"WITH {EDGES}, p AS (SELECT count(*) AS n FROM part) SELECT count(*) AS n_edges, any_value(p.n) AS n_papers, round(avg(CASE WHEN weight = 1 THEN 1 ELSE 0 END), 6) AS single_share, round(avg(weight), 6) AS mean_weight, round(count(*) / (any_value(p.n) * (any_value(p.n) - 1) / 2), 6) AS density FROM e, p",
     ),
     "gq_bfs": (
@@ -196,8 +221,8 @@ SELECT CASE WHEN w IS NULL THEN 'abstract_new' WHEN w = weight THEN 'title_only'
         f"""WITH RECURSIVE {SMALL}, r AS (SELECT 0::BIGINT AS doc_id, 0 AS hop UNION SELECT b.doc_id, hop + 1 FROM r JOIN sm a ON a.doc_id = r.doc_id JOIN sm b ON a.entity = b.entity WHERE hop < 3)
 SELECT doc_id, CAST(min(hop) AS INT) AS hop FROM r GROUP BY 1""",
     ),
-    "gq_stream": (lambda s, d: s.createDataFrame(list(enumerate(G.walk(K.part_entities(s, d), 0, "strongest", 5))), "step int, doc_id long"), None),
-    "gq_stream_diverse": (lambda s, d: s.createDataFrame(list(enumerate(G.walk(K.part_entities(s, d), 0, "diverse", 5))), "step int, doc_id long"), None),
+    "gq_stream": (lambda s, d: s.createDataFrame(list(enumerate(G.walk(K.part_entities(s, d), 0, "strongest", 5))), "step int, doc_id long"), _walk_sql(5, "s")),
+    "gq_stream_diverse": (lambda s, d: s.createDataFrame(list(enumerate(G.walk(K.part_entities(s, d), 0, "diverse", 5))), "step int, doc_id long"), _walk_sql(5, "any_value(n.n) - s")),
     "cl_summary": (
         lambda s, d: G.cluster_summary(K.part_entities(s, d), K.part_types(s, d)),
         f"""WITH {PE}, {PT}, c AS (SELECT cluster_id, entity, count(*) AS n FROM pe JOIN pt USING (doc_id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, entity) AS rn FROM c)
@@ -209,9 +234,9 @@ SELECT cluster_id, (SELECT count(*) FROM pt WHERE pt.cluster_id = r.cluster_id)
 SELECT cluster_id, string_agg(upper(w[1]) || w[2:], ' + ' ORDER BY n DESC, w) AS label FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, w) AS rn FROM c) WHERE rn <= 3 GROUP BY 1""",
     ),
     "rp_prompts": (
-        lambda s, d: C.prompts(K.doc_papers(s, d).withColumn("year", F.lit(2020)), 45).select("batch_id", "n_papers", F.sha2("prompt", 256).alias("prompt_sha")),
+        lambda s, d: C.prompts(K.doc_papers(s, d).withColumn("year", F.lit(2020)), 45, header="Read:\n").select("batch_id", "n_papers", F.sha2("prompt", 256).alias("prompt_sha")),
         r"""WITH d AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 45 AS batch_id, '---' || chr(10) || 'DOI: ' || doc_id || chr(10) || 'Title: ' || string_split(text, chr(10))[1] || chr(10) || 'Year: 2020' || chr(10) || 'Abstract: ' ||
  (CASE WHEN trim(text) = '' THEN '(no abstract available)' ELSE trim(text) END) || chr(10) || '---' AS b FROM documents)
-SELECT batch_id, count(*) AS n_papers, sha256(string_agg(b, chr(10) || chr(10) ORDER BY doc_id)) AS prompt_sha FROM d GROUP BY 1""",
+SELECT batch_id, count(*) AS n_papers, sha256('Read:' || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY doc_id)) AS prompt_sha FROM d GROUP BY 1""",
     ),
 }

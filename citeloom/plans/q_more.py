@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,14 +13,16 @@ from citeloom.operators import collections as C
 from citeloom.operators import communities as U
 from citeloom.operators import entities as E
 from citeloom.operators import evaluate as V
+from citeloom.operators import failures as X
 from citeloom.operators import frontier as R
 from citeloom.operators import graph as G
 from citeloom.operators import layout as L
 from citeloom.operators import views as W
 from citeloom.operators.history import History
+from citeloom.operators.scratch import fresh_folder
 from citeloom.plans import corpora as K
 from citeloom.plans.corpora import PC, PE, PS, PT
-from citeloom.plans.q_frontier import BRIDGES, _bridges, _subs
+from citeloom.plans.q_frontier import BRIDGES, COS, GAPS, VEC, _bridges, _subs
 from citeloom.plans.q_sources import PAPERS, WORKS
 from citeloom.plans.q_text import JATS
 from citeloom.sources import papers as P
@@ -29,17 +30,44 @@ from citeloom.sources import store as S
 from citeloom.sources import web as H
 
 S2 = json.dumps([{"abstract": "one", "externalIds": {"DOI": "10.1/A"}}, {"abstract": "two"}, None])
-EPMC = json.dumps({"resultList": {"result": [{"doi": "10.1/X", "pmcid": "PMC1", "abstractText": "<h4>Aim</h4>Short."}]}})
+EPMC = json.dumps({"resultList": {"result": [{"doi": "10.1/X", "pmcid": "PMC1", "abstractText": "<h4>Aim</h4>Short.", "fullTextUrlList": {"fullTextUrl": [{"documentStyle": "html", "availability": "Open access", "url": "h"}, {"documentStyle": "pdf", "availability": "Open access", "url": "e.pdf"}]}}]}})
 
 
 def _folder(s, name: str) -> str:
-    """A new folder under the shared one, or a temporary one where the session names none."""
-    shared = s.conf.get("spark.checkpoint.dir", "")
-    return (f"{shared.rstrip('/')}/citeloom-sinks/" if shared else f"{tempfile.mkdtemp(prefix='citeloom-')}/") + f"{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return fresh_folder(s, name)
 
 
-def _web(s, service: str, ids: list[str], *answers: str):
-    return H.read_web(s, service, ids, answers=json.dumps(answers))
+def _web(s, service: str, ids: list[str], *answers, **options: str):
+    return H.read_web(s, service, ids, answers=json.dumps(answers), **options)
+
+
+def _page(first: int, n: int, cursor: str | None) -> str:
+    """A page of works whose citations fall with their number."""
+    return H.sample_answer([{"id": f"W{k}", "doi": f"https://doi.org/10.1/{k}", "title": "T", "publication_year": 2020, "cited_by_count": 1000 - k, "abstract_inverted_index": {"of": [1], f"a{k}": [0]}} for k in range(first, first + n)], cursor)
+
+
+PAGES = [_page(0, 200, "x"), _page(200, 200, "y"), _page(400, 37, None)]
+
+
+def _download(s, d):
+    """PDFs by address: one that is there, one that isn't a PDF, one that is missing."""
+    folder = _folder(s, "pdfs")
+    rows = s.createDataFrame([("10.1/a", "%PDF-1.7 text"), ("10.1/b", "<html>")], "doi string, value string")
+    for r in rows.collect():
+        rows.where(F.col("doi") == r.doi).select("value").coalesce(1).write.text(f"{folder}/{r.doi[-1]}")
+    files = s.read.format("binaryFile").load(f"{folder}/*").select(F.concat(F.lit("10.1/"), F.regexp_extract("path", r"/([ab])/[^/]*$", 1)).alias("doi"), F.regexp_replace("path", "^file:/+", "file:///").alias("url"))
+    urls = files.unionByName(s.createDataFrame([("10.1/c", "file:///nowhere/x.pdf")], "doi string, url string"))
+    store = S.Store(s, _folder(s, "store"))
+    store.save_content(H.download_pdfs(urls, spacing=0.0))
+    return store.load_content("pdf").select("doi", F.length("content").alias("n"))
+
+
+def _fulltext_chain(s, d):
+    """Identifier to PMCID to full text to sections."""
+    found = H.europe_pmc_results(_web(s, "europe_pmc", ["10.1/X", "10.1/y"], EPMC, EPMC.replace("10.1/X", "10.1/y").replace("PMC1", "PMC2")))
+    xml = H.article_xml(found, _web(s, "europe_pmc_xml", ["PMC1", "PMC2"], JATS, "<article/>"))
+    return xml.select("doi", "pmcid", M.parse_jats(F.col("xml")).alias("f")).where("f.methods_text <> '' or f.results_text <> '' or f.discussion_text <> ''").select("doi", "pmcid", "f.methods_text")
 
 
 def _store(s, d) -> S.Store:
@@ -101,10 +129,19 @@ def _layout(s, d):
     return L.embed(K.part_papers(s, d), K.part_entities(s, d))
 
 
+def _cached(s, d):
+    """A layout asked for twice: the second time it is read, from the one table that there is."""
+    folder = _folder(s, "layouts")
+    first, second = (L.cached(K.part_papers(s, d), K.part_entities(s, d), folder) for _ in range(2))
+    tables = s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select(F.regexp_extract("path", "(layout-[^/]*)/", 1).alias("t")).agg(F.countDistinct("t").alias("tables"))
+    return first.join(second.withColumnRenamed("xy", "again"), "doc_id").select("doc_id", (F.col("xy") == F.col("again")).alias("same")).join(F.broadcast(tables))
+
+
 def _prepared(s, d):
     """Clusters, texts and prompts together: how many papers, texts and prompts there are."""
     docs = K.doc_papers(s, d).withColumn("year", F.lit(2020))
-    return docs.agg(F.count("*").alias("n_papers"), F.count_if(F.length("abstract") > 0).alias("n_texts")).join(F.broadcast(C.prompts(docs, 45).agg(F.count("*").alias("n_prompts"))))
+    asked = C.prompts(docs, 45, header="").agg(F.count("*").alias("n_prompts"), F.sum(F.length("prompt")).alias("chars"))
+    return docs.agg(F.count("*").alias("n_papers"), F.count_if(F.length("abstract") > 0).alias("n_texts")).join(F.broadcast(asked))
 
 
 QUERIES = {
@@ -112,23 +149,42 @@ QUERIES = {
     "src_analysis_dir": (
         lambda s, d: s.createDataFrame([(n, P.optional(s, f"{d}/{n}.parquet") is not None) for n in ("part", "nothing")], "name string, found boolean"), "SELECT * FROM (VALUES ('part', true), ('nothing', false)) v(name, found)",
     ),
-    "src_openalex_search": (lambda s, d: H.top_works(H.works(_web(s, "openalex_search", ["cells"], WORKS)), 1).select("openalex_id", "cited_by_count"), "SELECT 'W1' AS openalex_id, 5 AS cited_by_count"),
-    "src_openalex_topic": (lambda s, d: H.works(_web(s, "openalex_topic", ["T1"], WORKS)).select("openalex_id"), "SELECT * FROM (VALUES ('W1'), ('W2')) v(openalex_id)"),
+    "src_openalex_search": (lambda s, d: H.top_works(H.works(_web(s, "openalex_search", ["cells"], PAGES, most="300", filters='{"publication_year": ">2019"}')), 300).agg(F.count("*").alias("n"), F.min("cited_by_count").alias("least")), "SELECT 300::BIGINT AS n, CAST(701 AS INT) AS least"),
+    "src_openalex_topic": (lambda s, d: H.works(_web(s, "openalex_topic", ["T1", "T2"], PAGES, WORKS)).groupBy(F.col("publication_date").isNull().alias("x")).agg(F.countDistinct("openalex_id").alias("n")).select("n"), "SELECT 437::BIGINT AS n"),
+    "src_openalex_citing": (lambda s, d: _web(s, "openalex_citing", ["W9"], PAGES).select("page", F.size(F.from_json("body", "results array<struct<id:string>>")["results"]).cast("long").alias("n")), "SELECT CAST(page AS INT) AS page, n FROM (VALUES (0, 200::BIGINT), (1, 200), (2, 37)) v(page, n)"),
     "src_openalex_dois": (
-        lambda s, d: _web(s, "openalex_dois", [f"10.1/{i}" for i in range(65)], WORKS, WORKS).select("batch", F.size(F.split("ids", ",")).cast("long").alias("n"), F.col("body").isNotNull().alias("answered")),
-        "SELECT CAST(batch AS INT) AS batch, n, answered FROM (VALUES (0, 30::BIGINT, true), (1, 30, true), (2, 5, false)) v(batch, n, answered)",
+        lambda s, d: _web(s, "openalex_dois", [f"10.1/{i},x" for i in range(65)], WORKS, WORKS).select("batch", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first"), F.col("body").isNotNull().alias("answered")),
+        "SELECT CAST(batch AS INT) AS batch, n, first, answered FROM (VALUES (0, 30::BIGINT, '10.1/0,x', true), (1, 30, '10.1/30,x', true), (2, 5, '10.1/60,x', false)) v(batch, n, first, answered)",
+    ),
+    "src_abs_s1": (
+        lambda s, d: H.openalex_abstracts(H.fetch(K.table(s, d, "supplier").select(F.concat(F.lit("10.1/"), F.col("s_suppkey") % 100).alias("doi")).distinct(), "openalex_abstracts", answers=json.dumps([_page(0, 50, None), _page(50, 50, None)]))),
+        "SELECT '10.1/' || k AS doi, 'a' || k || ' of' AS abstract FROM range(0, 100) r(k) WHERE (SELECT count(DISTINCT s_suppkey % 100) FROM supplier) > 50 OR k < 50",
+    ),
+    "src_abs_s2": (
+        lambda s, d: H.semantic_scholar_abstracts(_web(s, "semantic_scholar", ["10.1/a", "10.1/b", "10.1/c", *[f"10.2/{i}" for i in range(250)]], S2, json.dumps([None] * 52 + [{"abstract": "last"}]))),
+        "SELECT * FROM (VALUES ('10.1/a', 'one'), ('10.1/b', 'two'), ('10.2/249', 'last')) v(doi, abstract)",
     ),
-    "src_abs_s2": (lambda s, d: H.semantic_scholar_abstracts(_web(s, "semantic_scholar", ["10.1/a", "10.1/b"], S2).withColumn("ids", F.lit("10.1/a,10.1/b,10.1/c"))), "SELECT * FROM (VALUES ('10.1/a', 'one'), ('10.1/b', 'two')) v(doi, abstract)"),
     "src_abs_s3": (lambda s, d: H.europe_pmc_results(_web(s, "europe_pmc", ["10.1/X"], EPMC)), "SELECT '10.1/x' AS doi, 'PMC1' AS pmcid, 'AimShort.' AS abstract"),
-    "src_pmcid": (lambda s, d: H.europe_pmc_results(_web(s, "europe_pmc", ["10.1/X"], EPMC)).select("doi", "pmcid"), "SELECT '10.1/x' AS doi, 'PMC1' AS pmcid"),
-    "src_fulltext": (
-        lambda s, d: _web(s, "europe_pmc_xml", ["PMC1", "PMC2"], JATS, "<article/>").select("ids", M.parse_jats(F.col("body")).alias("f")).where("f.methods_text <> '' or f.results_text <> '' or f.discussion_text <> ''").select("ids"), "SELECT 'PMC1' AS ids",
-    ),
-    "src_epmc": (lambda s, d: H.one_url(_web(s, "unpaywall", ["10.1/a", "10.1/b"], '{"best_oa_location":{"url_for_pdf":"u"}}', "{}"), "$.best_oa_location.url_for_pdf"), "SELECT '10.1/a' AS ids, 'u' AS url"),
-    "src_pdf": (lambda s, d: s.createDataFrame([(1, bytearray(b"%PDF-1.7")), (2, bytearray(b"<html>")), (3, None)], "id long, content binary").select("id", H.is_pdf(F.col("content")).alias("pdf")), "SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, false)) v(id, pdf)"),
-    "fn_pdf_text": (lambda s, d: s.createDataFrame([(1, None)], "id long, content binary").select("id", M.pdf_text(F.col("content")).alias("text")), None),
-    "fn_sections_by": (lambda s, d: s.createDataFrame([(JATS,)], "x string").select(M.parse_jats(F.col("x")).alias("p")).select("p.results_text"), "SELECT 'Results and findings It works. Figure one.' AS results_text"),
-    "fn_body_text": (lambda s, d: s.createDataFrame([(JATS,), ("<a/>",)], "x string").select(F.length(M.parse_jats(F.col("x"))["full_body_text"]).alias("n")), "SELECT CAST(n AS INT) AS n FROM (VALUES (83), (0)) v(n)"),
+    "src_pmcid": (lambda s, d: H.europe_pmc_results(_web(s, "europe_pmc", ["10.1/X", "10.1/Z"], EPMC, '{"resultList": {"result": []}}')).select("doi", "pmcid"), "SELECT '10.1/x' AS doi, 'PMC1' AS pmcid"),
+    "src_pmc_xml": (lambda s, d: _web(s, "europe_pmc_xml", ["PMC1", "PMC9"], JATS).select(F.get("ids", F.lit(0)).alias("pmcid"), M.parse_body(F.col("body")).alias("text")), "SELECT * FROM (VALUES ('PMC1', 'Methods We used cells . Results and findings It works. Figure one. Discussion Good.'), ('PMC9', '')) v(pmcid, text)"),
+    "src_fulltext": (_fulltext_chain, "SELECT '10.1/x' AS doi, 'PMC1' AS pmcid, 'Methods We used cells .' AS methods_text"),
+    "src_epmc": (lambda s, d: H.europe_pmc_urls(_web(s, "europe_pmc", ["10.1/X", "10.1/b"], EPMC, "{}")), "SELECT '10.1/X' AS id, 'e.pdf' AS url"),
+    "src_unpaywall": (lambda s, d: H.unpaywall_urls(_web(s, "unpaywall", ["10.1/a", "10.1/b"], '{"best_oa_location":{"url_for_pdf":"u"}}', "{}")), "SELECT '10.1/a' AS id, 'u' AS url"),
+    "src_biorxiv": (
+        lambda s, d: H.preprint_urls(_web(s, "biorxiv", ["1", "2"], '{"collection":[{"doi":"10.1101/1v1"},{"doi":"10.1101/1v2"}]}', '{"collection":[]}')).unionByName(H.preprint_urls(_web(s, "medrxiv", ["2"], '{"collection":[{"doi":"10.1101/2"}]}'), "medrxiv")),
+        "SELECT * FROM (VALUES ('1', 'https://www.biorxiv.org/content/10.1101/1v2.full.pdf'), ('2', 'https://www.medrxiv.org/content/10.1101/2.full.pdf')) v(id, url)",
+    ),
+    "src_crossref": (
+        lambda s, d: H.crossref_urls(_web(s, "crossref", ["a", "b", "c"], '{"message":{"link":[{"URL":"x.html","content-type":"text/html"},{"URL":"y","content-type":"application/pdf"}]}}', '{"message":{"link":[{"URL":"z.PDF","content-type":"unspecified"}]}}', '{"message":{}}')),
+        "SELECT * FROM (VALUES ('a', 'y'), ('b', 'z.PDF')) v(id, url)",
+    ),
+    "src_pdf": (_download, "SELECT '10.1/a' AS doi, CAST(14 AS INT) AS n"),
+    "fn_pdf_text": (lambda s, d: s.createDataFrame([(1, None), (2, bytearray(b"<html>"))], "id long, content binary").select("id", M.pdf_text(F.col("content")).alias("text")), "SELECT * FROM (VALUES (1::BIGINT, NULL::VARCHAR), (2, NULL)) v(id, text)"),
+    "fn_sections_by": (
+        lambda s, d: s.createDataFrame([(1, JATS), (2, "<a/>"), (3, None)], "id long, x string").select("id", M.parse_sections(F.col("x"), ["result", "discussion"], ["methods"]).alias("text")),
+        "SELECT * FROM (VALUES (1::BIGINT, 'Methods We used cells .' || chr(10) || chr(10) || 'Results and findings It works. Figure one.' || chr(10) || chr(10) || 'Discussion Good.'), (2, ''), (3, '')) v(id, text)",
+    ),
+    "fn_body_text": (lambda s, d: K.table(s, d, "pages").select("page_id", M.parse_body(F.concat(F.lit("<a><body><p>"), F.col("url"), F.lit("</p>  x<i> y </i></body></a>"))).alias("text")), "SELECT page_id, CASE WHEN contains(url, '&') THEN '' ELSE url || ' x y' END AS text FROM pages"),
     "snk_clusters": (_clusters, f"WITH {PT} SELECT CAST(doc_id AS VARCHAR) AS doc_id, cluster_id FROM pt"),
     "snk_papers": (lambda s, d: _round_trip(s, K.part_papers(s, d), "json", "papers"), f"WITH {K.PP} SELECT * FROM pp"),
     "snk_research": (lambda s, d: _round_trip(s, C.with_cluster(K.part_papers(s, d), K.part_types(s, d)), "parquet", "research").select("doc_id", "title", "cluster_id"), f"WITH {K.PP}, {PT} SELECT doc_id, title, cluster_id FROM pp JOIN pt USING (doc_id)"),
@@ -145,12 +201,40 @@ QUERIES = {
         "SELECT * FROM (VALUES ('10.1/a', 'deep learning'), ('10.1/a', 'rna-seq'), ('10.1/a', 'genomics'), ('10.1/a', 'cells'), ('10.1/a', 'biology'), ('10.1/b', 'yeast'), ('10.1/b', 'atlas')) v(doc_id, entity)",
     ),
     "gr_networkx": (
-        lambda s, d: G.restricted(G.shared_edges(K.part_entities(s, d)).where("weight >= 3"), K.part_sizes(s, d).where("cluster_id = '1'")),
+        lambda s, d: G.strong_edges(C.in_list(K.part_entities(s, d), K.part_sizes(s, d).where("cluster_id = '1'").select("doc_id")), 3),
         f"WITH {PE}, {PS}, k AS (SELECT doc_id FROM ps WHERE cluster_id = '1') SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS weight FROM pe a JOIN pe b ON a.entity = b.entity AND a.doc_id < b.doc_id WHERE a.doc_id IN (FROM k) AND b.doc_id IN (FROM k) GROUP BY 1, 2 HAVING count(*) >= 3",
     ),
+    "op_browse_export": (
+        lambda s, d: C.export_clusters(K.part_papers(s, d), K.part_cells(s, d), ["ECONOMY/Brand#1", "STANDARD/Brand#2", "nothing"]), f"WITH {K.PP}, {PC} SELECT pp.* FROM pp JOIN pc USING (doc_id) WHERE cluster_id IN ('ECONOMY/Brand#1', 'STANDARD/Brand#2')",
+    ),
+    "op_reset": (
+        lambda s, d: C.with_cluster(C.reset(K.part_papers(s, d), C.excluding(K.part_papers(s, d), K.part_types(s, d))), K.part_types(s, d)).groupBy("cluster_id").agg(F.count("*").alias("n")), f"WITH {PT} SELECT cluster_id, count(*) AS n FROM pt GROUP BY 1",
+    ),
+    "vw_detail": (
+        lambda s, d: W.directory(K.part_papers(s, d), K.part_types(s, d).where("cluster_id <> 'ECONOMY'"), G.cluster_labels(K.part_papers(s, d), K.part_types(s, d), []).where("cluster_id <> 'STANDARD'").withColumn("label", F.lower("cluster_id"))),
+        f"""WITH {K.PP}, {PT}, c AS (SELECT cluster_id, CAST((dense_rank() OVER (ORDER BY cluster_id) - 1) % 20 AS INT) AS colour FROM (SELECT DISTINCT cluster_id FROM pt WHERE cluster_id <> 'ECONOMY')),
+ r AS (SELECT doc_id, title, year, colour, CASE WHEN pt.cluster_id = 'ECONOMY' THEN 'Unassigned' WHEN pt.cluster_id = 'STANDARD' THEN 'Cluster STANDARD' ELSE lower(pt.cluster_id) END AS cluster_label FROM pp JOIN pt USING (doc_id) LEFT JOIN c USING (cluster_id))
+SELECT doc_id, title, year, cluster_label, colour, 'https://doi.org/' || doc_id AS url, lower(title || ' ' || doc_id || ' ' || cluster_label) AS search_key FROM r""",
+    ),
+    "vw_detail_search": (
+        lambda s, d: W.searched(W.directory(K.part_papers(s, d), K.part_types(s, d), G.cluster_labels(K.part_papers(s, d), K.part_types(s, d), [])), "Ring 1", page=1, size=5).select("doc_id"),
+        f"WITH {K.PP}, {PT}, l AS (SELECT cluster_id, string_agg(upper(w[1]) || w[2:], ' + ' ORDER BY n DESC, w) AS label FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, w) AS rn FROM (SELECT cluster_id, w, count(*) AS n FROM (SELECT cluster_id, unnest(string_split(title, ' ')) AS w FROM pp JOIN pt USING (doc_id)) WHERE length(w) >= 4 GROUP BY 1, 2)) WHERE rn <= 3 GROUP BY 1)"
+        " SELECT doc_id FROM pp JOIN pt USING (doc_id) JOIN l USING (cluster_id) WHERE contains(lower(title || ' ' || doc_id || ' ' || label), 'ring') AND contains(lower(title || ' ' || doc_id || ' ' || label), '1') ORDER BY year DESC, doc_id LIMIT 5 OFFSET 5",
+    ),
+    "vw_novelty_tab": (
+        lambda s, d: W.novelty_points(R.gaps(K.part_entities(s, d), K.part_types(s, d)).withColumn("z", -F.col("expected"))).select("label", "cluster_id", F.round("x", 4).alias("x"), "y"),
+        GAPS + " SELECT entity_a || ' × ' || entity_b AS label, cluster_id, round(1 - ratio, 4) AS x, -expected AS y FROM gp ORDER BY -expected, entity_a, entity_b, cluster_id LIMIT 10",
+    ),
+    "vw_themes_tab": (
+        lambda s, d: W.theme_rows(X.coherence(K.table(s, d, "embeddings"), "label").select(F.col("label").alias("theme_id"), F.array(F.lit("a"), F.lit("b")).alias("keywords"), F.col("n").alias("size"), "mean_cosine", "coherent")),
+        f"WITH {VEC} SELECT label AS theme_id, 'a, b' AS label, any_value(n) AS size, round(avg({COS}), 3) AS coherence, CASE WHEN avg({COS}) >= 0.5 THEN 'Yes' ELSE 'No' END AS coherent FROM embeddings JOIN c USING (label) GROUP BY embeddings.label",
+    ),
+    "vw_bridges_tab": (
+        lambda s, d: W.bridge_rows(_bridges(s, d)), BRIDGES + " SELECT cluster_a, cluster_b, entity_jaccard, shared_count, array_to_string(top[:5], ', ') AS entities FROM bridge ORDER BY entity_jaccard DESC, cluster_a, cluster_b LIMIT 20",
+    ),
     "jn_attach_fulltext": (
-        lambda s, d: K.part_papers(s, d).join(K.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), T.strip_tags(F.col("html")).alias("text")), "doc_id", "left").agg(F.count("*").alias("n_papers"), F.count_if(F.length("text") > 500).alias("n_long")),
-        "SELECT count(*) AS n_papers, count_if(length(regexp_replace(html, '<[^>]+>', '', 'g')) > 500) AS n_long FROM part LEFT JOIN pages ON p_partkey = page_id",
+        lambda s, d: C.attach(K.part_papers(s, d).select(F.col("doc_id").cast("string").alias("doi"), "title"), K.table(s, d, "pages").select(F.col("page_id").cast("string").alias("doi"), T.strip_tags(F.col("html")).alias("text"), "page_id"), "doi", ["text"], "page_id").select("doi", "title", F.sha2("text", 256).alias("sha")),
+        "SELECT CAST(p_partkey AS VARCHAR) AS doi, p_name AS title, sha256(coalesce(regexp_replace(html, '<[^>]+>', '', 'g'), '')) AS sha FROM part LEFT JOIN pages ON p_partkey = page_id",
     ),
     "cl_subcluster_cmd": (lambda s, d: _subs(s, d).groupBy(F.split_part("cluster_id", F.lit("."), F.lit(1)).alias("parent")).agg(F.count("*").alias("n")), "SELECT CAST(p_partkey % 4 AS VARCHAR) AS parent, count(*) AS n FROM part GROUP BY 1"),
     "cl_cluster_topics": (
@@ -165,8 +249,8 @@ QUERIES = {
         f"WITH {PC}, z AS (SELECT count(*) AS n FROM pc GROUP BY cluster_id), c AS (SELECT count(*) AS clusters, count_if(n >= 5) AS majors, max(n) AS largest FROM z), m AS (SELECT *, CAST(clusters >= 10 AS INT) + CAST(majors >= 5 AS INT) + CAST(largest >= 10000 AS INT) AS met FROM c) SELECT clusters, majors, largest, met, CASE WHEN met >= 3 THEN 'GO' WHEN met = 2 THEN 'CONDITIONAL' ELSE 'KILL' END AS verdict FROM m",
     ),
     "em_reduce": (lambda s, d: L.embed(K.part_papers(s, d), K.part_entities(s, d), k=3).select("doc_id", F.size("xy").alias("dims"), F.exists("xy", lambda v: F.isnan(v)).alias("broken")), "SELECT p_partkey AS doc_id, CAST(3 AS INT) AS dims, false AS broken FROM part"),
-    "em_cached": (lambda s, d: _layout(s, d).groupBy().agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM part"),
-    "rp_prepare": (_prepared, "SELECT count(*) AS n_papers, count_if(length(text) > 0) AS n_texts, CAST(ceil(count(*) / 45) AS BIGINT) AS n_prompts FROM documents"),
+    "em_cached": (_cached, "SELECT p_partkey AS doc_id, true AS same, 1::BIGINT AS tables FROM part"),
+    "rp_prepare": (_prepared, "SELECT count(*) AS n_papers, count_if(length(text) > 0) AS n_texts, CAST(ceil(count(*) / 45) AS BIGINT) AS n_prompts, CAST(sum(45 + length(CAST(doc_id AS VARCHAR)) + length(string_split(text, chr(10))[1]) + CASE WHEN trim(text) = '' THEN 23 ELSE length(trim(text)) END) - 2 * CAST(ceil(count(*) / 45) AS BIGINT) AS BIGINT) AS chars FROM documents"),
     "rp_checkpointed": (
         lambda s, d: P.unfinished(C.batches(K.table(s, d, "documents").select("doc_id"), "doc_id", 45).select("batch_id").distinct(), K.table(s, d, "labels").select((F.col("doc_id") % 5).alias("batch_id"))),
         "SELECT DISTINCT (rn - 1) // 45 AS batch_id FROM (SELECT row_number() OVER (ORDER BY doc_id) AS rn FROM documents) WHERE (rn - 1) // 45 NOT IN (SELECT doc_id % 5 FROM labels)",
@@ -188,7 +272,7 @@ QUERIES = {
         lambda s, d: K.order_entities(s, d).join(K.order_papers(s, d), "doc_id").groupBy("entity", F.floor(F.col("year") / 2).alias("period")).agg(F.count("*").alias("n")), f"WITH {K.OE}, {K.OP} SELECT entity, CAST(floor(year / 2) AS BIGINT) AS period, count(*) AS n FROM oe JOIN op USING (doc_id) GROUP BY 1, 2",
     ),
     "vw_export": (
-        lambda s, d: W.graph_json(K.part_types(s, d), G.shared_edges(K.part_entities(s, d)).where("weight >= 4")).groupBy("kind").agg(F.count("*").alias("n")),
+        lambda s, d: W.graph_json(K.part_types(s, d), G.strong_edges(K.part_entities(s, d), 4)).groupBy("kind").agg(F.count("*").alias("n")),
         f"WITH {PE}, e AS (SELECT a.doc_id, b.doc_id AS d2 FROM pe a JOIN pe b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 4) SELECT 'node' AS kind, count(*) AS n FROM part UNION ALL SELECT 'link', count(*) FROM e HAVING count(*) > 0",
     ),
     "cl_leiden_invariants": (

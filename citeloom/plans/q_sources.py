@@ -12,12 +12,14 @@ from citeloom.operators import entities as E
 from citeloom.operators import frontier as R
 from citeloom.operators import graph as G
 from citeloom.operators import views as W
+from citeloom.operators.scratch import fresh_folder
 from citeloom.plans import corpora as K
 from citeloom.plans.corpora import PC, PE, PP, PT
 from citeloom.plans.q_frontier import BRIDGES, TREND, _bridges, _trends
 from citeloom.sources import papers as P
 from citeloom.sources import store as S
 from citeloom.sources import web as H
+from citeloom.streaming import ingest as N
 
 PAPERS = json.dumps({"papers": [
     {"doi": "https://doi.org/10.1/a", "title": "Deep learning of RNA-seq", "year": 2020, "citations": 3, "referenced_works": ["http://doi.org/10.1/b"], "topics": ["Genomics", {"display_name": "Cells", "subfield": {"display_name": "Biology"}}]},
@@ -44,23 +46,55 @@ def _index(s, d):
 INDEX = "ix AS (SELECT CAST(doc_id AS VARCHAR) AS doi, CASE WHEN doc_id % 7 > 0 THEN CAST(2000 + doc_id % 20 AS INT) END AS year, CASE WHEN quality = 1 THEN 'gold' ELSE 'closed' END AS oa_status, lang AS method, true AS L0, quality IS NOT NULL AS L1, length(text) > 500 AS L2, coalesce(toxic = 1, false) AS L3 FROM documents LEFT JOIN labels USING (doc_id))"
 
 
+def _export(s, d):
+    """The store's own export of a named collection."""
+    store = S.Store(s, fresh_folder(s, "store"))
+    store.save_layer("L0", _index(s, d).select("doi", F.col("method").alias("data")))
+    store.collect("poor", K.table(s, d, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("doi")))
+    return store.export("poor").select("doi")
+
+
+def _fulltexts(s, d):
+    """Documents as papers: long ones have methods and a discussion."""
+    return K.doc_papers(s, d).withColumns({"year": F.lit(2020), "methods_text": F.when(F.length("abstract") > 1500, F.col("abstract")), "results_text": F.lit(""), "discussion_text": F.when(F.length("abstract") > 2500, F.col("abstract"))})
+
+
 def _langs(s, d):
     return K.table(s, d, "documents").select("doc_id", F.col("lang").alias("cluster_id"))
 
 
 def _leaf_pipeline(s, d):
-    """Sub-clusters of one type, then their bridges."""
+    """Sub-clusters of every type, then their bridges, those between siblings left out by br_leaf's rule."""
     p = K.part_types(s, d)
     cells = K.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_brand").alias("entity"))
-    subs = U.sub_clusters(p, G.shared_edges(cells).withColumn("weight", F.col("weight").cast("double")), "ECONOMY", 1.0, 1)
-    leaf = U.with_sub_clusters(p, subs.withColumn("cluster_id", F.concat(F.lit("ECONOMY."), (F.col("doc_id") % 3).cast("string"))))
+    leaf = U.with_sub_clusters(p, U.sub_clusters(p, G.shared_edges(cells), "ECONOMY", 1.0, 1))
     return R.bridges(K.part_entities(s, d), leaf, None).select("cluster_a", "cluster_b", "entity_jaccard", "shared_count")
 
 
 def _stream_counts(s, d):
-    """The windows of a finished stream over a copy of the events in the shared folder's own table."""
-    ev = K.table(s, d, "events")
-    return ev.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
+    """Windowed counts by a stream over the events' files, run to its end: every batch writes the whole table of windows, the last one is read."""
+    rows, top = K.table(s, d, "events"), fresh_folder(s, "stream")
+    # A stream reads folders: a table of one file is the folder's only file of its name.
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    single = path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    folder, names = (d, "events.parquet") if single else (f"{d}/events.parquet", "*.parquet")
+    stream = N.windowed_counts(s.readStream.schema(rows.schema).option("pathGlobFilter", names).parquet(folder))
+
+    def put(batch, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{top}/windows")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.read.parquet(f"{top}/windows")
+
+
+def _checkpoints(s, d):
+    """Batches of orders of which no numbered file of a first run is there."""
+    folder = fresh_folder(s, "batches")
+    done = K.table(s, d, "customer").select((F.col("c_custkey") % 7).alias("batch_id"), F.col("c_name").alias("answer"))
+    done.write.partitionBy("batch_id").json(f"{folder}/batch")
+    finished = s.read.text(f"{folder}/batch/*").select(F.regexp_extract(F.input_file_name(), r"batch_id=(\d+)", 1).cast("long").alias("batch_id"))
+    return P.unfinished(K.table(s, d, "orders").select((F.col("o_orderkey") % 50).alias("batch_id")).distinct(), finished)
 
 
 QUERIES = {
@@ -77,7 +111,7 @@ QUERIES = {
     ),
     "src_doi_list": (lambda s, d: P.list_from_text(_raw(s, '["10.1/a", "https://doi.org/10.1/b"]', "10.1/c\n10.1/a\n")), "SELECT * FROM (VALUES ('10.1/a'), ('10.1/b'), ('10.1/c')) v(doc_id)"),
     "src_checkpoint_dir": (
-        lambda s, d: P.unfinished(K.table(s, d, "orders").select((F.col("o_orderkey") % 50).alias("batch_id")).distinct(), K.table(s, d, "customer").select((F.col("c_custkey") % 7).alias("batch_id"))),
+        _checkpoints,
         "SELECT DISTINCT o_orderkey % 50 AS batch_id FROM orders WHERE o_orderkey % 50 NOT IN (SELECT c_custkey % 7 FROM customer)",
     ),
     "fn_normalize_work": (
@@ -97,19 +131,19 @@ QUERIES = {
         "SELECT * FROM (VALUES ('10.1/a', 'genomics'), ('10.1/a', 'cells'), ('10.1/a', 'biology')) v(doc_id, entity)",
     ),
     "src_expand_citations": (
-        lambda s, d: C.top_per_group(K.part_refs(s, d).join(K.part_papers(s, d), "doc_id").where("year >= 1995 and title rlike 'ring|widget'").withColumn("low", F.lower("title")), "low", [F.col("ref"), F.col("doc_id")]).select("low", "ref", "doc_id"),
+        lambda s, d: C.citing_papers(K.part_refs(s, d), K.part_papers(s, d), ["ring", "widget"], 1995),
         f"WITH {PP}, r AS (SELECT DISTINCT l_partkey AS doc_id, l_suppkey AS ref FROM lineitem) SELECT low, ref, doc_id FROM (SELECT lower(title) AS low, ref, doc_id, row_number() OVER (PARTITION BY lower(title) ORDER BY ref, doc_id) AS rn FROM r JOIN pp USING (doc_id) WHERE year >= 1995 AND regexp_matches(title, 'ring|widget')) WHERE rn = 1",
     ),
     "src_fulltext_rate": (
-        lambda s, d: C.batches(K.table(s, d, "documents").select("doc_id", (F.length("text") > 800).alias("ok")), "doc_id", 50).groupBy("batch_id").agg(F.count("*").alias("checked"), F.count_if("ok").alias("available")),
+        lambda s, d: C.fulltext_rate(K.table(s, d, "documents").select("doc_id", (F.length("text") > 800).alias("ok"))),
         "SELECT (rn - 1) // 50 AS batch_id, count(*) AS checked, count_if(ok) AS available FROM (SELECT length(text) > 800 AS ok, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) GROUP BY 1",
     ),
     "op_lookup_ids": (
-        lambda s, d: K.part_papers(s, d).select("doc_id").join(K.table(s, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("work_id"), F.col("s_nationkey").alias("cites")), "doc_id", "left").select("doc_id", "work_id", F.coalesce("cites", F.lit(0)).alias("cites")),
+        lambda s, d: C.works_of(K.part_papers(s, d).select("doc_id"), K.table(s, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("work_id"), F.col("s_nationkey").alias("cites"))),
         "SELECT p_partkey AS doc_id, s_name AS work_id, coalesce(s_nationkey, 0) AS cites FROM part LEFT JOIN supplier ON p_partkey = s_suppkey",
     ),
     "op_hyp_select": (
-        lambda s, d: s.createDataFrame([(1, [3, 4]), (2, [5])], "hyp long, docs array<long>").where("hyp = 1").select(F.explode("docs").alias("doc_id")), "SELECT * FROM (VALUES (3::BIGINT), (4)) v(doc_id)",
+        lambda s, d: C.hypothesis_papers(K.part_refs(s, d).groupBy(F.col("ref").alias("hyp")).agg(F.collect_list("doc_id").alias("docs")), [3, 4, 5]), "SELECT DISTINCT l_partkey AS doc_id FROM lineitem WHERE l_suppkey IN (3, 4, 5)",
     ),
     "store_index_upsert": (
         lambda s, d: S.merged_index(s.createDataFrame([("a", "A", 2000, "gold", "xml"), ("b", None, 2001, None, "pdf")], "doi string, title string, year int, oa_status string, method string").withColumn("added", F.lit("2020-01-01").cast("date")), s.createDataFrame([("b", "B", None, "green", None), ("c", "C", 2003, None, None)], "doi string, title string, year int, oa_status string, method string")).drop("added"),
@@ -120,13 +154,13 @@ QUERIES = {
         lambda s, d: S.stats(_index(s, d)),
         f"WITH {INDEX} SELECT 'layer' AS what, 'all' AS value, count(*) AS n FROM ix UNION ALL SELECT 'layer', 'L0', count_if(L0) FROM ix UNION ALL SELECT 'layer', 'L1', count_if(L1) FROM ix UNION ALL SELECT 'layer', 'L2', count_if(L2) FROM ix UNION ALL SELECT 'layer', 'L3', count_if(L3) FROM ix UNION ALL SELECT 'method', method, count(*) FROM ix GROUP BY method UNION ALL SELECT 'oa_status', oa_status, count(*) FROM ix GROUP BY oa_status",
     ),
-    "store_export": (lambda s, d: _index(s, d).join(K.table(s, d, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("doi")), "doi", "left_semi").select("doi"), "SELECT CAST(doc_id AS VARCHAR) AS doi FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)"),
+    "store_export": (_export, "SELECT CAST(doc_id AS VARCHAR) AS doi FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)"),
     "store_readme": (
         lambda s, d: K.part_papers(s, d).select("doc_id", F.sha2(S.card(F.col("doc_id").cast("string"), F.col("title"), F.col("year"), F.lit(None)), 256).alias("sha")),
         f"WITH {PP} SELECT doc_id, sha256('# ' || title || chr(10) || chr(10) || '- DOI: ' || doc_id || chr(10) || '- Year: ' || year || chr(10) || chr(10) || chr(10)) AS sha FROM pp",
     ),
     "op_enrich_schema": (
-        lambda s, d: K.part_papers(s, d).join(K.part_types(s, d), "doc_id", "left").join(G.cluster_labels(K.part_papers(s, d), K.part_types(s, d), []), "cluster_id", "left").select("doc_id", "title", "year", "cluster_id", "label"),
+        lambda s, d: C.research_rows(K.part_papers(s, d), K.part_types(s, d), G.cluster_labels(K.part_papers(s, d), K.part_types(s, d), [])),
         f"WITH {PP}, {PT}, w AS (SELECT cluster_id, unnest(string_split(title, ' ')) AS w FROM pp JOIN pt USING (doc_id)), c AS (SELECT cluster_id, w, count(*) AS n FROM w WHERE length(w) >= 4 GROUP BY 1, 2), l AS (SELECT cluster_id, string_agg(upper(w[1]) || w[2:], ' + ' ORDER BY n DESC, w) AS label FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, w) AS rn FROM c) WHERE rn <= 3 GROUP BY 1) SELECT doc_id, title, year, cluster_id, label FROM pp JOIN pt USING (doc_id) JOIN l USING (cluster_id)",
     ),
     "rp_briefing": (
@@ -138,12 +172,18 @@ QUERIES = {
         f"WITH {PC} SELECT p_brand AS value, count(DISTINCT cluster_id) AS clusters FROM part JOIN pc ON p_partkey = doc_id GROUP BY 1 HAVING count(DISTINCT cluster_id) >= 2",
     ),
     "rp_finalize": (
-        lambda s, d: K.table(s, d, "documents").join(K.table(s, d, "labels"), "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_papers"), F.count("quality").alias("n_extracted"), F.round(F.avg(F.col("quality").isNotNull().cast("int")), 6).alias("share")),
+        lambda s, d: C.extraction_report(K.table(s, d, "documents"), K.table(s, d, "labels"), "source", "quality"),
         "SELECT source, count(*) AS n_papers, count(quality) AS n_extracted, round(avg(CASE WHEN quality IS NULL THEN 0 ELSE 1 END), 6) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     ),
     "rp_prompts_ft": (
-        lambda s, d: C.batches(K.table(s, d, "documents").select("doc_id", (F.length("text") > 1500).alias("ft"), F.substring("text", 1, 3000).alias("m")), "doc_id", 5).groupBy("batch_id").agg(F.max("ft").alias("has_ft"), F.sum(F.length("m")).alias("chars")),
-        "SELECT batch_id, bool_or(ft) AS has_ft, CAST(sum(length(m)) AS BIGINT) AS chars FROM (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 5 AS batch_id, length(text) > 1500 AS ft, text[:3000] AS m FROM documents) GROUP BY 1",
+        lambda s, d: C.fulltext_prompts(_fulltexts(s, d), header="A:", full_header="F:").select("batch_id", "n_papers", "has_fulltext", F.sha2("prompt", 256).alias("prompt_sha")),
+        """WITH d AS (SELECT doc_id, text, length(text) > 1500 AS ft, (row_number() OVER (ORDER BY doc_id) - 1) // 5 AS batch_id FROM documents), e AS (SELECT doc_id, batch_id, ft, concat_ws(chr(10), '---', 'DOI: ' || doc_id, 'Title: ' || string_split(text, chr(10))[1], 'Year: 2020',
+ 'Abstract: ' || (CASE WHEN trim(text) = '' THEN '(no abstract available)' ELSE trim(text) END), CASE WHEN ft THEN 'Methods: ' || substr(text, 1, 3000) END, CASE WHEN length(text) > 2500 THEN 'Discussion: ' || substr(text, 1, 2000) END, '---') AS b FROM d)
+SELECT batch_id, count(*) AS n_papers, bool_or(ft) AS has_fulltext, sha256((CASE WHEN bool_or(ft) THEN 'F:' ELSE 'A:' END) || string_agg(b, chr(10) || chr(10) ORDER BY doc_id)) AS prompt_sha FROM e GROUP BY 1""",
+    ),
+    "rp_model_calls": (
+        lambda s, d: C.answered(C.prompts(_fulltexts(s, d), 45, header=""), lambda prompt: prompt.split("DOI: ", 1)[1].split("\n", 1)[0]),
+        "SELECT batch_id, CAST(min(doc_id) AS VARCHAR) AS answer FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 45 AS batch_id FROM documents) GROUP BY 1",
     ),
     "vw_overview": (
         lambda s, d: W.overview(K.part_cells(s, d).groupBy("cluster_id").agg(F.count("*").alias("size"))),
@@ -169,7 +209,7 @@ QUERIES = {
     ),
     "cl_colors": (lambda s, d: W.colours(K.part_cells(s, d)), f"WITH {PC} SELECT cluster_id, CAST((dense_rank() OVER (ORDER BY cluster_id) - 1) % 20 AS INT) AS colour FROM (SELECT DISTINCT cluster_id FROM pc)"),
     "gr_cyto": (
-        lambda s, d: W.strong_edges(G.shared_edges(K.part_entities(s, d)), 3),
+        lambda s, d: G.strong_edges(K.part_entities(s, d), 3),
         f"WITH {PE} SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS weight FROM pe a JOIN pe b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 3",
     ),
     "vw_report": (

@@ -124,6 +124,7 @@ TITLE_CLASSES = f"WITH {K.DP}, w AS (SELECT doc_id, list_sort(list_distinct({WOR
 
 JATS = """<article><front><abstract><p>Short abstract.</p></abstract></front><body><sec sec-type="methods"><title>Methods</title><p>We used <b>cells</b>.</p></sec>
 <sec><title>Results and findings</title><p>It works.</p><fig><caption><p>Figure one.</p></caption></fig></sec><sec sec-type="discussion"><title>Discussion</title><p>Good.</p></sec></body></article>"""
+TYPES = '<article><body><sec sec-type="intro"><p>a</p></sec><sec sec-type="materials|methods"><p>b</p></sec><sec sec-type="METHODS"><p>c</p></sec><sec sec-type="foo"><p>d</p></sec><sec sec-type="intro"><title> Own </title><p>e</p></sec></body></article>'
 TEI = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>1. Introduction</head><p>One.</p><p>Two.</p></div><div><p>Bare.</p></div></body></text></TEI>'
 MARKDOWN = "# Abstract\nWe do.\n\n## 2. Methods\nThis way.\n# Results\n\n# Other\nMore."
 
@@ -206,8 +207,8 @@ QUERIES = {
         "SELECT * FROM (VALUES (0::BIGINT, '10.1/a', 'p', '', ''), (1, '10.1/b', '', 'f, [1]', ''), (2, '10.1/c', '', '', '')) v(id, doi, problem, finding, limits)",
     ),
     "fn_quality_trunc": (
-        lambda s, d: K.table(s, d, "conversations").select("conv_id", "turn", T.shorten_field(F.col("text"), 60).alias("short")),
-        "SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN regexp_replace(text[:60], ' [^ ]*$', '') || '...' ELSE text END AS short FROM conversations",
+        lambda s, d: T.checked_fields(K.table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("limits"), F.col("role").alias("method")), ["limits", "method"], 60).select("conv_id", "turn", "limits", F.array_join("quality_flags", ",").alias("flags")),
+        "SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN regexp_replace(text[:60], ' [^ ]*$', '') || '...' ELSE text END AS limits, CASE WHEN length(text) > 60 THEN 'limits_truncated' ELSE '' END AS flags FROM conversations",
     ),
     "fn_parse_actions": (
         lambda s, d: _frame(s, ['Done. ---ACTIONS--- {"actions":[{"type":"zoom"}]}', "Plain text ", "Bad ---ACTIONS--- {"], "text").select("id", T.parse_actions(F.col("text")).alias("p")).select("id", "p.text", F.size("p.actions").cast("long").alias("n")),
@@ -223,7 +224,11 @@ QUERIES = {
     ),
     "fn_jats_full": (
         lambda s, d: _frame(s, [JATS], "xml").select(M.parse_article(F.col("xml")).alias("p")).select("p.abstract", F.map_keys("p.sections")[1].alias("second"), F.size("p.figures").cast("long").alias("figures"), "p.full_text"),
-        None,
+        "SELECT 'Short abstract.' AS abstract, 'Results and findings' AS second, 1::BIGINT AS figures, '## Abstract' || chr(10) || chr(10) || 'Short abstract.' || chr(10) || chr(10) || '## Methods' || chr(10) || chr(10) || 'We used cells .' || chr(10) || chr(10) || '## Results and findings' || chr(10) || chr(10) || 'It works.' || chr(10) || chr(10) || '## Discussion' || chr(10) || chr(10) || 'Good.' AS full_text",
+    ),
+    "fn_jats_types": (
+        lambda s, d: _frame(s, [TYPES], "xml").select(F.explode(M.parse_article(F.col("xml"))["sections"]).alias("name", "content")),
+        "SELECT * FROM (VALUES ('Introduction', 'a'), ('Methods', 'b' || chr(10) || chr(10) || 'c'), ('Section', 'd'), ('Own', 'e')) v(name, content)",
     ),
     "fn_tei": (
         lambda s, d: _frame(s, [TEI], "xml").select(F.explode(M.parse_tei(F.col("xml"))).alias("name", "content")),

@@ -9,15 +9,25 @@ LAYERS = ["L0", "L1", "L2", "L3"]
 OPEN = ["gold", "green", "hybrid", "bronze"]
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[object, list[tuple[int, str, bool]]]:
+    """The file system and (number, folder, whether it is complete) of a table's versions, oldest first."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+    found = sorted((int(n[2:]), f"{path}/{n}") for n in names if n.startswith("v-"))
+    return fs, [(k, f, fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))) for k, f in found]
+
+
 def _replace(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside the table, then put it in its place: readers see the old rows or the new ones."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    old, new = fs_path(path), fs_path(f"{path}.new")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"can't put {path} in place")
+    """Write the table's next version. A version counts once the mark of its end is there, which Spark writes last: readers see the
+    old rows or the new ones, and a writer that dies leaves the old. Two writers of one version: the second raises. The version before stays for its readers."""
+    fs, found = _versions(spark, path)
+    number = found[-1][0] + 1 if found else 1
+    df.write.mode("error").parquet(f"{path}/v-{number:08d}")
+    whole = [f for _, f, done in found if done]
+    for _, folder, _done in found:
+        if folder not in whole[-1:]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 class Store:
@@ -27,10 +37,8 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        from citeloom.sources.papers import optional
-
-        found = optional(self.spark, f"{self.root}/{name}")
-        return found if found is not None else self.spark.createDataFrame([], schema)
+        whole = [f for _, f, done in _versions(self.spark, f"{self.root}/{name}")[1] if done]
+        return self.spark.read.parquet(whole[-1]) if whole else self.spark.createDataFrame([], schema)
 
     def _upsert(self, name: str, schema: str, rows: DataFrame, keys: list[str]) -> None:
         old = self._table(name, schema)
