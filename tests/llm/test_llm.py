@@ -257,22 +257,79 @@ def test_scores_are_base_and_probabilities(spark, sf, odd, none):
     assert lm_score.lm_scores(none).count() == 0
 
 
+def test_score_beats_base_on_held_out_documents(spark):
+    rows = lm_score.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert len(rows) > 50 and sum(r.score > r.base_score for r in rows) >= 0.95 * len(rows)
+
+
 def test_rare_tokens_take_the_join(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 50}" for k in range(30))) for i in range(40)], "doc_id long, text string")
     want = {r.doc_id: (r.n_known, round(r.base_score, 8)) for r in lm_score.lm_scores(docs).collect()}
     monkeypatch.setattr(lm_score, "FREQUENT", 12)
-    monkeypatch.setattr(lm_score, "CLASSES", 8)
+    monkeypatch.setattr(lm_score, "VECTORS", 8)
     rows = lm_score.lm_scores(docs).collect()
     assert {r.doc_id: (r.n_known, round(r.base_score, 8)) for r in rows} == want
 
 
-def test_model_is_normalised():
-    pairs = np.random.default_rng(0).integers(0, 50, (9, 9)).astype(float)
-    p = 10 ** lm_score.log_probabilities(lm_score.train(pairs, 100), np.arange(9))
-    assert np.allclose(p.sum(1), 1)
-    cross = -(pairs * np.log(p)).sum() / pairs.sum()
-    uni = pairs.sum(0) / pairs.sum()
-    assert cross < -(pairs.sum(0) * np.log(uni)).sum() / pairs.sum()
+def small_model():
+    """A vocabulary of 40 tokens, 30 of them with vectors, and parameters by chance."""
+    rng = np.random.default_rng(4)
+    names = sorted(f"{a}{b}x{c}".encode() for a in "abcde" for b in "fghi" for c in "jk")
+    a, starts, ends = pretokens.words(b" ".join(names) + b" ")
+    t = lm_score.tokens_of([b" ".join(names)])
+    counts = np.sort(rng.integers(1, 500, 40))[::-1]
+    mass = np.full(lm_score.TAILS, 0.1)
+    np.add.at(mass, lm_score.tail_class(t.endings[30:40]), counts[30:] + 0.1)
+    v = lm_score.Vocabulary(t.keys[:40], t.endings[:40], counts, 30, mass, counts.sum(), 40)
+    return names, v, rng.normal(0, 0.5, (v.rows, lm_score.WIDTH + 1)).astype(np.float32)
+
+
+def test_probabilities_are_normalised_and_plain():
+    names, v, p = small_model()
+    places = pretokens.Places()
+    places.add(v.keys)
+    text = b"afxj zz " + names[3] + b" " + names[35] + b" new" + names[7]
+    t = lm_score.tokens_of([text, b"", names[1]])
+    place, target, context = v.numbers(places, t)
+    cls = v.classes_of(target, t.endings)
+    got = lm_score.log_probabilities(p, v, context, cls, target)
+    w = lm_score.WIDTH
+    for k in range(len(cls)):
+        before = [target[k - d] if k - d >= t.begin[k] and target[k - d] >= 0 else v.n + lm_score.tail_class(t.endings[k - d] if k - d >= t.begin[k] else 0) for d in (1, 2, 3)]
+        h = sum(p[r, :w].astype(float) * p[v.at_position + d, :w] for d, r in enumerate(before))
+        classes = p[v.at_class : v.at_token, :w] @ h + p[v.at_class : v.at_token, w]
+        want = classes[cls[k]] - math.log(np.exp(classes).sum())
+        if target[k] >= 0:
+            own = range(v.bounds[cls[k]], v.bounds[cls[k] + 1])
+            scores = {i: p[v.at_token + i, :w] @ h + p[v.at_token + i, w] for i in own}
+            want += scores[target[k]] - math.log(sum(map(math.exp, scores.values())))
+        assert got[k] == pytest.approx(want, abs=1e-4)
+    # All tokens with vectors and all tail classes after one context.
+    every = np.arange(v.n + lm_score.TAILS)
+    same = np.repeat(context[:1], len(every), 0)
+    all_cls = np.concatenate([v.cls, len(v.bounds) - 1 + np.arange(lm_score.TAILS)])
+    assert np.exp(lm_score.log_probabilities(p, v, same, all_cls, np.where(every < v.n, every, -1))).sum() == pytest.approx(1, abs=1e-5)
+    # Inside a tail class the known tokens' shares and one unknown's add up to 1.
+    for k in range(lm_score.TAILS):
+        t2 = lm_score.tokens_of([b" ".join(names[30:])])
+        inside = [c for c, e in zip(v.c[30:], t2.endings, strict=False) if lm_score.tail_class(e) == k]
+        assert sum(c + 0.1 for c in inside) + 0.1 == pytest.approx(v.tail_mass[k])
+
+
+def test_training_learns_an_order():
+    texts = [b"one two three four five"] * 60 + [b"six seven eight nine ten"] * 60
+    t = lm_score.tokens_of(texts)
+    keys, first, c = np.unique(t.keys, return_index=True, return_counts=True)
+    v = lm_score.Vocabulary(keys, t.endings[first], c, len(keys), np.full(lm_score.TAILS, 0.1), c.sum(), len(c))
+    places = pretokens.Places()
+    places.add(v.keys)
+    trainer = lm_score.Trainer(v.start(), v, [1])
+    _, target, context = v.numbers(places, t)
+    cls = v.classes_of(target, t.endings)
+    before = lm_score.log_probabilities(v.start(), v, context, cls, target).mean()
+    for _ in range(40):
+        trainer.learn(texts, places)
+    assert lm_score.log_probabilities(trainer.p, v, context, cls, target).mean() > before + 1
 
 
 def brute_join(texts, width, percent):
