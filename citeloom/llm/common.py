@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +71,22 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+@functools.cache
+def one_blas_thread() -> None:
+    """numpy's matrix products on one thread: a worker has one core, and further threads would only wait for it, at full load."""
+    for lib in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if setter := getattr(ctypes.CDLL(str(lib)), name, None):
+                setter(1)
+
+
 #: What a Python worker keeps between tasks: the state of one operator at a time.
 _held: dict = {"family": None}
 
 
 def hold(family: str, key=None, make=None):
     """State that later tasks of this worker use again. Another family's state goes first, so that operators' caches don't add up."""
+    one_blas_thread()
     if _held["family"] != family:
         _held.clear()
         _held["family"] = family
