@@ -1,30 +1,28 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the test items, one scan of each text.
 
 Test items are normalised to words parted by single spaces and cut into windows of consecutive words.
-The automaton holds every window between spaces, so it matches at word borders only. Matches are
-mapped back to word positions and from those to character offsets of the original text.
+The automaton holds every window as a sequence of words, so it matches at word borders only. Matches are
+word positions, which are mapped to character offsets of the original text.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import hold, raw_bytes
+from .common import discard, hold, materialize, pieces, raw_bytes
 
 #: Bytes of words: ASCII letters and digits and everything beyond ASCII; letters in lower case, the rest a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORDS = re.compile(rb"[^ ]+")
-#: Bytes of item text that one automaton takes; more text is shared out over further passes.
-ONE_AUTOMATON = 16 << 20
+#: Words of windows that one automaton takes, about 100 bytes of memory each; more are shared out over further passes, a stage each.
+ONE_AUTOMATON = 3_000_000
 STATE = "doc_id long, text string, spans array<struct<first:int,last:int>>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>"
 
@@ -35,18 +33,21 @@ def windows(text: bytes, width: int) -> set[bytes]:
 
 
 def automaton(items: list[tuple[str, bytes]], width: int):
+    """(automaton, numbers of its words): windows are sequences of word numbers, so that a word is one step; a match tells its length and items."""
     import ahocorasick
 
     owners: dict[bytes, set[str]] = {}
     for item, text in items:
         for w in windows(text, width):
             owners.setdefault(w, set()).add(item)
-    found = ahocorasick.Automaton()
+    number: dict[bytes, int] = {}
+    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for w, who in owners.items():
-        found.add_word(f" {w.decode('latin-1')} ", (len(w) + 1, w.count(b" ") + 1, sorted(who)))
+        key = tuple(number.setdefault(x, len(number) + 1) for x in w.split(b" "))
+        found.add_word(key, (len(key), sorted(who)))
     if len(found):
         found.make_automaton()
-    return found
+    return found, number
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -61,15 +62,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan(found, text: bytes) -> tuple[list[tuple[int, int]], set[str]]:
+    machine, number = found
     words = text.translate(NORMAL).split()
     spans, items = [], set()
-    starts: list[int] = []
-    if words and len(found):
-        for end, (back, n, who) in found.iter(f" {b' '.join(words).decode('latin-1')} "):
-            if not starts:
-                starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-            first = bisect_right(starts, end - back) - 1
-            spans.append((first, first + n - 1))
+    if words and len(machine):
+        for last, (n, who) in machine.iter(tuple([number.get(w, 0) for w in words])):  # 0 is no window's word
+            spans.append((last - n + 1, last))
             items.update(who)
     return merged(spans), items
 
@@ -87,23 +85,21 @@ def _offsets(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _passes(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """The items, in as many lists as their measured size asks for; a list is what one pass broadcasts."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _passes(benchmark: DataFrame, width: int) -> list[DataFrame]:
+    """The items in as many parts as the words of their windows ask for; a part is what one pass broadcasts. A word is in `width` windows at most."""
+    words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), " "))
+    size = (benchmark.where("text is not null").agg(F.sum(words)).first()[0] or 0) * width
     n = 1 + size // ONE_AUTOMATON
     part = F.pmod(F.xxhash64("text"), F.lit(n)) if n > 1 else F.lit(0)
-    lists = []
-    for k in range(n):
-        rows = benchmark.where((part == k) & F.col("text").isNotNull()).collect()
-        lists.append([(r.item_id if r.item_id is not None else "", r.text.encode()) for r in rows])
-    return lists
+    return [benchmark.where((part == k) & F.col("text").isNotNull()) for k in range(n)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, spans (character offsets, merged), items (sorted ids).
     With whole_rows also `row`, a struct of all columns of docs.
 
-    Null or empty texts have no words and no hits; null or wordless items have no windows; a null item id
+    A span runs over the words of overlapping or touching windows. Null ids stay and ids that aren't whole numbers raise;
+    null or empty texts have no words and no hits; very long texts are scanned by themselves; null or wordless items have no windows; a null item id
     reads as an empty string; repeated items and rows count as they come; other columns are not read."""
     items = benchmark.select(F.col(f"`{item_id_col}`").cast("string").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     sc = docs.sparkSession.sparkContext
@@ -115,24 +111,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = hold(f"automaton {key}", "automaton", lambda: automaton(shared.value, width))
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(at, 1024)
-                    texts = raw_bytes(batch.column(1))
-                    spans = [[(x["first"], x["last"]) for x in s or []] for s in batch.column(2).to_pylist()]
-                    names = [x or [] for x in batch.column(3).to_pylist()]
-                    for i, text in enumerate(texts):
-                        got, who = _scan(found, text)
-                        if got:
-                            spans[i], names[i] = merged(got + spans[i]), sorted(who | set(names[i]))
-                    yield (_result if last else _state)(batch, texts, spans, pa.array(names, pa.list_(pa.string())))
+            for batch in pieces(batches):
+                texts = raw_bytes(batch.column(1))
+                spans = [[(x["first"], x["last"]) for x in s or []] for s in batch.column(2).to_pylist()]
+                names = [x or [] for x in batch.column(3).to_pylist()]
+                for i, text in enumerate(texts):
+                    got, who = _scan(found, text)
+                    if got:
+                        spans[i], names[i] = merged(got + spans[i]), sorted(who | set(names[i]))
+                yield (_result if last else _state)(batch, texts, spans, pa.array(names, pa.list_(pa.string())))
 
         return scan
 
-    parts = _passes(items)
+    parts = _passes(items, width)
     for k, part in enumerate(parts):
         last = k == len(parts) - 1
-        state = state.mapInArrow(one_pass(sc.broadcast(part), last), StructType([*StructType.fromDDL(RESULT if last else STATE).fields, *rest]))
+        shared = sc.broadcast([(r.item_id if r.item_id is not None else "", r.text.encode()) for r in part.collect()])
+        before, state = state, state.mapInArrow(one_pass(shared, last), StructType([*StructType.fromDDL(RESULT if last else STATE).fields, *rest]))
+        if not last:  # a stage a pass: one automaton at a time in a worker
+            state = materialize(state, "scanned")
+            shared.unpersist()
+            if k:
+                discard(before)
     return state
 
 

@@ -24,6 +24,8 @@ FEATURES, LONGEST = 4096, 4
 PER_LANGUAGE, IN_ALL = 500, 20_000
 #: Difference of the two best losses (a mean over bits) under which the language is ambiguous.
 AMBIGUOUS = 0.15
+#: Loss of the nearest codeword from which a text is in none of the languages. No bit says anything at ln 2 = 0.69; learned languages stay under 0.15 but for the shortest texts.
+FAR = 0.45
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LETTER = re.compile(rb"[A-Za-z]")
 
@@ -110,8 +112,8 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     return {"languages": languages, "code": code, "w": w, "b": b, "reliability": reliability}
 
 
-def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the nearest codeword, its score (a softmax of minus the losses) and the ambiguity flag, for each row of x."""
+def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the nearest codeword (of equal ones the first), its score (a softmax of minus the losses), the ambiguity flag and its loss, for each row of x."""
     margins = x @ model["w"] + model["b"]
     share = model["reliability"] / model["reliability"].sum()
     loss = (np.log1p(np.exp(np.clip(-margins[:, None, :] * model["code"][None], -30, 30))) * share).sum(2)
@@ -120,13 +122,15 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     best = loss.argmin(1)
     ordered = np.sort(loss, 1)
     near = ordered[:, 1] - ordered[:, 0] < AMBIGUOUS if loss.shape[1] > 1 else np.zeros(len(x), bool)
-    return best, odds[np.arange(len(x)), best], near
+    return best, odds[np.arange(len(x)), best], near, ordered[:, 0]
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, lang_pred, score, ambiguous.
+    """One row for each row of docs: doc_id, lang_pred, score, ambiguous, loss (of the nearest codeword).
 
-    `und` with score 0 where the text is null, empty or without a letter, or where no language was learned."""
+    `und` with score 0 and no loss where the text is null, empty or without a letter, or where no language was learned.
+    Null ids stay, ids that aren't whole numbers raise, repeated rows get a row each; of languages equally near the first by
+    name is taken, flagged as ambiguous; very long texts are read whole, in pieces; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +141,21 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 batch = whole.slice(at, 256)
                 texts = raw_bytes(batch.column(1))
                 real = np.array([bool(m["languages"]) and has_letter(t) for t in texts], bool)
-                names, scores, near = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+                names, scores, near, losses = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool), np.full(len(texts), np.nan)
                 if real.any():
-                    best, score, close = decode(m, np.stack([profile(t) for t, ok in zip(texts, real, strict=True) if ok]))
+                    best, score, close, loss = decode(m, np.stack([profile(t) for t, ok in zip(texts, real, strict=True) if ok]))
                     for i, k in zip(np.flatnonzero(real), best, strict=True):
                         names[i] = m["languages"][k]
-                    scores[real], near[real] = score, close
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores), pa.array(near)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+                    scores[real], near[real], losses[real] = score, close, loss
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores), pa.array(near), pa.array(losses, from_pandas=True)], names=["doc_id", "lang_pred", "score", "ambiguous", "loss"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(guess, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return id_and_text(docs, id_col, text_col).mapInArrow(guess, "doc_id long, lang_pred string, score double, ambiguous boolean, loss double")
 
 
-def keep_identified(docs: DataFrame, model: dict, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language is `und` or whose score is under `least`; all columns, no shuffle."""
+def keep_identified(docs: DataFrame, model: dict, far: float = FAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose language is `und` or that are as far as `far` from every codeword; all columns, no shuffle.
+
+    A softmax can't tell a text of no learned language, as some language is always the nearest; the loss itself can."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +167,7 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.3, id_col: st
                 texts = raw_bytes(batch.column(batch.schema.get_field_index(text_col)))
                 keep = np.array([bool(m["languages"]) and has_letter(t) for t in texts], bool)
                 if keep.any():
-                    keep[keep] = decode(m, np.stack([profile(t) for t, ok in zip(texts, keep, strict=True) if ok]))[1] >= least
+                    keep[keep] = decode(m, np.stack([profile(t) for t, ok in zip(texts, keep, strict=True) if ok]))[3] < far
                     yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
@@ -177,4 +183,4 @@ def language_id(docs: DataFrame) -> DataFrame:
 
     Rows with a null text or lang are not learned from; repeated rows count as they come; extra columns are ignored."""
     found = predict(docs, fit(docs.where(~held_out())))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous", "loss")

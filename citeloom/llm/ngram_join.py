@@ -4,13 +4,14 @@ Rows of the incidence matrix are documents, columns are word shingles. Documents
 class first. A pair of classes can only reach the similarity if, in one order of all shingles, the first
 n - ceil(s n) + 1 shingles of both have one in common; the order takes rare shingles first, so that classes
 of their own drop out and shared passages bring few classes together. What is left falls into candidate
-groups, whose blocks of rows are multiplied with each other: overlap counts accumulate shingle by shingle,
-and pairs below the bound that follows from the two sizes are discarded. A block pair reports a spanning
+groups, whose blocks of rows are multiplied with each other if their sizes allow a link: overlap counts
+accumulate shingle by shingle, and pairs below the bound that follows from the two sizes are discarded. A block pair reports a spanning
 forest of its links and the number of links of each class, never the pairs themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -29,8 +30,8 @@ COUNTED = int(0.3 * 2**64)
 COMMON = 64
 #: Hashes that a map task gathers before it hands them on, and those that a counting task gets.
 GATHER, COUNT_TASK = 1 << 20, 1 << 21
-#: Rows of a block; groups with fewer rows share a task, as many as make up a block.
-BLOCK = 1000
+#: Rows of a block; groups with fewer rows share a task, as many as make up a block. Blocks are numbered band by band.
+BLOCK, BLOCKS = 1000, 1 << 32
 #: Columns with more rows than this are multiplied as dense blocks of so many columns, the others pair by pair.
 DENSE_FROM, DENSE_COLUMNS = 24, 2048
 
@@ -269,17 +270,31 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
 
 def _products(survivors: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """sig, root, links: per block pair, each linked class, a class that leads its tree, and the documents that it links with."""
+    """sig, root, links: per block pair, each linked class, a class that leads its tree, and the documents that it links with.
+
+    A group of more classes than a block is cut by size into bands, each as wide as the similarity lets two linked sets
+    differ, and bands into blocks. A block meets the blocks of its own band and of the next ones: no others can hold a link."""
+    rows = survivors.select("sig", "n", "docs", "members")
     sizes = groups.groupBy("grp").agg(F.count("*").alias("m")).withColumnRenamed("grp", "whole")
     placed = groups.withColumn("k", F.xxhash64("grp")).join(sizes.withColumn("k2", F.xxhash64("whole")), (F.col("k") == F.col("k2")) & (F.col("grp") == F.col("whole"))).select("sig", "grp", "m")
-    placed = placed.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("blocks")))
-    total = groups.count()
-    bins = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BLOCK + 1)
-    rows = placed.join(survivors.select("sig", "docs", "members"), "sig")
-    rows = rows.select("sig", "grp", "docs", "members", F.col("block"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("sig", "grp", "docs", "members", "block", "blocks", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.xxhash64("grp", "bi", "bj"))
-    return rows.withColumn("task", task).select("task", "sig", "grp", "docs", "members", "block", "bi", "bj").groupBy("task").applyInArrow(_multiply(percent), "sig binary, root binary, links long")
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    band = F.when(F.col("m") <= BLOCK, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / width)).cast("long")
+    placed = materialize(placed.join(rows.select("sig", "n"), "sig").select("sig", "grp", "m", band.alias("band")), "bands")
+    bands = placed.groupBy("grp", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # A group has as many bands as its sizes span, some dozens at most.
+    bands = bands.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")).withColumnRenamed("grp", "whole")
+    placed = placed.withColumn("k", F.xxhash64("grp")).join(bands.withColumn("k2", F.xxhash64("whole")), (F.col("k") == F.col("k2")) & (F.col("grp") == F.col("whole"))).select("sig", "grp", "m", "band", "blocks")
+    number = lambda b, i: b * BLOCKS + i
+    blocks_of = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0))
+    own = number(F.col("band"), F.pmod(F.xxhash64("sig", F.lit(1)), blocks_of(F.col("band"))))
+    every = lambda b: F.when(blocks_of(b) > 0, F.sequence(number(b, F.lit(0)), number(b, blocks_of(b) - 1))).otherwise(F.array().cast("array<long>"))
+    near = F.flatten(F.array(every(F.col("band") - 1), every(F.col("band")), every(F.col("band") + 1)))
+    placed = placed.withColumn("block", own).withColumn("other", F.explode(near))
+    placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    bins = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.count() // BLOCK + 1)
+    task = F.when(F.col("m") <= BLOCK, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.xxhash64("grp", "bi", "bj"))
+    ready = placed.withColumn("task", task).select("task", "sig", "grp", "block", "bi", "bj").join(rows.drop("n"), "sig")
+    return ready.select("task", "sig", "grp", "docs", "members", "block", "bi", "bj").groupBy("task").applyInArrow(_multiply(percent), "sig binary, root binary, links long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
