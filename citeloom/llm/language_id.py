@@ -25,7 +25,7 @@ PER_LANGUAGE, IN_ALL = 500, 20_000
 #: Difference of the two best losses (a mean over bits) under which the language is ambiguous.
 AMBIGUOUS = 0.15
 #: Loss of the nearest codeword from which a text is in none of the languages. No bit says anything at ln 2 = 0.69; learned languages stay under 0.15 but for the shortest texts.
-FAR = 0.45
+FAR = 0.3
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LETTER = re.compile(rb"[A-Za-z]")
 
