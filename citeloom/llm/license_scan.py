@@ -2,11 +2,14 @@
 
 Texts are cut into sentences, sentences are normalised and looked up in a table of known license sentences,
 and the sequence of their identifiers is matched against ordered rules: a rule names a license and the
-sentences that state it, in order. The longest rule that fits at a place wins; matches don't overlap.
+sentences that state it, in order. The longest rule that fits at a place wins, of equal ones the first by
+name; matches don't overlap. The table holds notices and references, stated here, and whole license texts,
+read from a data file with a sentence a line.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, id_and_text, raw_bytes
+from .common import hold, id_and_text, pieces, raw_bytes
 
 # Sentences of public license texts and notices, by identifier.
 SENTENCES = {
@@ -89,6 +92,32 @@ RULES = [
     ("Unlicense", ["unlicense-1"]),
     ("proprietary", ["reserved"]),
 ]
+def table() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """All sentences by identifier and all rules: the stated ones, and one for each text of the data file.
+
+    Texts share the sentences that they have in common: one normalised sentence has one identifier."""
+    sentences, rules = dict(SENTENCES), [(name, list(ids)) for name, ids in RULES]
+    known = {_key(s): name for name, s in sentences.items()}
+    for block in pkgutil.get_data(__package__, "licenses.txt").decode().split("\n= ")[1:]:
+        name, *lines = block.strip().split("\n")
+        ids = []
+        for line in lines:
+            if _key(line) not in known:
+                known[_key(line)] = f"{name}-{len(ids) + 1}"
+                while known[_key(line)] in sentences:
+                    known[_key(line)] += "x"
+                sentences[known[_key(line)]] = line
+            ids.append(known[_key(line)])
+        if (name, ids) not in rules:
+            rules.append((name, ids))
+    return sentences, rules
+
+
+def _key(sentence: str) -> bytes:
+    """A sentence as its words: marks between them, which differ from copy to copy, don't count."""
+    return b" ".join(p for m in PIECE.finditer(sentence.encode()) if (p := normal(m[0])))
+
+
 #: A sentence ends at one of these before white space, a line's end, or the text's end; list marks may follow a line's start.
 PIECE = re.compile(rb"(?:[^.!?:;\n]|[.!?:;](?![\s\"')]|$))+")
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b in b"./-" or b >= 128 else 32 for b in range(256))
@@ -146,20 +175,20 @@ class Recogniser:
 def license_scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_sentences (known ones), matches (license, start, end, sentences).
 
-    start and end are byte offsets of the UTF-8 text. Null and empty texts have no sentence; null ids stay;
-    repeated rows are scanned each; other columns are not read; an empty table gives no rows."""
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    start and end are byte offsets of the UTF-8 text. Null and empty texts have no sentence; null ids stay, ids that aren't
+    whole numbers raise; repeated rows are scanned each; of rules of one length at a place the first by name wins; very long
+    texts are scanned by themselves; other columns, of whatever name, are not read; an empty table gives no rows."""
+    if sentences is None or rules is None:
+        sentences, rules = table()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("licenses")
         known = Recogniser(sentences, rules)
         kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("sentences", pa.list_(pa.string()))]))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                found = [known.sentences(t) for t in raw_bytes(batch.column(1))]
-                rows = [[{"license": a, "start": b, "end": c, "sentences": d} for a, b, c, d in known.licenses(x)] for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(rows, kind)], names=["doc_id", "n_sentences", "matches"])
+        for batch in pieces(batches):
+            found = [known.sentences(t) for t in raw_bytes(batch.column(1))]
+            rows = [[{"license": a, "start": b, "end": c, "sentences": d} for a, b, c, d in known.licenses(x)] for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(rows, kind)], names=["doc_id", "n_sentences", "matches"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(scan, f"doc_id long, n_sentences long, matches {MATCH}")
 

@@ -526,6 +526,63 @@ def test_licenses(spark, odd, none):
     assert license_scan.digest(odd).count() == odd.count() and license_scan.digest(none).count() == 0
 
 
+def brute_licenses(text, sentences, rules):
+    """All pieces as words; at each piece the longest known sentence, over the identifiers the longest rule."""
+    pieces = [p for m in license_scan.PIECE.finditer(text.encode()) if (p := license_scan.normal(m[0]))]
+    keys = {license_scan._key(s): n for n, s in sentences.items()}
+    ids, i = [], 0
+    while i < len(pieces):
+        fits = [k for k in range(i, len(pieces)) if b" ".join(pieces[i : k + 1]) in keys]
+        if fits:
+            ids.append(keys[b" ".join(pieces[i : fits[-1] + 1])])
+            i = fits[-1]
+        i += 1
+    out, i = [], 0
+    while i < len(ids):
+        fits = sorted((-len(r), n) for n, r in rules if ids[i : i + len(r)] == r)
+        if fits:
+            out.append(fits[0][1])
+            i -= fits[0][0] + 1
+        i += 1
+    return len(ids), out
+
+
+def test_license_scan_is_brute_force(spark):
+    rng = random.Random(7)
+    sentences, rules = license_scan.table()
+    lines = list(sentences.values())
+    texts = []
+    for _ in range(80):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.random()
+            if kind < 0.4:
+                parts += [sentences[i] for i in rng.choice(rules)[1]]
+            else:
+                parts.append(rng.choice(lines) if kind < 0.7 else "Some other sentence of a text.")
+        text = rng.choice([". ", ".\n", "\n\n"]).join(parts)
+        texts.append(text.replace(" the ", "\nthe ") if rng.random() < 0.3 else text)
+    got = {r.doc_id: (r.n_sentences, [m.license for m in r.matches]) for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(80)] == [brute_licenses(t, sentences, rules) for t in texts]
+
+
+def test_whole_license_texts_are_told_apart():
+    sentences, rules = license_scan.table()
+    known = license_scan.Recogniser(sentences, rules)
+    whole = [(n, ids) for n, ids in rules if len(ids) > 1]
+    assert len({n for n, _ in rules}) >= 30
+    for name, ids in whole:
+        for between in ("\n", " ", "\n\n"):
+            text = between.join(sentences[i] if sentences[i][-1] in ".:;" else sentences[i] + "." for i in ids)
+            assert [m[0] for m in known.licenses(known.sentences(text.encode()))] == [name], (name, ids)
+
+
+def test_license_ties_go_by_name():
+    known = license_scan.Recogniser({"a": "One sentence", "b": "Two sentence"}, [("Zed", ["a", "b"]), ("Alpha", ["a", "b"]), ("Short", ["a"])])
+    assert [m[0] for m in known.licenses(known.sentences(b"One sentence. Two sentence. One sentence."))] == ["Alpha", "Short"]
+    assert known.sentences(b"") == [] and len(known.licenses(known.sentences(b"One sentence. " * 20_000))) == 20_000
+
+
 def test_license_table_is_whole():
     used = {i for _, ids in license_scan.RULES for i in ids}
     assert used <= set(license_scan.SENTENCES)
