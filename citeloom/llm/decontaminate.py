@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ def windows(text: bytes, width: int) -> set[bytes]:
 
 
 def automaton(items: list[tuple[str, bytes]], width: int):
-    """(automaton, numbers of its words): windows are sequences of word numbers, so that a word is one step; a match tells its length and items."""
+    """(automaton, numbers of its words, its shortest window): windows are sequences of word numbers, so that a word is one step; a match tells its length and items."""
     import ahocorasick
 
     owners: dict[bytes, set[str]] = {}
@@ -47,7 +48,7 @@ def automaton(items: list[tuple[str, bytes]], width: int):
         found.add_word(key, (len(key), sorted(who)))
     if len(found):
         found.make_automaton()
-    return found, number
+    return found, number, min((w.count(b" ") + 1 for w in owners), default=1)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -62,13 +63,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan(found, text: bytes) -> tuple[list[tuple[int, int]], set[str]]:
-    machine, number = found
+    machine, number, shortest = found
     words = text.translate(NORMAL).split()
     spans, items = [], set()
     if words and len(machine):
-        for last, (n, who) in machine.iter(tuple([number.get(w, 0) for w in words])):  # 0 is no window's word
-            spans.append((last - n + 1, last))
-            items.update(who)
+        ids = tuple(map(number.get, words, repeat(0)))  # 0 is no window's word
+        # A match lies in a run of the windows' words; only runs of the shortest window's length or more go through the automaton.
+        known = bytes(map(bool, ids))
+        at = known.find(b"\x01" * shortest)
+        while at >= 0:
+            end = known.find(0, at)
+            end = len(ids) if end < 0 else end
+            for last, (n, who) in machine.iter(ids[at:end]):
+                spans.append((at + last - n + 1, at + last))
+                items.update(who)
+            at = known.find(b"\x01" * shortest, end)
     return merged(spans), items
 
 
