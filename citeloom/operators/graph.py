@@ -27,11 +27,30 @@ def _pairs(doc_entity: DataFrame) -> DataFrame:
     return meet(doc_entity, ["entity"], "doc_id").select("src", "dst", "entity")
 
 
+def _classes(doc_entity: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Papers of one entity set are one class: (node, own) with the set, and (node, doc_id) with its papers; node is the least of them."""
+    sets = doc_entity.groupBy("doc_id").agg(F.array_sort(F.collect_set("entity")).alias("own"))
+    classes = sets.groupBy("own").agg(F.min("doc_id").alias("node"))
+    return classes.select("node", "own"), sets.join(classes, "own").select("node", "doc_id")
+
+
+def _expanded(between: DataFrame, within: DataFrame, members: DataFrame) -> DataFrame:
+    """src, dst, weight of papers: weights of pairs of classes for all their papers, and a class's own weight for the pairs inside it."""
+    a, b = members.select(F.col("node").alias("src"), F.col("doc_id").alias("x")), members.select(F.col("node").alias("dst"), F.col("doc_id").alias("y"))
+    outer = between.join(a, "src").join(b, "dst").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "weight")
+    inner = meet(members.withColumnRenamed("node", "cls"), ["cls"], "doc_id").join(within.withColumnRenamed("node", "cls"), "cls").select("src", "dst", "weight")
+    return outer.unionByName(inner)
+
+
 def shared_edges(doc_entity: DataFrame, max_df: int | None = None) -> DataFrame:
-    """src < dst and the number of entities that both have. max_df leaves out entities of more papers; by default none."""
+    """src < dst and the number of entities that both have. max_df leaves out entities of more papers; by default none.
+
+    Weights are counted for pairs of entity sets; papers of equal sets only multiply the rows, not the counting."""
     if max_df:
         doc_entity = doc_entity.join(doc_entity.groupBy("entity").count().where(F.col("count") <= max_df), "entity", "left_semi")
-    return _pairs(doc_entity).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    classes, members = _classes(doc_entity)
+    between = _pairs(classes.select(F.col("node").alias("doc_id"), F.explode("own").alias("entity"))).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return _expanded(between, classes.select("node", F.size("own").cast("long").alias("weight")), members)
 
 
 def strong_edges(doc_entity: DataFrame, least: int) -> DataFrame:
@@ -59,14 +78,18 @@ def shared_distribution(doc_entity: DataFrame) -> DataFrame:
     return between.unionByName(within).groupBy("weight").agg(F.sum("edges").alias("edges"))
 
 
-def _with_sizes(edges: DataFrame, doc_entity: DataFrame) -> DataFrame:
-    sizes = doc_entity.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return edges.join(sizes.select(F.col("doc_id").alias("src"), F.col("n").alias("n_src")), "src").join(sizes.select(F.col("doc_id").alias("dst"), F.col("n").alias("n_dst")), "dst")
+def _union_size(between: DataFrame, classes: DataFrame, shared: str) -> DataFrame:
+    """between with `whole`, the size of both sets together."""
+    n = classes.select("node", F.size("own").alias("n"))
+    both = between.join(n.select(F.col("node").alias("src"), F.col("n").alias("na")), "src").join(n.select(F.col("node").alias("dst"), F.col("n").alias("nb")), "dst")
+    return both.withColumn("whole", F.col("na") + F.col("nb") - F.col(shared))
 
 
 def jaccard_edges(doc_entity: DataFrame) -> DataFrame:
-    e = _with_sizes(shared_edges(doc_entity), doc_entity)
-    return e.select("src", "dst", (F.col("weight") / (F.col("n_src") + F.col("n_dst") - F.col("weight"))).alias("weight"))
+    classes, members = _classes(doc_entity)
+    between = _pairs(classes.select(F.col("node").alias("doc_id"), F.explode("own").alias("entity"))).groupBy("src", "dst").agg(F.count("*").alias("s"))
+    between = _union_size(between, classes, "s").select("src", "dst", (F.col("s") / F.col("whole")).alias("weight"))
+    return _expanded(between, classes.select("node", F.lit(1.0).alias("weight")), members)
 
 
 def dampened_edges(doc_entity: DataFrame, share: float = 0.2) -> DataFrame:
@@ -74,9 +97,12 @@ def dampened_edges(doc_entity: DataFrame, share: float = 0.2) -> DataFrame:
     n = doc_entity.agg(F.countDistinct("doc_id").alias("papers"))
     df = doc_entity.groupBy("entity").agg(F.count("*").alias("df")).join(F.broadcast(n))
     worth = df.select("entity", F.when(F.col("df") > F.floor(share * F.col("papers")), 1 / F.log2(F.col("df") + 1)).otherwise(1.0).alias("worth"))
-    e = _pairs(doc_entity).join(worth, "entity").groupBy("src", "dst").agg(F.sum("worth").alias("w"), F.count("*").alias("weight"))
-    e = _with_sizes(e, doc_entity)
-    return e.select("src", "dst", (F.col("w") / (F.col("n_src") + F.col("n_dst") - F.col("weight"))).alias("weight"))
+    classes, members = _classes(doc_entity)
+    entities = classes.select(F.col("node").alias("doc_id"), F.explode("own").alias("entity"))
+    between = _pairs(entities).join(worth, "entity").groupBy("src", "dst").agg(F.sum("worth").alias("w"), F.count("*").alias("s"))
+    between = _union_size(between, classes, "s").select("src", "dst", (F.col("w") / F.col("whole")).alias("weight"))
+    within = entities.join(worth, "entity").groupBy(F.col("doc_id").alias("node")).agg((F.sum("worth") / F.count("*")).alias("weight"))
+    return _expanded(between, within, members)
 
 
 def edge_origin(titles: DataFrame, both: DataFrame) -> DataFrame:
