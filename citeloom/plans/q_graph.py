@@ -32,7 +32,7 @@ def _join(df, n="top_entities"):
 STOP_SQL = ", ".join(f"'{w}'" for w in E.STOP_WORDS)
 EDGES = PE + ", e AS (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS weight FROM pe a JOIN pe b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM pe GROUP BY 1)"
 #: Vocabulary hits in a text, by words parted at anything that isn't a letter, digit or underscore.
-_HIT = "(contains(lower({t}), v.term) AND regexp_matches(lower({t}), '(^|[^\\p{{L}}\\p{{N}}_])' || v.pattern || '($|[^\\p{{L}}\\p{{N}}_])'))"
+_HIT = "CASE WHEN contains(lower({t}), v.term) THEN regexp_matches(lower({t}), '(^|[^\\p{{L}}\\p{{N}}_])' || v.pattern || '($|[^\\p{{L}}\\p{{N}}_])') ELSE false END"
 TITLE_SQL = (
     DP + ", v(rank, kind, term, pattern) AS (VALUES " + _lines(VOCABULARY) + "), hit AS (SELECT doc_id, term AS entity, kind, rank FROM dp, v WHERE " + _HIT.format(t="title") + "),"
     " w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(title, '[^\\p{L}\\p{N}_-]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9-]*'))) AS w FROM dp),"
