@@ -1,9 +1,14 @@
 """Plans and results that only differ from the plain way on larger or more lopsided tables."""
 
+import itertools
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from citeloom.operators import frontier as R
+from citeloom.operators import graph as G
 from citeloom.plans import corpora as K
 from citeloom.plans import registry
 
@@ -28,3 +33,33 @@ def test_trends_count_papers_that_have_entities(spark):
     entities = spark.createDataFrame([(d, e) for d, _ in [*rows, (901, 0)] for e in (["x", "y"] if d % 2 else ["x"])], "doc_id long, entity string")
     got = {r.entity: (r.freq, r.slope, r.m) for r in R.trends(entities, papers, papers.select("doc_id", F.lit("all").alias("cluster_id"))).collect()}
     assert got == {"x": (25, 0.0, 2), "y": (10, pytest.approx(0.0), 2)}
+
+
+def own_sets(rows):
+    own: dict = {}
+    for d, e in rows:
+        own.setdefault(d, set()).add(e)
+    return own
+
+
+def crowded(seed=4):
+    """Papers of few entity sets, so that classes are larger than a list that travels."""
+    rng = random.Random(seed)
+    sets = [["a", "b", "c"], ["a", "b", "d"], ["b", "c", "d", "e"], ["f"], ["a", "f"]]
+    return sorted({(i, e) for i in range(90) for e in sets[rng.randrange(5)]})
+
+
+def test_edges_of_crowded_classes(spark, monkeypatch):
+    monkeypatch.setattr(G, "CHUNK", 7)
+    rows = crowded()
+    own, df = own_sets(rows), spark.createDataFrame(rows, "doc_id long, entity string")
+    want = {(x, y): len(own[x] & own[y]) for x, y in itertools.combinations(sorted(own), 2) if own[x] & own[y]}
+    pairs = lambda found: sorted((r.src, r.dst, r.weight) for r in found.collect())
+    assert pairs(G.shared_edges(df)) == sorted((*k, v) for k, v in want.items())
+    assert pairs(G.strong_edges(df, 2)) == sorted((*k, v) for k, v in want.items() if v >= 2)
+    for edges, counted in ((G.jaccard_edges(df), G.jaccard_distribution(df)), (G.dampened_edges(df, 0.3), G.dampened_distribution(df, 0.3))):
+        assert {r.weight: r.edges for r in counted.groupBy(F.round("weight", 9).alias("weight")).agg(F.sum("edges").alias("edges")).collect()} == Counter(round(r.weight, 9) for r in edges.collect())
+    titles = df.where("entity not in ('a', 'f')")
+    w = {k: len((own[k[0]] & own[k[1]]) - {"a", "f"}) for k in want}
+    kinds = Counter("abstract_new" if not w[k] else "title_only" if w[k] == v else "mixed" for k, v in want.items())
+    assert {r.origin: r.n for r in G.edge_origin(titles, df).collect()} == kinds and len(kinds) == 3
