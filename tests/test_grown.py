@@ -72,3 +72,26 @@ def test_share_of_background_terms_can_be_fixed(spark):
     m = spark.range(1200).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 20).cast("string").alias("cluster_id"))
     terms = lambda **o: {r.entity for r in R.background_terms(df, m, **o).collect()}
     assert terms() == {"all", "tenth"} and terms(fixed=True) == {"all"}
+
+
+def test_redundancy_over_a_half_is_that_of_all_pairs(spark):
+    rng = random.Random(5)
+    entities = sorted({(d, rng.choice("abc")) for d in range(40) for _ in range(2)})
+    refs = sorted({(d, rng.randrange(4)) for d in range(36) for _ in range(3)})
+    e, r, m = own_sets(entities), own_sets(refs), {d: str(d % 2) for d in range(40)}
+    share = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    score = {(a, b): (share(e[a], e[b]) + share(r.get(a, set()), r.get(b, set()))) / 2 for a, b in itertools.combinations(range(40), 2) if m[a] == m[b]}
+    de, rf, ms = spark.createDataFrame(entities, "doc_id long, entity string"), spark.createDataFrame(refs, "doc_id long, ref long"), spark.createDataFrame(list(m.items()), "doc_id long, cluster_id string")
+    for t in (0.3, 0.55):
+        found = R.redundancy(de, rf, ms, t)
+        assert {(x.doc_a, x.doc_b) for x in found.collect()} == {k for k, v in score.items() if v > t}
+    assert "FullOuter" not in plan_of(found)
+
+
+def test_axes_that_do_not_vary_have_no_correlation(spark, duck):
+    m = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "doc_id long, cluster_id string")
+    kind = "cluster_id string, doc_a long, doc_b long, entity_jaccard double, biblio_coupling double"
+    for rows in ([("a", 1, 2, 1.0, 0.1), ("a", 1, 3, 1.0, 0.2)], []):
+        sql = f"SELECT coalesce(corr(x, y), 0) FROM (SELECT NULL::DOUBLE AS x, NULL::DOUBLE AS y WHERE false {' '.join(f'UNION ALL SELECT {r[3]}, {r[4]}' for r in rows)})"
+        got, want = R.redundancy_summary(spark.createDataFrame(rows, kind), m).first().axis_correlation, duck.execute(sql).fetchone()[0]
+        assert got == want or (got != got and want != want)
