@@ -67,7 +67,7 @@ def _leaf_pipeline(s, d):
     """Sub-clusters of every type, then their bridges, those between siblings left out by br_leaf's rule."""
     p = K.part_types(s, d)
     cells = K.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_brand").alias("entity"))
-    leaf = U.with_sub_clusters(p, U.sub_clusters(p, G.shared_edges(cells), "ECONOMY", 1.0, 1))
+    leaf = U.with_sub_clusters(p, U.entity_sub_clusters(p, cells, "ECONOMY", 1.0, 1))
     return R.bridges(K.part_entities(s, d), leaf, None).select("cluster_a", "cluster_b", "entity_jaccard", "shared_count")
 
 

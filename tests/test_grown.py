@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom.operators import communities as U
 from citeloom.operators import frontier as R
 from citeloom.operators import graph as G
 from citeloom.plans import corpora as K
@@ -95,3 +96,15 @@ def test_axes_that_do_not_vary_have_no_correlation(spark, duck):
         sql = f"SELECT coalesce(corr(x, y), 0) FROM (SELECT NULL::DOUBLE AS x, NULL::DOUBLE AS y WHERE false {' '.join(f'UNION ALL SELECT {r[3]}, {r[4]}' for r in rows)})"
         got, want = R.redundancy_summary(spark.createDataFrame(rows, kind), m).first().axis_correlation, duck.execute(sql).fetchone()[0]
         assert got == want or (got != got and want != want)
+
+
+def test_twins_part_in_no_community(spark):
+    rows = [(i, e) for i in range(60) for e in ([f"x{i // 20}", f"y{i // 10}"])] + [(i, "hub") for i in range(0, 60, 20)]
+    df, v = spark.createDataFrame(rows, "doc_id long, entity string"), spark.range(61).withColumnRenamed("id", "doc_id")
+    members, edges = G.twins(df)
+    assert edges.agg(F.sum("weight")).first()[0] == G.shared_edges(df).agg(F.sum("weight")).first()[0] and members.select("node").distinct().count() == 9
+    groups = lambda d: sorted(sorted(r.doc_id for r in x) for _, x in itertools.groupby(sorted(d.collect(), key=lambda r: r.cluster_id), key=lambda r: r.cluster_id))
+    assert groups(U.entity_communities(v, df, 1.0, 1)) == groups(U.communities(v, G.shared_edges(df), 1.0, 1)) == sorted([list(range(20)), list(range(20, 40)), list(range(40, 60)), [60]])
+    assert G.twins(df, 50.0)[0].where("node <> doc_id").isEmpty()  # at this resolution twins may part
+    comps = lambda e: {r.doc_id: r.component for r in U.connected(v, e).collect()}
+    assert comps(G.stars(df)) == comps(G.shared_edges(df))
