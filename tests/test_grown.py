@@ -128,3 +128,13 @@ def test_links_of_grown_parts_round_as_the_sql(spark, tmp_path):
     twin.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     query, sql = registry.QUERIES["vw_bridges"]
     assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(twin.execute(sql).fetchall())
+
+
+def test_labels_of_groups_walk_without_edges(spark):
+    rng = random.Random(8)
+    groups = spark.createDataFrame([(i, f"g{rng.randrange(9)}" if i > 3 else f"alone{i}") for i in range(60)], "doc_id long, entity string")
+    v = spark.range(62).withColumnRenamed("id", "doc_id")
+    for rounds in (1, 2, 4):
+        got, want = (sorted(map(tuple, d.collect())) for d in (U.group_label_propagation(v, groups, rounds), U.label_propagation(v, G.shared_edges(groups), rounds)))
+        assert got == want
+    assert "doc_a" not in (plan := plan_of(registry.QUERIES["cl_label_propagation"][0](spark, "/root/testdata/sf0.001"))) and "MapIn" not in plan and "FlatMap" not in plan
