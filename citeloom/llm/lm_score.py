@@ -6,8 +6,8 @@ classes of tokens that end alike, then the tokens of a class. Tokens with enough
 as contexts and as targets; the count asked for grows with the square root of the corpus, so the vocabulary grows
 with it. The tail falls into classes by its endings, inside which a token has its smoothed share of the counts.
 
-Map tasks train: each runs stochastic gradient steps in numpy over its own texts with noise drawn from the unigram,
-and the tasks' changes are averaged row by row, for a fixed number of rounds. Scores are normalised on both levels
+Map tasks train: each runs stochastic gradient steps in numpy over every position of its own texts, with noise drawn from
+the unigram, and the tasks' changes are averaged row by row, for a fixed number of rounds that share the texts out. Scores are normalised on both levels
 by batched matrix products. Token counts cover all training texts; those of frequent tokens are broadcast in a
 table of bounded size, those of the rest are joined. Tokens are known by 64-bit hashes.
 """
@@ -15,6 +15,7 @@ table of bounded size, those of the rest are joined. Tokens are known by 64-bit
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,10 +37,10 @@ FREQUENT, VECTORS, WIDTH = 300_000, 131_072, 16
 POSITIONS, TAILS = 3, 64
 #: A token has a vector from this many counts, and from the square root of all counts divided by that.
 LEAST, ROOT_SHARE = 5, 25
-#: Share of the positions of every training text that a round draws, rounds, positions in a step, learning rate.
-SHARE, ROUNDS, STEP, RATE = 0.1, 2, 512, 0.2
+#: Rounds (every position of every training text is learned from in one of them), positions in a step, learning rate.
+ROUNDS, STEP, RATE = 2, 2048, 0.1
 #: Noise classes for a step, noise tokens for a position.
-NOISE_CLASSES, NOISE_TOKENS = 48, 5
+NOISE_CLASSES, NOISE_TOKENS = 32, 3
 #: Distinct tokens that a map task counts before it hands them on.
 HELD = 500_000
 ALPHA = 0.1
@@ -172,7 +173,11 @@ def hidden(p: np.ndarray, v: Vocabulary, context: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place of x."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -183,51 +188,78 @@ class Trainer:
         self.squares, self.touched = np.full(len(p), 1.0, np.float32), np.zeros(len(p), np.float32)
         self.class_upto, self.class_log, self.token_log = np.cumsum(v.share), np.log(NOISE_CLASSES * v.share).astype(np.float32), np.log(NOISE_TOKENS * np.maximum(v.own_share, 1e-300)).astype(np.float32)
 
+    def add(self, ids: np.ndarray, grads: np.ndarray, width: int) -> None:
+        """Move rows along the sums of their gradients; ids in rising order, grads of the first columns up to width."""
+        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        rows, total = ids[cuts], np.add.reduceat(grads, cuts, axis=0)
+        self.squares[rows] += np.einsum("ij,ij->i", total, total) / (WIDTH + 1)
+        total *= (RATE / np.sqrt(self.squares[rows]))[:, None]
+        self.p[rows, :width] += total
+        self.touched[rows] += np.diff(np.append(cuts, len(ids)))
+
     def step(self, context: np.ndarray, cls: np.ndarray, target: np.ndarray) -> None:
-        p, v = self.p, self.v
-        h = hidden(p, v, context)
-        noise = np.minimum(np.searchsorted(self.class_upto, self.rng.random(NOISE_CLASSES)), len(v.share) - 1)
+        """One step; positions in order of their classes."""
+        p, v, n = self.p, self.v, len(cls)
+        near = [p[context[:, k], :WIDTH] for k in range(POSITIONS)]
+        weights = p[v.at_position : v.at_position + POSITIONS, :WIDTH].copy()
+        h = near[0] * weights[0]
+        for k in range(1, POSITIONS):
+            h += near[k] * weights[k]
+        noise = np.sort(np.minimum(np.searchsorted(self.class_upto, self.rng.random(NOISE_CLASSES)), len(v.share) - 1))
         own, other = p[v.at_class + cls], p[v.at_class + noise]
-        g_own = _sigmoid(-((h * own[:, :WIDTH]).sum(1) + own[:, WIDTH] - self.class_log[cls]))
-        g_other = -_sigmoid(h @ other[:, :WIDTH].T + other[:, WIDTH] - self.class_log[noise])
-        dh = g_own[:, None] * own[:, :WIDTH] + g_other @ other[:, :WIDTH]
-        ids = [v.at_class + cls, v.at_class + noise]
-        grads = [np.column_stack([g_own[:, None] * h, g_own]), np.column_stack([g_other.T @ h, g_other.sum(0)])]
-        real = np.flatnonzero(target >= 0)
-        if len(real):
-            t, hr = target[real], h[real]
-            low, high = v.upto[v.bounds[v.cls[t]]], v.upto[v.bounds[v.cls[t] + 1]]
-            drawn = np.searchsorted(v.upto, low[:, None] + self.rng.random((len(t), NOISE_TOKENS)) * (high - low)[:, None], "right") - 1
-            rows = np.column_stack([t, np.clip(drawn, v.bounds[v.cls[t]][:, None], v.bounds[v.cls[t] + 1][:, None] - 1)])
+        g = np.empty((n, WIDTH + 1), np.float32)
+        g[:, WIDTH] = _sigmoid(self.class_log[cls] - np.einsum("bd,bd->b", h, own[:, :WIDTH]) - own[:, WIDTH])
+        scores = h @ other[:, :WIDTH].T
+        scores += other[:, WIDTH] - self.class_log[noise]
+        g_other = _sigmoid(scores)
+        dh = g[:, WIDTH:] * own[:, :WIDTH] - g_other @ other[:, :WIDTH]
+        np.multiply(g[:, WIDTH:], h, out=g[:, :WIDTH])
+        against = np.column_stack([g_other.T @ h, g_other.sum(0)])
+        first = np.flatnonzero(target >= 0)
+        if len(first):
+            t, hr = target[first], h[first]
+            low, high = v.bounds[cls[first]], v.bounds[cls[first] + 1]
+            from_, to = v.upto[low], v.upto[high]
+            drawn = np.searchsorted(v.upto, from_[:, None] + self.rng.random((len(t), NOISE_TOKENS)) * (to - from_)[:, None], "right") - 1
+            rows = np.column_stack([t, np.clip(drawn, low[:, None], high[:, None] - 1)])
             vectors = p[v.at_token + rows]
-            g = -_sigmoid(np.einsum("bd,bjd->bj", hr, vectors[:, :, :WIDTH]) + vectors[:, :, WIDTH] - self.token_log[rows])
-            g[:, 0] += 1
-            dh[real] += np.einsum("bj,bjd->bd", g, vectors[:, :, :WIDTH])
-            ids.append(v.at_token + rows.ravel())
-            grads.append(np.concatenate([g[:, :, None] * hr[:, None, :], g[:, :, None]], 2).reshape(-1, WIDTH + 1))
-        for k in range(POSITIONS):
-            ids += [context[:, k], np.array([v.at_position + k])]
-            grads += [np.column_stack([dh * p[v.at_position + k, :WIDTH], np.zeros(len(dh), np.float32)]), np.append((dh * p[context[:, k], :WIDTH]).sum(0), 0)[None]]
-        all_ids = np.concatenate(ids)
-        order = np.argsort(all_ids, kind="stable")
-        all_ids = all_ids[order]
-        cuts = np.flatnonzero(np.concatenate([[True], all_ids[1:] != all_ids[:-1]]))
-        rows, total = all_ids[cuts], np.add.reduceat(np.concatenate(grads).astype(np.float32, copy=False)[order], cuts, axis=0)
-        self.squares[rows] += (total * total).mean(1)
-        p[rows] += RATE * total / np.sqrt(self.squares[rows])[:, None]
-        self.touched[rows] += np.diff(np.append(cuts, len(all_ids)))
+            slopes = np.einsum("bjd,bd->bj", vectors[:, :, :WIDTH], hr)
+            slopes += vectors[:, :, WIDTH] - self.token_log[rows]
+            slopes = -_sigmoid(slopes)
+            slopes[:, 0] += 1
+            dh[first] += np.einsum("bj,bjd->bd", slopes, vectors[:, :, :WIDTH])
+            ids = rows.ravel()
+            order = np.argsort(ids)
+            at = order // (NOISE_TOKENS + 1)
+            moves = np.empty((len(ids), WIDTH + 1), np.float32)
+            moves[:, WIDTH] = slopes.ravel()[order]
+            np.multiply(hr[at], moves[:, WIDTH:], out=moves[:, :WIDTH])
+            self.add(v.at_token + ids[order], moves, WIDTH + 1)
+        self.add(v.at_class + cls, g, WIDTH + 1)
+        self.add(v.at_class + noise, -against, WIDTH + 1)
+        self.add(v.at_position + np.arange(POSITIONS), np.stack([np.einsum("bd,bd->d", dh, x) for x in near]), WIDTH)
+        ids = context.T.ravel()
+        order = np.argsort(ids)
+        moves = np.concatenate([dh * w for w in weights])[order]
+        self.add(ids[order], moves, WIDTH)
 
     def learn(self, texts: list[bytes], places: Places) -> None:
+        """Learn from every position of the texts."""
         t = tokens_of(texts)
         _, target, context = self.v.numbers(places, t)
         cls = self.v.classes_of(target, t.endings)
-        drawn = np.flatnonzero(self.rng.random(len(target)) < SHARE)
-        self.rng.shuffle(drawn)
-        for at in range(0, len(drawn), STEP):
-            part = drawn[at : at + STEP]
+        mixed = self.rng.permutation(len(target))
+        for at in range(0, len(mixed), STEP):
+            part = mixed[at : at + STEP]
+            part = part[np.argsort(cls[part])]
             self.step(context[part], cls[part], target[part])
 
 
+def taught(texts: list[bytes], turn: int) -> list[bytes]:
+    """The texts that a round learns from: each text in one of the rounds, by its own bytes."""
+    return [x for x in texts if zlib.crc32(x) % ROUNDS == turn]
+
+
 def _places(key: str, v: Vocabulary) -> Places:
     def make() -> Places:
         places = Places()
@@ -251,7 +283,7 @@ def train(training: DataFrame, vocabulary, key: str) -> np.ndarray:
             v, places = vocabulary.value, _places(key, vocabulary.value)
             trainer = Trainer(shared.value, v, [turn, TaskContext.get().partitionId()])
             for part in pieces(batches, ROWS, SIZE):
-                trainer.learn(raw_bytes(part.column(1)), places)
+                trainer.learn(taught(raw_bytes(part.column(1)), turn), places)
             rows = np.flatnonzero(trainer.touched)
             change = (trainer.p[rows] - shared.value[rows]) * trainer.touched[rows, None]
             for at in range(0, len(rows), 50_000):
@@ -269,31 +301,40 @@ def train(training: DataFrame, vocabulary, key: str) -> np.ndarray:
 def log_probabilities(p: np.ndarray, v: Vocabulary, context: np.ndarray, cls: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural logarithms of each token's probability: its class's after the context, and, if it has a vector, its own in the class."""
     out = np.empty(len(cls))
-    a, offsets = np.ascontiguousarray(p[v.at_class : v.at_token, :WIDTH].T), p[v.at_class : v.at_token, WIDTH]
 
-    def picked(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def with_one(context: np.ndarray) -> np.ndarray:
+        h = np.ones((len(context), WIDTH + 1), np.float32)
+        h[:, :WIDTH] = hidden(p, v, context)
+        return h
+
+    def columns(low: int, high: int) -> tuple[np.ndarray, float]:
+        """Rows as columns, their offsets last, and the greatest length of one."""
+        a = np.ascontiguousarray(p[low:high].T)
+        return a, float(np.sqrt(np.einsum("ij,ij->j", a, a).max(initial=0)))
+
+    def picked(h: np.ndarray, a: np.ndarray, longest: float, at: np.ndarray) -> np.ndarray:
+        scores = h @ a
         own = scores[np.arange(len(at)), at].astype(np.float64)
-        np.minimum(scores, 80, out=scores)  # far beyond what training reaches, within what exp can hold
+        if longest * np.sqrt(np.einsum("ij,ij->i", h, h).max(initial=0)) > 80:  # no product is beyond that of the lengths
+            np.minimum(scores, 80, out=scores)  # far beyond what training reaches, within what exp can hold
         return own - np.log(np.exp(scores, out=scores).sum(1))
 
     # Blocks small enough for a core's cache.
+    a, longest = columns(v.at_class, v.at_token)
     for at in range(0, len(cls), BLOCK):
         part = slice(at, at + BLOCK)
-        scores = hidden(p, v, context[part]) @ a
-        scores += offsets
-        out[part] = picked(scores, cls[part])
+        out[part] = picked(with_one(context[part]), a, longest, cls[part])
     real = np.flatnonzero(target >= 0)
     real = real[np.argsort(cls[real], kind="stable")]
-    h = hidden(p, v, context[real])
+    h = with_one(context[real])
     cuts = np.searchsorted(cls[real], np.arange(len(v.bounds)))
     for c in range(len(v.bounds) - 1):
-        low, high = v.at_token + v.bounds[c], v.at_token + v.bounds[c + 1]
-        own, shift = np.ascontiguousarray(p[low:high, :WIDTH].T), p[low:high, WIDTH]
+        if cuts[c] == cuts[c + 1]:
+            continue
+        own, longest = columns(v.at_token + v.bounds[c], v.at_token + v.bounds[c + 1])
         for at in range(cuts[c], cuts[c + 1], BLOCK):
             part = slice(at, min(at + BLOCK, cuts[c + 1]))
-            scores = h[part] @ own
-            scores += shift
-            out[real[part]] += picked(scores, target[real[part]] - v.bounds[c])
+            out[real[part]] += picked(h[part], own, longest, target[real[part]] - v.bounds[c])
     return out
 
 

@@ -361,6 +361,19 @@ def small_model():
     return names, v, rng.normal(0, 0.5, (v.rows, lm_score.WIDTH + 1)).astype(np.float32)
 
 
+def test_lm_learns_from_every_position_once():
+    names, v, p = small_model()
+    texts = [b" ".join(names[i % 40] for i in range(k, k + 30)) for k in range(50)]
+    places = pretokens.Places()
+    places.add(v.keys)
+    used = 0
+    for turn in range(lm_score.ROUNDS):
+        trainer = lm_score.Trainer(p, v, [turn, 0])
+        trainer.learn(lm_score.taught(texts, turn), places)
+        used += trainer.touched[: v.at_class].sum()
+    assert used == lm_score.POSITIONS * len(lm_score.tokens_of(texts).keys)
+
+
 def test_probabilities_are_normalised_and_plain():
     names, v, p = small_model()
     places = pretokens.Places()
