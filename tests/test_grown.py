@@ -138,3 +138,14 @@ def test_labels_of_groups_walk_without_edges(spark):
         got, want = (sorted(map(tuple, d.collect())) for d in (U.group_label_propagation(v, groups, rounds), U.label_propagation(v, G.shared_edges(groups), rounds)))
         assert got == want
     assert "doc_a" not in (plan := plan_of(registry.QUERIES["cl_label_propagation"][0](spark, "/root/testdata/sf0.001"))) and "MapIn" not in plan and "FlatMap" not in plan
+
+
+def test_sweep_makes_no_edge_of_papers(spark, monkeypatch):
+    # Cluster a: three groups of twins in a chain; b: groups of two sizes; c: papers without a common entity.
+    rows = [(i, e) for i in range(60) for e in ([f"x{i // 20}", f"y{i // 10}"])] + [(i, "hub") for i in range(0, 60, 20)] + [(100 + i, f"z{i // 12}") for i in range(30)] + [(200, "p"), (201, "q"), (300, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, entity string")
+    m = spark.createDataFrame([(i, "abcd"[i // 100]) for i in sorted({i for i, _ in rows} | {202})], "doc_id long, cluster_id string")
+    got, want = ({r.cluster_id: r.resolution for r in x.collect()} for x in (U.entity_sweeps(m, df, [1.0, 1.5, 4.0], 21.0), U.sweeps(m, G.shared_edges(df), [1.0, 1.5, 4.0], 21.0)))
+    assert got == want == {"a": 1.0, "b": 1.0, "c": 1.0}
+    monkeypatch.setattr(G, "_expanded", lambda *a: pytest.fail("edges of papers are made"))
+    assert registry.QUERIES["cl_sweep"][0](spark, "/root/testdata/sf0.001").count() == 4
