@@ -2,11 +2,15 @@
 
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from citeloom.functions import stats as S
@@ -130,6 +134,34 @@ def test_links_of_grown_parts_round_as_the_sql(spark, tmp_path):
     assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(twin.execute(sql).fetchall())
 
 
+@pytest.fixture(scope="module")
+def many_clusters(spark, tmp_path_factory):
+    """Parts of sf0.01 six times: 150 cells of 20 papers or more."""
+    folder = str(tmp_path_factory.mktemp("six"))
+    spark.read.parquet("/root/testdata/sf0.01/part.parquet").crossJoin(spark.range(6)).withColumn("p_partkey", F.col("p_partkey") + 2000 * F.col("id")).drop("id").coalesce(1).write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["br_gaps"])
+def test_bridges_of_many_clusters_are_those_of_the_sql(spark, many_clusters, name):
+    twin = duckdb.connect()
+    twin.execute(f"CREATE VIEW part AS SELECT * FROM '{many_clusters}/part.parquet/*.parquet'")
+    query, sql = registry.QUERIES[name]
+    found = twin.execute(sql)
+    names = [c[0] for c in found.description]
+    want = sorted(found.fetchall())
+    assert len(want) > 375 and sorted(map(tuple, query(spark, many_clusters).select(*names).collect())) == want
+
+
+def test_logarithm_needs_no_package_on_the_workers(monkeypatch):
+    sent = []
+    monkeypatch.setattr(S.F, "udf", lambda f, *_, **__: sent.append(cloudpickle.dumps(f)) or (lambda c: c))
+    S.natural_log(F.col)
+    code = "import pickle, sys; print(pickle.load(sys.stdin.buffer)(8.0))"
+    there = subprocess.run([sys.executable, "-c", code], input=sent[0], capture_output=True, cwd="/", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert there.stdout.decode().strip() == str(math.log(8.0))
+
+
 def test_labels_of_groups_walk_without_edges(spark):
     rng = random.Random(8)
     groups = spark.createDataFrame([(i, f"g{rng.randrange(9)}" if i > 3 else f"alone{i}") for i in range(60)], "doc_id long, entity string")
