@@ -142,7 +142,7 @@ def many_clusters(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["br_gaps", "br_leaf", "br_otr", "br_prevalence_otr"])
+@pytest.mark.parametrize("name", ["br_gaps", "br_leaf", "br_otr", "br_prevalence_otr", "fr_bridges"])
 def test_bridges_of_many_clusters_are_those_of_the_sql(spark, many_clusters, name):
     twin = duckdb.connect()
     twin.execute(f"CREATE VIEW part AS SELECT * FROM '{many_clusters}/part.parquet/*.parquet'")
