@@ -165,13 +165,6 @@ class Vocabulary:
         return np.where(target >= 0, self.cls[np.maximum(target, 0)], tail) if self.n else tail
 
 
-def hidden(p: np.ndarray, v: Vocabulary, context: np.ndarray) -> np.ndarray:
-    h = p[context[:, 0]] * p[v.at_position]
-    for k in range(1, POSITIONS):
-        h += p[context[:, k]] * p[v.at_position + k]
-    return np.ascontiguousarray(h[:, :WIDTH])
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place of x."""
     np.clip(x, -30, 30, out=x)
@@ -181,67 +174,69 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Stochastic gradient ascent of the noise-contrastive objective, steps scaled by each row's gradients so far."""
+    """Stochastic gradient ascent of the noise-contrastive objective, steps scaled by each row's gradients so far.
+
+    A step's rows are turned to columns, so that every operation runs along all its positions."""
 
     def __init__(self, p: np.ndarray, v: Vocabulary, seed: list[int]):
         self.p, self.v, self.rng = p.copy(), v, np.random.default_rng(seed)
-        self.squares, self.touched = np.full(len(p), 1.0, np.float32), np.zeros(len(p), np.float32)
+        self.squares, self.touched, self.place = np.full(len(p), 1.0, np.float32), np.zeros(len(p), np.float32), np.zeros(len(p), np.int64)
         self.class_upto, self.class_log, self.token_log = np.cumsum(v.share), np.log(NOISE_CLASSES * v.share).astype(np.float32), np.log(NOISE_TOKENS * np.maximum(v.own_share, 1e-300)).astype(np.float32)
 
-    def add(self, ids: np.ndarray, grads: np.ndarray, width: int) -> None:
-        """Move rows along the sums of their gradients; ids in rising order, grads of the first columns up to width."""
-        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        rows, total = ids[cuts], np.add.reduceat(grads, cuts, axis=0)
-        self.squares[rows] += np.einsum("ij,ij->i", total, total) / (WIDTH + 1)
-        total *= (RATE / np.sqrt(self.squares[rows]))[:, None]
-        self.p[rows, :width] += total
-        self.touched[rows] += np.diff(np.append(cuts, len(ids)))
+    def add(self, ids: np.ndarray, grads: np.ndarray) -> None:
+        """Move rows along the sums of their gradients, which are given by column."""
+        times = np.bincount(ids)
+        rows = np.flatnonzero(times > 0)
+        self.place[rows] = np.arange(len(rows))
+        at = self.place[ids]
+        total = np.empty((len(grads), len(rows)), np.float32)
+        for out, g in zip(total, grads, strict=True):
+            out[:] = np.bincount(at, g, len(rows))
+        squares = self.squares[rows] + np.einsum("ij,ij->j", total, total) / (WIDTH + 1)
+        self.squares[rows] = squares
+        total *= RATE / np.sqrt(squares)
+        self.p[rows] += total.T
+        self.touched[rows] += times[rows]
 
     def step(self, context: np.ndarray, cls: np.ndarray, target: np.ndarray) -> None:
-        """One step; positions in order of their classes."""
-        p, v, n = self.p, self.v, len(cls)
-        near = [p[context[:, k], :WIDTH] for k in range(POSITIONS)]
-        weights = p[v.at_position : v.at_position + POSITIONS, :WIDTH].copy()
-        h = near[0] * weights[0]
+        """One step; positions in order of their classes, so that those with a target come first."""
+        v, n, m = self.v, len(cls), int(np.count_nonzero(target >= 0))
+        noise = np.minimum(np.searchsorted(self.class_upto, self.rng.random(NOISE_CLASSES)), len(v.share) - 1)
+        parts = [v.at_class + cls, v.at_class + noise, v.at_position + np.arange(POSITIONS), np.ascontiguousarray(context.T).ravel()]
+        if m:
+            low, high = v.bounds[cls[:m]], v.bounds[cls[:m] + 1]
+            from_, to = v.upto[low], v.upto[high]
+            drawn = np.searchsorted(v.upto, from_ + self.rng.random((NOISE_TOKENS, m)) * (to - from_), "right") - 1
+            tokens = np.concatenate([target[None, :m], np.clip(drawn, low, high - 1)])
+            parts.append(v.at_token + tokens.ravel())
+        ids, cuts = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        rows = np.ascontiguousarray(np.take(self.p, ids, axis=0, mode="clip").T)  # no id is out of bounds; other modes are slower
+        moves = np.zeros_like(rows)
+        own, other, weights = rows[:, :n], rows[:, n : cuts[1]], rows[:WIDTH, cuts[1] : cuts[2], None]
+        near = rows[:WIDTH, cuts[2] : cuts[3]].reshape(WIDTH, POSITIONS, n)
+        h = near[:, 0] * weights[:, 0]
         for k in range(1, POSITIONS):
-            h += near[k] * weights[k]
-        noise = np.sort(np.minimum(np.searchsorted(self.class_upto, self.rng.random(NOISE_CLASSES)), len(v.share) - 1))
-        own, other = p[v.at_class + cls], p[v.at_class + noise]
-        g = np.empty((n, WIDTH + 1), np.float32)
-        g[:, WIDTH] = _sigmoid(self.class_log[cls] - np.einsum("bd,bd->b", h, own[:, :WIDTH]) - own[:, WIDTH])
-        scores = h @ other[:, :WIDTH].T
-        scores += other[:, WIDTH] - self.class_log[noise]
+            h += near[:, k] * weights[:, k]
+        g = moves[:, :n]
+        g[WIDTH] = _sigmoid(self.class_log[cls] - (h * own[:WIDTH]).sum(0) - own[WIDTH])
+        scores = other[:WIDTH].T @ h
+        scores += (other[WIDTH] - self.class_log[noise])[:, None]
         g_other = _sigmoid(scores)
-        dh = g[:, WIDTH:] * own[:, :WIDTH] - g_other @ other[:, :WIDTH]
-        np.multiply(g[:, WIDTH:], h, out=g[:, :WIDTH])
-        against = np.column_stack([g_other.T @ h, g_other.sum(0)])
-        first = np.flatnonzero(target >= 0)
-        if len(first):
-            t, hr = target[first], h[first]
-            low, high = v.bounds[cls[first]], v.bounds[cls[first] + 1]
-            from_, to = v.upto[low], v.upto[high]
-            drawn = np.searchsorted(v.upto, from_[:, None] + self.rng.random((len(t), NOISE_TOKENS)) * (to - from_)[:, None], "right") - 1
-            rows = np.column_stack([t, np.clip(drawn, low[:, None], high[:, None] - 1)])
-            vectors = p[v.at_token + rows]
-            slopes = np.einsum("bjd,bd->bj", vectors[:, :, :WIDTH], hr)
-            slopes += vectors[:, :, WIDTH] - self.token_log[rows]
+        dh = g[WIDTH] * own[:WIDTH] - other[:WIDTH] @ g_other
+        np.multiply(g[WIDTH], h, out=g[:WIDTH])
+        moves[:WIDTH, n : cuts[1]], moves[WIDTH, n : cuts[1]] = -(h @ g_other.T), -g_other.sum(1)
+        if m:
+            vectors, out, hr = rows[:, cuts[3] :].reshape(WIDTH + 1, -1, m), moves[:, cuts[3] :].reshape(WIDTH + 1, -1, m), h[:, None, :m]
+            slopes = (vectors[:WIDTH] * hr).sum(0)
+            slopes += vectors[WIDTH] - self.token_log[tokens]
             slopes = -_sigmoid(slopes)
-            slopes[:, 0] += 1
-            dh[first] += np.einsum("bj,bjd->bd", slopes, vectors[:, :, :WIDTH])
-            ids = rows.ravel()
-            order = np.argsort(ids)
-            at = order // (NOISE_TOKENS + 1)
-            moves = np.empty((len(ids), WIDTH + 1), np.float32)
-            moves[:, WIDTH] = slopes.ravel()[order]
-            np.multiply(hr[at], moves[:, WIDTH:], out=moves[:, :WIDTH])
-            self.add(v.at_token + ids[order], moves, WIDTH + 1)
-        self.add(v.at_class + cls, g, WIDTH + 1)
-        self.add(v.at_class + noise, -against, WIDTH + 1)
-        self.add(v.at_position + np.arange(POSITIONS), np.stack([np.einsum("bd,bd->d", dh, x) for x in near]), WIDTH)
-        ids = context.T.ravel()
-        order = np.argsort(ids)
-        moves = np.concatenate([dh * w for w in weights])[order]
-        self.add(ids[order], moves, WIDTH)
+            slopes[0] += 1
+            dh[:, :m] += (vectors[:WIDTH] * slopes).sum(1)
+            np.multiply(hr, slopes, out=out[:WIDTH])
+            out[WIDTH] = slopes
+        moves[:WIDTH, cuts[1] : cuts[2]] = np.einsum("db,dkb->dk", dh, near)
+        np.multiply(dh[:, None], weights, out=moves[:WIDTH, cuts[2] : cuts[3]].reshape(WIDTH, POSITIONS, n))
+        self.add(ids, moves)
 
     def learn(self, texts: list[bytes], places: Places) -> None:
         """Learn from every position of the texts."""
@@ -302,10 +297,18 @@ def log_probabilities(p: np.ndarray, v: Vocabulary, context: np.ndarray, cls: np
     """Natural logarithms of each token's probability: its class's after the context, and, if it has a vector, its own in the class."""
     out = np.empty(len(cls))
 
-    def with_one(context: np.ndarray) -> np.ndarray:
-        h = np.ones((len(context), WIDTH + 1), np.float32)
-        h[:, :WIDTH] = hidden(p, v, context)
-        return h
+    # Contexts times their positions' weights, and a 1 for the offset: their sums are rows of h.
+    near = [p[: v.at_class] * p[v.at_position + k] for k in range(POSITIONS)]
+    for k, a in enumerate(near):
+        a[:, WIDTH] = k == 0
+    h, lengths = np.empty((len(cls), WIDTH + 1), np.float32), 0.0
+    for at in range(0, len(cls), BLOCK):
+        part = slice(at, at + BLOCK)
+        some = np.take(near[0], context[part, 0], axis=0, out=h[part], mode="clip")
+        for k in range(1, POSITIONS):
+            some += np.take(near[k], context[part, k], axis=0, mode="clip")
+        lengths = max(lengths, float(np.einsum("ij,ij->i", some, some).max()))
+    lengths = np.sqrt(lengths)
 
     def columns(low: int, high: int) -> tuple[np.ndarray, float]:
         """Rows as columns, their offsets last, and the greatest length of one."""
@@ -315,18 +318,18 @@ def log_probabilities(p: np.ndarray, v: Vocabulary, context: np.ndarray, cls: np
     def picked(h: np.ndarray, a: np.ndarray, longest: float, at: np.ndarray) -> np.ndarray:
         scores = h @ a
         own = scores[np.arange(len(at)), at].astype(np.float64)
-        if longest * np.sqrt(np.einsum("ij,ij->i", h, h).max(initial=0)) > 80:  # no product is beyond that of the lengths
+        if longest * lengths > 80:  # no product is beyond that of the lengths
             np.minimum(scores, 80, out=scores)  # far beyond what training reaches, within what exp can hold
-        return own - np.log(np.exp(scores, out=scores).sum(1))
+        return own - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
 
     # Blocks small enough for a core's cache.
     a, longest = columns(v.at_class, v.at_token)
     for at in range(0, len(cls), BLOCK):
         part = slice(at, at + BLOCK)
-        out[part] = picked(with_one(context[part]), a, longest, cls[part])
+        out[part] = picked(h[part], a, longest, cls[part])
     real = np.flatnonzero(target >= 0)
     real = real[np.argsort(cls[real], kind="stable")]
-    h = with_one(context[real])
+    h = np.take(h, real, axis=0)
     cuts = np.searchsorted(cls[real], np.arange(len(v.bounds)))
     for c in range(len(v.bounds) - 1):
         if cuts[c] == cuts[c + 1]:

@@ -374,6 +374,39 @@ def test_lm_learns_from_every_position_once():
     assert used == lm_score.POSITIONS * len(lm_score.tokens_of(texts).keys)
 
 
+def test_a_training_step_moves_rows_along_plain_sums(monkeypatch):
+    names, v, p = small_model()
+    places = pretokens.Places()
+    places.add(v.keys)
+    t = lm_score.tokens_of([b" ".join([*names[:30:2], b"new", *names[5:38:3]])])
+    _, target, context = v.numbers(places, t)
+    cls = v.classes_of(target, t.endings)
+    order = np.argsort(cls)
+    context, cls, target = context[order], cls[order], target[order]
+    trainer, n, w, drawn = lm_score.Trainer(p, v, [3]), len(cls), lm_score.WIDTH, []
+    move = trainer.add
+    monkeypatch.setattr(trainer, "add", lambda ids, grads: (drawn.append(ids), move(ids, grads)))
+    trainer.step(context, cls, target)
+    (ids,), q, want = drawn, p.astype(float), np.zeros(p.shape)
+    noise, m = ids[n : n + lm_score.NOISE_CLASSES], int((target >= 0).sum())
+    tokens = ids[len(ids) - (lm_score.NOISE_TOKENS + 1) * m :].reshape(-1, m)
+    assert 0 < m < n and (tokens[0] == v.at_token + target[:m]).all()
+    for k in range(n):
+        h, back = sum(q[context[k, d], :w] * q[v.at_position + d, :w] for d in range(lm_score.POSITIONS)), np.zeros(w)
+        rows = [(v.at_class + cls[k], 1, math.log(lm_score.NOISE_CLASSES * v.share[cls[k]])), *((r, 0, math.log(lm_score.NOISE_CLASSES * v.share[r - v.at_class])) for r in noise)]
+        rows += [(r, int(j == 0), math.log(lm_score.NOISE_TOKENS * v.own_share[r - v.at_token])) for j, r in enumerate(tokens[:, k] if k < m else [])]
+        for r, real, log in rows:
+            slope = real - 1 / (1 + math.exp(log - q[r, :w] @ h - q[r, w]))
+            want[r] += slope * np.append(h, 1)
+            back += slope * q[r, :w]
+        for d in range(lm_score.POSITIONS):
+            want[context[k, d], :w] += back * q[v.at_position + d, :w]
+            want[v.at_position + d, :w] += back * q[context[k, d], :w]
+    scale = lm_score.RATE / np.sqrt(1 + (want**2).sum(1) / (w + 1))
+    assert np.allclose(trainer.p - p, want * scale[:, None], atol=1e-5)
+    assert trainer.touched.sum() == len(ids)
+
+
 def test_probabilities_are_normalised_and_plain():
     names, v, p = small_model()
     places = pretokens.Places()
