@@ -7,13 +7,14 @@ import json
 from pyspark.sql import functions as F
 
 from citeloom.functions.stats import rounded
+from citeloom.operators import bridges as B
 from citeloom.operators import collections as C
 from citeloom.operators import communities as U
 from citeloom.operators import entities as E
 from citeloom.operators import frontier as R
 from citeloom.operators import graph as G
 from citeloom.operators import views as W
-from citeloom.operators.scratch import fresh_folder
+from citeloom.operators.scratch import fresh_folder, written
 from citeloom.plans import corpora as K
 from citeloom.plans.corpora import PC, PE, PP, PT
 from citeloom.plans.q_frontier import BRIDGES, TREND, _bridges, _trends
@@ -64,12 +65,26 @@ def _langs(s, d):
     return K.table(s, d, "documents").select("doc_id", F.col("lang").alias("cluster_id"))
 
 
-def _leaf_pipeline(s, d):
-    """Sub-clusters of every type, then their bridges, those between siblings left out by br_leaf's rule."""
+#: Resolutions and seeds of the leaf pipeline's sweep.
+LEAF_GRID, LEAF_SEEDS = [1.5, 2.0, 2.5, 3.0, 3.5, 4.0], (42, 43, 44)
+
+
+def _leaves(s, d):
+    """Every type swept into sub-clusters by the words and brands that its parts share; the type itself, which all of them have, tells none apart."""
     p = K.part_types(s, d)
-    cells = K.table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_brand").alias("entity"))
-    leaf = U.with_sub_clusters(p, U.entity_sub_clusters(p, cells, "ECONOMY", 1.0, 1))
-    return R.bridges(K.part_entities(s, d), leaf, None).select("cluster_a", "cluster_b", "entity_jaccard", "shared_count")
+    inner = K.part_entities(s, d).join(p, "doc_id").where(F.col("entity") != F.lower("cluster_id")).select("doc_id", "entity")
+    return U.entity_leaves(p, inner, LEAF_GRID, seeds=LEAF_SEEDS)
+
+
+def _leaf_pipeline(s, d):
+    """The sweep's sub-clusters of every type, their trends, gaps, background terms and bridges, and the recommendations ranked from them: all gaps
+    within a leaf and all bridges but those between siblings. There are no failure signals, so nobody is penalised."""
+    e, leaf = K.part_entities(s, d), _leaves(s, d)
+    fits, found = written(R.trends(e, K.part_papers(s, d), leaf), "fits"), R.structural_gaps(e, leaf, True, least_papers=10, least_entities=3)
+    momenta, none = R.momentum(fits), s.createDataFrame([], "cluster_id string, penalty double")
+    between = B.cross(found["bridges"], momenta, none, background=[r.entity for r in found["background"].collect()], leaf=True)
+    columns = ["kind", "cluster_id", "entity_a", "entity_b", "cluster_a", "cluster_b", "entity_jaccard", "r_momentum", "r_gap", "r_inv_failure", "bridge_score", "otr", "ccr", "evaluability"]
+    return B.recommendations(B.intra(found["gaps"], momenta, fits, none), between).select(*columns, F.array_join("shared_entities", ",").alias("shared_entities"))
 
 
 def _stream_counts(s, d):

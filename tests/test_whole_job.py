@@ -51,3 +51,26 @@ def test_title_pairs_and_members_of_a_table(spark):
     pairs, members = (registry.QUERIES[q][0](spark, "/root/testdata/sf0.01").collect() for q in ("title_pairs", "title_members"))
     classes = {r["a"] for r in members}
     assert pairs and {x for r in pairs for x in (r["a"], r["b"])} <= classes
+
+
+def test_leaves_are_the_sub_clusters_that_the_sweep_selects(spark):
+    # Cluster a: three groups in a chain, papers of one set; b: groups of two sizes; c: papers without a common entity; d: one paper.
+    rows = [(i, e) for i in range(60) for e in [f"x{i // 20}", f"y{i // 10}"]] + [(i, "hub") for i in range(0, 60, 20)] + [(100 + i, f"z{i // 12}") for i in range(30)] + [(200, "p"), (201, "q"), (300, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, entity string")
+    m = spark.createDataFrame([(i, "abcd"[i // 100]) for i in sorted({i for i, _ in rows})], "doc_id long, cluster_id string")
+    found = {r.doc_id: r.cluster_id for r in U.entity_leaves(m, df, [1.0, 1.5, 4.0], 21.0).collect()}
+    want = {300: "d"}
+    for s in U.entity_sweeps(m, df, [1.0, 1.5, 4.0], 21.0).collect():
+        want |= {r.doc_id: r.cluster_id for r in U.entity_sub_clusters(m, df, s.cluster_id, s.resolution, 0).collect()}
+    assert found == want and {"a.0", "a.2", "b.2", "c.1"} <= set(found.values())
+
+
+def test_leaf_pipeline_sweeps_every_type_and_ranks_leaves(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = registry.QUERIES["br_leaf_pipeline"][0](spark, sf).collect()
+    parent = lambda c: c.split(".")[0]
+    between = [r for r in rows if r["kind"] == "cross_cluster"]
+    leaves = {c for r in between for c in (r["cluster_a"], r["cluster_b"])} | {r["cluster_id"] for r in rows if r["kind"] == "intra_cluster"}
+    assert {parent(c) for c in leaves} == {r["p_type"] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_type").distinct().collect()}
+    assert all("." in c for c in leaves) and all(parent(r["cluster_a"]) != parent(r["cluster_b"]) for r in between)
+    assert [r["bridge_score"] for r in rows] == sorted((r["bridge_score"] for r in rows), reverse=True)
