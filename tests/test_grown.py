@@ -181,3 +181,30 @@ def test_sweep_makes_no_edge_of_papers(spark, monkeypatch):
     assert got == want == {"a": 1.0, "b": 1.0, "c": 1.0}
     monkeypatch.setattr(G, "_expanded", lambda *a: pytest.fail("edges of papers are made"))
     assert registry.QUERIES["cl_sweep"][0](spark, "/root/testdata/sf0.001").count() == 4
+
+
+def test_redundancy_of_blocks_is_that_of_all_pairs(spark, monkeypatch):
+    # Blocks of a few papers, a few pairs at a time; papers without references, without entities, and without a cluster.
+    monkeypatch.setattr(R, "BLOCK", 6)
+    monkeypatch.setattr(R, "COUNT_BLOCK", 9)
+    monkeypatch.setattr(R, "AT_ONCE", 40)
+    rng = random.Random(9)
+    e, r = own_sets((d, rng.choice("abcdef")) for d in range(66) for _ in range(3)), own_sets((d, rng.randrange(12)) for d in range(4, 70) for _ in range(4))
+    m = {d: str(d % 3) if d > 1 else None for d in range(70)}
+    share = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    axes = {(a, b): (share(e.get(a, set()), e.get(b, set())), share(r.get(a, set()), r.get(b, set()))) for a, b in itertools.combinations(range(2, 70), 2) if m[a] == m[b]}
+    rows = lambda own, kind: spark.createDataFrame([(d, x) for d, xs in own.items() for x in xs], f"doc_id long, {kind}")
+    frames = rows(e, "entity string"), rows(r, "ref long"), spark.createDataFrame(list(m.items()), "doc_id long, cluster_id string")
+    for t in (0.0, 0.15, 0.4, 0.6):
+        want = {k: v for k, v in axes.items() if 0.5 * v[0] + 0.5 * v[1] > t}
+        got = R.redundancy(*frames, t).collect()
+        assert len(got) == len(want) and {(x.doc_a, x.doc_b): (x.cluster_id, x.entity_jaccard, x.biblio_coupling) for x in got} == {k: (m[k[0]], pytest.approx(v[0], abs=1e-4), pytest.approx(v[1], abs=1e-4)) for k, v in want.items()}
+        assert {x.cluster_id: x.pairs for x in R.redundancy_counts(*frames, t).collect()} == Counter(m[a] for a, _ in want)
+
+
+def test_redundant_pairs_are_those_over_the_methods_threshold(spark, duck, sf):
+    found, sql = registry.QUERIES["fr_redundancy"]
+    cells = "(SELECT p_type || '/' || p_brand AS c, p_partkey AS k FROM part)"
+    # Parts of a cell have brand and type in common: Jaccard 1/3 at least, so a mean of 1/6, and every pair counts.
+    want = duck.execute(f"SELECT count(*) FROM {cells} a JOIN {cells} b ON a.c = b.c AND a.k < b.k").fetchone()[0]
+    assert found(spark, sf).count() == len(duck.execute(sql).fetchall()) == want > 0
