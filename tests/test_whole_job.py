@@ -5,6 +5,8 @@ import numpy as np
 from citeloom.operators import communities as U
 from citeloom.operators import evaluate as V
 from citeloom.plans import registry
+from citeloom.plans.corpora import PC, PT
+from citeloom.plans.q_frontier import RED, _redundant_counts
 from citeloom.plans.q_text import title_pairs
 
 
@@ -74,3 +76,17 @@ def test_leaf_pipeline_sweeps_every_type_and_ranks_leaves(spark):
     assert {parent(c) for c in leaves} == {r["p_type"] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_type").distinct().collect()}
     assert all("." in c for c in leaves) and all(parent(r["cluster_a"]) != parent(r["cluster_b"]) for r in between)
     assert [r["bridge_score"] for r in rows] == sorted((r["bridge_score"] for r in rows), reverse=True)
+
+
+def test_acceptance_counts_a_types_pairs_of_all_brands(spark, duck, sf):
+    sql = RED.replace(PC, PT.replace("pt AS", "pc AS")).replace("{t}", "0.15") + " SELECT cluster_id, count(*) FROM red GROUP BY 1"
+    found = dict(map(tuple, _redundant_counts(spark, sf).select("cluster_id", "pairs").collect()))
+    assert found == dict(duck.execute(sql).fetchall()) and len(found) > 1
+
+
+def test_acceptance_passes_a_type_whose_brands_all_differ(spark, tmp_path):
+    # Types of 25 parts, one of each brand: no two parts share a cell, all share a type and the name.
+    parts = [(100 * t + b, "big bolt", f"Brand#{b}", f"TYPE{t}", b % 10) for t in range(3) for b in range(25)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, 1) for k, *_ in parts], "l_partkey long, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.cluster_id: r.pairs for r in _redundant_counts(spark, str(tmp_path)).collect()} == {f"TYPE{t}": 300 for t in range(3)}
